@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def header_text(headers: Sequence[str] | None) -> str:
@@ -23,7 +24,7 @@ def ratio(left: Sequence[str] | None, right: Sequence[str] | None) -> float:
     return SequenceMatcher(None, header_text(left), header_text(right)).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def header_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 

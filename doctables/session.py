@@ -28,6 +28,7 @@ def local_session(cores: int | None = None, shuffle_partitions: int | None = Non
         SparkSession.builder.master(f"local[{cores}]")
         .appName("doctables")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
