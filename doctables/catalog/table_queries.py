@@ -62,15 +62,9 @@ def header_map(spark, folder):
     from doctables.functions.fixed import QUALIFICATION_ALIASES
 
     heads = tables.find_header_rows(inputs.list_rows(spark, folder), QUALIFICATION_ALIASES)
+    short = ["saqa", "title", "nqf", "framework", "nsfas", "colleges"]
     return heads.select(
-        "doc_id",
-        "header_row",
-        F.col("saqa_id__at").alias("saqa"),
-        F.col("qualification__at").alias("title"),
-        F.col("nqf_level__at").alias("nqf"),
-        F.col("framework__at").alias("framework"),
-        F.col("nsfas_eligible__at").alias("nsfas"),
-        F.col("participating_colleges__at").alias("colleges"),
+        "doc_id", "header_row", *[F.col("places")[i].alias(n) for i, n in enumerate(short)]
     )
 
 

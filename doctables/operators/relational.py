@@ -296,12 +296,7 @@ def nested_children(
             with_parts(child.select(key, position, *columns), [key], position, max_items)
             .groupBy(key, "part")
             .agg(F.array_sort(F.collect_list(F.struct(position, *columns))).alias(column))
-            .withColumn(
-                column,
-                F.transform(
-                    column, lambda c, names=tuple(columns): F.struct(*[c[n].alias(n) for n in names])
-                ),
-            )
+            .withColumn(column, _pick(column, columns))
         )
         sets = grouped if sets is None else sets.join(grouped, [key, "part"], "full_outer")
     return parents.join(sets, key, "left").withColumns(
@@ -310,6 +305,14 @@ def nested_children(
     )
 
 
+def _pick(column: str, names: Sequence[str]) -> Column:
+    return F.transform(column, lambda c: F.struct(*[c[n].alias(n) for n in names]))
+
+
+def _names(column: str, name: str) -> Column:
+    return F.transform(column, lambda c: c[name])
+
+
 def joined_children(
     parents: DataFrame,
     children: Mapping[str, tuple[DataFrame, str, str]],
@@ -327,7 +330,7 @@ def joined_children(
     nested = nested_children(parents, wanted, key, max_items)
     return nested.withColumns(
         {
-            column: F.array_join(F.transform(column, lambda c: c[name]), sep)
+            column: F.array_join(_names(column, name), sep)
             for column, (_, _, name) in children.items()
         }
     )

@@ -52,24 +52,24 @@ def promote_headers(
     )
 
 
-def match_headers(df: DataFrame, headers: str, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add `<field>__at`: position of the header that names the field, or NULL.
+def match_headers(headers: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
+    """Positions of the headers that name the fields, in field order; -1 for none.
 
     Fields take their turn in the given order, each takes the first header that
     contains one of its aliases, and no header serves two fields.
     """
-    taken: list[str] = []
-    for field, words in aliases.items():
-        used = F.array(*[F.col(name) for name in taken]) if taken else F.array().cast("array<int>")
-        pattern = any_of(words)
-        hits = F.transform(
-            F.col(headers),
-            lambda h, i: F.lower(strip(h)).rlike(pattern) & ~F.exists(used, lambda u: u.eqNullSafe(i)),
-        )
-        place = F.array_position(hits, F.lit(True)).cast("int") - 1
-        df = df.withColumn(f"{field}__at", F.when(place >= 0, place))
-        taken.append(f"{field}__at")
-    return df
+    names = F.transform(headers, lambda h: F.lower(strip(h)))
+
+    def named(words: Sequence[str]) -> Column:
+        return F.transform(names, lambda name: name.rlike(any_of(words)))
+
+    hits = F.array(*[named(words) for words in aliases.values()])
+
+    def take(places: Column, hit: Column) -> Column:
+        free = F.transform(hit, lambda x, i: x & ~F.array_contains(places, i))
+        return F.array_append(places, F.array_position(free, F.lit(True)).cast("int") - 1)
+
+    return F.aggregate(hits, F.array().cast("array<int>"), take)
 
 
 def find_header_rows(
@@ -79,17 +79,18 @@ def find_header_rows(
     within: int = 3,
     min_fields: int = 2,
 ) -> DataFrame:
-    """Header row of each table: first of its first three rows that names two fields."""
-    marks = [f"{field}__at" for field in aliases]
-    matched = match_headers(rows.filter(F.col("row_idx") < within), "cells", aliases)
-    named = sum((F.col(m).isNotNull().cast("int") for m in marks), F.lit(0))
+    """Header row of each table (first of its first three that names two fields).
+
+    `places` holds the column of each field, in the order of `aliases`.
+    """
+    heads = rows.filter(F.col("row_idx") < within).select(
+        *table, "row_idx", match_headers(F.col("cells"), aliases).alias("places")
+    )
+    named = F.size(F.filter("places", lambda place: place >= 0))
     return (
-        matched.filter(named >= min_fields)
+        heads.filter(named >= min_fields)
         .groupBy(*table)
-        .agg(
-            F.min("row_idx").alias("header_row"),
-            *[F.min_by(m, "row_idx").alias(m) for m in marks],
-        )
+        .agg(F.min("row_idx").alias("header_row"), F.min_by("places", "row_idx").alias("places"))
     )
 
 
@@ -118,18 +119,20 @@ def project_fields(
     )
     mapped = F.lit(True)
     for field in required:
-        mapped = mapped & F.col(f"{field}__at").isNotNull()
+        mapped = mapped & (F.col("places")[fields.index(field)] >= 0)
+    mapped = F.coalesce(mapped, F.lit(False))
     columns = {}
     for i, field in enumerate(fields):
         default = F.lit(defaults.get(field, ""))
-        by_header = F.coalesce(F.try_element_at("cells", F.col(f"{field}__at") + 1), default)
+        place = F.col("places")[i]
+        by_header = F.coalesce(F.when(place >= 0, F.try_element_at("cells", place + 1)), default)
         columns[field] = F.when(mapped, by_header).otherwise(
             cell(F.col("cells"), i, defaults.get(field, ""))
         )
     return (
         body.filter(mapped | (F.size("cells") >= min_cells))
         .withColumns(columns)
-        .drop("header_row", *[f"{field}__at" for field in fields])
+        .drop("header_row", "places")
     )
 
 
