@@ -536,7 +536,7 @@ SELECT conv_id AS job_id, turn, role AS model, 'local' AS provider,
   greatest(1, CAST(floor(length(text) / 4) AS BIGINT)) AS prompt_tokens, turn * 10 AS completion_tokens
 FROM conversations"""
 CTE["prices"] = """
-SELECT * FROM (VALUES ('local', 'user', 0.5, 1.5), ('local', 'assistant', 3.0, 15.0))
+SELECT * FROM (VALUES ('local', 'user', 0.6, 1.6), ('local', 'assistant', 3.0, 15.0))
   AS p(provider, model, input_per_m, output_per_m)"""
 
 
@@ -555,7 +555,7 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [("local", "user", 0.5, 1.5), ("local", "assistant", 3.0, 15.0)],
+        [("local", "user", 0.6, 1.6), ("local", "assistant", 3.0, 15.0)],
         "provider string, model string, input_per_m double, output_per_m double",
     )
 

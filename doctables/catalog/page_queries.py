@@ -63,14 +63,19 @@ def layout_stats(spark, folder):
 
 @query(
     with_inputs(
-        """SELECT doc_id, count(*) AS page_count, round_even(avg(text_density), 1) AS text_density_avg,
+        """SELECT doc_id, count(*) AS page_count, CAST(round(sum(CAST(text_density AS DECIMAL(18, 2))) * 1000) AS BIGINT) // count(*) AS density_milli,
   count(CASE WHEN is_scanned THEN 1 END) > count(*) * 0.5 AS is_scanned FROM layout GROUP BY doc_id""",
         "layout",
     )
 )
 def layout_rollup(spark, folder):
-    rolled = pages.layout_rollup(pages.layout_stats(inputs.doc_pages(spark, folder)))
-    return rolled.withColumn("text_density_avg", F.bround("text_density_avg", 1))
+    stats = pages.layout_stats(inputs.doc_pages(spark, folder))
+    # The mean is compared before it is rounded: ties round differently in SQL.
+    total = F.sum(F.round(F.col("text_density") * 1000).cast("bigint"))
+    exact = stats.groupBy("doc_id").agg(
+        F.floor(total / F.count(F.lit(1))).cast("bigint").alias("density_milli")
+    )
+    return pages.layout_rollup(stats).drop("text_density_avg").join(exact, "doc_id")
 
 
 @query(

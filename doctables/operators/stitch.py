@@ -9,7 +9,7 @@ header that enters one of them still changes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -27,6 +27,11 @@ REPEATED_HEADER = 0.80
 BLOCK_PAGES = 2_000
 
 _STATE = "master_page int, master_index int, master_headers array<string>, master_columns int"
+_STATE_COLUMNS = ["master_page", "master_index", "master_headers", "master_columns"]
+_EXIT_COLUMNS = ["doc_id", "block", *_STATE_COLUMNS]
+_FOLD_COLUMNS = [
+    "doc_id", "block", "page", "table_index", "headers", "first_row", "columns", *_STATE_COLUMNS,
+]
 
 
 def _alike(left: Sequence[str], right: Sequence[str], limit: float, known: dict) -> bool:
@@ -44,54 +49,63 @@ def _alike(left: Sequence[str], right: Sequence[str], limit: float, known: dict)
     return known[key]
 
 
-def _fold(block: pd.DataFrame) -> list[tuple]:
-    """(page, index, master page, master index, headers, columns, drop first) per table."""
-    block = block.sort_values(["page", "table_index"], kind="stable")
-    first = block.iloc[0]
-    master = None
-    if not pd.isna(first["master_page"]):
-        master = (
-            int(first["master_page"]),
-            int(first["master_index"]),
-            first["master_headers"],
-            int(first["master_columns"]),
-        )
-    known: dict = {}
-    out = []
-    for page, index, headers, row, columns in zip(
-        block["page"], block["table_index"], block["headers"], block["first_row"], block["columns"]
-    ):
-        repeated = joined = False
-        if master is not None:
-            repeated = _alike(master[2], row, REPEATED_HEADER, known)
-            bare = (headers is None or len(headers) == 0) and columns == master[3]
-            joined = repeated or bare or _alike(master[2], headers, SAME_HEADERS, known)
-        if not joined:
-            master = (page, index, headers, columns)
-        out.append((page, index, *master, repeated))
-    return out
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Fold rows sorted by (doc_id, block, page, table_index), batch by batch.
+
+    Yields (doc, block, page, index, master page, master index, headers, columns,
+    repeated) per table. Only the current table is kept between batches.
+    """
+    place, master, known = None, None, {}
+    for batch in batches:
+        out = []
+        for doc, block, page, index, headers, row, columns, *entry in zip(
+            *(batch[c] for c in _FOLD_COLUMNS)
+        ):
+            if (doc, block) != place:
+                place, known = (doc, block), {}
+                master = None if pd.isna(entry[0]) else (int(entry[0]), int(entry[1]), entry[2], int(entry[3]))
+            repeated = joined = False
+            if master is not None:
+                repeated = _alike(master[2], row, REPEATED_HEADER, known)
+                bare = (headers is None or len(headers) == 0) and columns == master[3]
+                joined = repeated or bare or _alike(master[2], headers, SAME_HEADERS, known)
+            if not joined:
+                master = (page, index, headers, columns)
+            out.append((doc, block, page, index, *master, repeated))
+        yield out
+
+
+def _in_order(blocks: DataFrame) -> DataFrame:
+    """Blocks spread over all tasks, each whole and in order in one of them."""
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "doc_id", "block").sortWithinPartitions(
+        "doc_id", "block", "page", "table_index"
+    )
 
 
 def _exits(blocks: DataFrame) -> DataFrame:
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = _fold(pdf)[-1]
-        return pd.DataFrame(
-            [[pdf["doc_id"].iloc[0], pdf["block"].iloc[0], *end[2:6]]],
-            columns=[
-                "doc_id", "block", "master_page", "master_index", "master_headers", "master_columns",
-            ],
-        )
+    """State that leaves each block: the table that its last table belongs to."""
+
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        end = None
+        for rows in _folded(batches):
+            done = []
+            for row in rows:
+                if end is not None and row[:2] != end[:2]:
+                    done.append((*end[:2], *end[4:8]))
+                end = row
+            yield pd.DataFrame(done, columns=_EXIT_COLUMNS)
+        if end is not None:
+            yield pd.DataFrame([(*end[:2], *end[4:8])], columns=_EXIT_COLUMNS)
 
     doc = blocks.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("doc_id", "block").applyInPandas(
-        last, f"doc_id {doc}, block bigint, {_STATE}"
-    )
+    return _in_order(blocks).mapInPandas(last, f"doc_id {doc}, block bigint, {_STATE}")
 
 
 def _entries(exits: DataFrame) -> DataFrame:
     """State that enters each block: the exit of the block before it."""
     window = Window.partitionBy("doc_id").orderBy("block")
-    state = F.struct("master_page", "master_index", "master_headers", "master_columns")
+    state = F.struct(*_STATE_COLUMNS)
     return (
         exits.select("doc_id", "block", F.lag(state).over(window).alias("_in"))
         .filter(F.col("_in").isNotNull())
@@ -144,22 +158,18 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
                 break
         entries = _entries(exits)
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(
-            [(t[0], t[1], t[2], t[3], t[5], t[6]) for t in _fold(pdf)],
-            columns=[
-                "page", "table_index", "master_page", "master_index", "columns", "drop_first",
-            ],
-        )
-        out.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return out
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "page", "table_index", "master_page", "master_index", "columns", "drop_first"]
+        for rows in _folded(batches):
+            picked = [(r[0], r[2], r[3], r[4], r[5], r[7], r[8]) for r in rows]
+            yield pd.DataFrame(picked, columns=names)
 
     entered = (
         blocks.select("*", *empty)
         if entries is None
         else blocks.join(entries, ["doc_id", "block"], "left")
     )
-    return entered.groupBy("doc_id", "block").applyInPandas(
+    return _in_order(entered).mapInPandas(
         assign,
         f"doc_id {doc}, page int, table_index int, master_page int, master_index int, "
         "columns int, drop_first boolean",

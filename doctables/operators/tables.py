@@ -83,7 +83,10 @@ def find_header_rows(
 
     `places` holds the column of each field, in the order of `aliases`.
     """
-    heads = rows.filter(F.col("row_idx") < within).select(
+    # One search over the whole row spares most data rows the work per cell.
+    words = any_of([word for listed in aliases.values() for word in listed])
+    near = (F.col("row_idx") < within) & F.lower(F.array_join("cells", "\n")).rlike(words)
+    heads = rows.filter(near).select(
         *table, "row_idx", match_headers(F.col("cells"), aliases).alias("places")
     )
     named = F.size(F.filter("places", lambda place: place >= 0))
