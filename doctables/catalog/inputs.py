@@ -239,6 +239,13 @@ def part_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_head(first, head, cells):
+    """row_idx and cells of a line, preceded by a header row 0 where `first` holds."""
+    row = F.struct(F.col("rn").alias("row_idx"), cells.alias("cells"))
+    top = F.struct(F.lit(0).cast("bigint").alias("row_idx"), head.alias("cells"))
+    return F.inline(F.when(first, F.array(top, row)).otherwise(F.array(row)))
+
+
 # --- raw_rows: order lines as table rows with wrapped rows and noise ----------------------------
 
 CTE["raw_rows"] = """
@@ -313,11 +320,7 @@ def list_rows(spark: SparkSession, folder: str) -> DataFrame:
         text("SAQA ID", "Qualification Title", "NQF Level", "Sub-Framework", "NSFAS", "Participating Colleges"),
     ).otherwise(text("a", "b", "c", "d", "e", "f"))
     key = [F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_index")]
-    body = lines.select(*key, rn.alias("row_idx"), cells.alias("cells"))
-    heads = (
-        lines.filter("rn = 1").select(*key, F.lit(0).cast("bigint").alias("row_idx")).withColumn("cells", head)
-    )
-    return body.unionByName(heads)
+    return lines.withColumn("doc_id", F.col("l_orderkey")).select(*key, _with_head(rn == 1, head, cells))
 
 
 # --- code_rows: codebook tables with merged cells ----------------------------------------------
@@ -352,9 +355,7 @@ def code_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
     key = [F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_index")]
     head = F.array(*[F.lit(x) for x in ("Variable", "Label", "Value", "Value Label")])
-    return lines.select(*key, rn.alias("row_idx"), cells.alias("cells")).unionByName(
-        lines.filter("rn = 1").select(*key, F.lit(0).cast("bigint").alias("row_idx"), head.alias("cells"))
-    )
+    return lines.select(*key, _with_head(rn == 1, head, cells))
 
 
 # --- page_rows: tables that run over pages ---------------------------------------------------
@@ -390,11 +391,9 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
         (k % 50 + 1).cast("int").alias("page"),
         F.lit(0).alias("table_index"),
     ]
-    body = lines.select(*key, rn.alias("row_idx"), headers.alias("headers"), cells.alias("cells"))
-    repeats = lines.filter((rn == 1) & (k % 5 == 0)).select(
-        *key, F.lit(0).cast("bigint").alias("row_idx"), headers.alias("headers"), headers.alias("cells")
+    return lines.select(
+        *key, headers.alias("headers"), _with_head((rn == 1) & (k % 5 == 0), headers, cells)
     )
-    return body.unionByName(repeats)
 
 
 # --- words: word positions on pages --------------------------------------------------------

@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from doctables.functions import fixed
 
-# Unicode white space, plus the four separators Python also strips.
+# Unicode white space, plus the four ASCII separators.
 SPACE = r"[\s\x{1C}-\x{1F}]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_chars(text: Column, chars: str) -> Column:

@@ -25,12 +25,21 @@ def cell(cells: Column, position: int, default: str = "") -> Column:
     return F.coalesce(F.try_element_at(cells, F.lit(position + 1)), F.lit(default))
 
 
+def strip_cells(cells: Column) -> Column:
+    return F.transform(cells, lambda c: strip(F.coalesce(c, F.lit(""))))
+
+
+def has_text(cells: Column) -> Column:
+    """Any cell holds more than white space."""
+    return F.exists(cells, lambda c: F.coalesce(strip(c) != "", F.lit(False)))
+
+
 def clean_cells(rows: DataFrame) -> DataFrame:
     """Line breaks and tabs to blanks, strip, NULL to ''; rows without text go."""
     cleaned = F.transform(
         "cells", lambda c: strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n\t]+", " "))
     )
-    return rows.withColumn("cells", cleaned).filter(F.exists("cells", lambda c: c != ""))
+    return rows.filter(has_text(F.col("cells"))).withColumn("cells", cleaned)
 
 
 def promote_headers(
@@ -89,11 +98,13 @@ def find_header_rows(
     heads = rows.filter(near).select(
         *table, "row_idx", match_headers(F.col("cells"), aliases).alias("places")
     )
-    named = F.size(F.filter("places", lambda place: place >= 0))
+    named = F.size(F.filter("places", lambda place: place >= 0)) >= min_fields
+    # Choosing inside the aggregate, not by a filter, matches every row once.
+    at = F.when(named, F.col("row_idx"))
     return (
-        heads.filter(named >= min_fields)
-        .groupBy(*table)
-        .agg(F.min("row_idx").alias("header_row"), F.min_by("places", "row_idx").alias("places"))
+        heads.groupBy(*table)
+        .agg(F.min(at).alias("header_row"), F.min_by("places", at).alias("places"))
+        .filter(F.col("header_row").isNotNull())
     )
 
 
@@ -112,13 +123,13 @@ def project_fields(
     """
     fields = list(aliases)
     heads = find_header_rows(rows, aliases, table)
-    stripped = F.transform("cells", lambda c: strip(F.coalesce(c, F.lit(""))))
+    first = F.lower(strip(F.get("cells", F.lit(0))))
     body = (
-        rows.withColumn("cells", stripped)
+        rows.filter(has_text(F.col("cells")))
+        .filter(~F.coalesce(first.rlike(any_of(header_words)), F.lit(False)))
         .join(heads, list(table), "left")
         .filter(F.col("header_row").isNull() | (F.col("row_idx") > F.col("header_row")))
-        .filter(F.exists("cells", lambda c: c != ""))
-        .filter(~F.lower(F.get("cells", F.lit(0))).rlike(any_of(header_words)))
+        .withColumn("cells", strip_cells(F.col("cells")))
     )
     mapped = F.lit(True)
     for field in required:
@@ -249,18 +260,12 @@ def merge_wrapped(
 def codebook_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFrame:
     """Codebook tables: carry merged variable and label cells down the table.
 
-    The first row of a table is its header. Rows of four and more cells are full,
+    Row 0 of a table is its header. Rows of four and more cells are full,
     rows of two or three hold a further value and its label.
     """
-    firsts = rows.groupBy(*table).agg(F.min("row_idx").alias("_first"))
-    stripped = F.transform("cells", lambda c: strip(F.coalesce(c, F.lit(""))))
-    body = (
-        rows.join(firsts, list(table))
-        .filter(F.col("row_idx") > F.col("_first"))
-        .withColumn("cells", stripped)
-        .filter(F.exists("cells", lambda c: c != "") & (F.size("cells") >= 2))
-        .drop("_first")
-    )
+    body = rows.filter(
+        (F.col("row_idx") > 0) & (F.size("cells") >= 2) & has_text(F.col("cells"))
+    ).withColumn("cells", strip_cells(F.col("cells")))
     full = F.size("cells") >= 4
     filled = fill_down(body, full, table)
     at = lambda i, default="": F.when(full, cell(F.col("cells"), i, default))

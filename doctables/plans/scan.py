@@ -128,7 +128,7 @@ def number_rows(
         [order],
         [row_block(order, block_rows)],
         sums={name: F.lit(1)},
-        coarse=[[row_block(order, block_rows * 10_000)]],
+        coarse=[] if group else [[row_block(order, block_rows * 10_000)]],
     )
     first = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(name, F.col(name) + first).drop("_all")
