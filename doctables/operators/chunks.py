@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.text import strip
+from doctables.operators.pages import continued_pages
+from doctables.plans.durable import durable
 from doctables.plans.scan import number_rows
 
 BLOCK_PAGES = 1024
@@ -26,16 +28,20 @@ def _next_start(steps: Column, entry: Column) -> Column:
     )
 
 
+def place_pages(pages: DataFrame) -> DataFrame:
+    """Position of every page among the distinct pages of its document, from 0."""
+    distinct = pages.select("doc_id", "page").distinct()
+    return number_rows(distinct, "page", "pos", start=-1, block_rows=4096, group=["doc_id"])
+
+
 def chunk_starts(
-    pages: DataFrame, continued: DataFrame | None, size: int = 4, block: int = BLOCK_PAGES
+    placed: DataFrame, continued: DataFrame | None, size: int = 4, block: int = BLOCK_PAGES
 ) -> DataFrame:
-    """Positions (from 0) at which chunks start: doc_id, start, chunk_index, last.
+    """Positions at which chunks start: doc_id, start, chunk_index.
 
-    `pages`: doc_id, page. `continued`: doc_id, page of pages a table runs into.
+    `placed`: doc_id, page, pos. `continued`: doc_id, page of pages a table runs into.
     """
-    doc = pages.schema["doc_id"].dataType.simpleString()
-    distinct = pages.select("doc_id", "page").distinct()
-    placed = number_rows(distinct, "page", "pos", start=-1, block_rows=4096, group=["doc_id"])
+    doc = placed.schema["doc_id"].dataType.simpleString()
     counts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
     steps = placed.join(counts, "doc_id").select(
         "doc_id", "pos", "_pages", F.lit(size).cast("long").alias("step")
@@ -112,22 +118,19 @@ def create_chunks(
     """Chunks of `size` pages with their text and the context before them.
 
     `pages`: doc_id, page, text. `groups`: continuation groups. `wanted`: doc_id,
-    page of the pages to take (all without it).
+    page of the pages to take (all without it). Runs two jobs over page numbers.
     """
-    from doctables.operators.pages import continued_pages
-
-    continued = None if groups is None else continued_pages(groups)
     chosen = pages if wanted is None else pages.join(wanted, ["doc_id", "page"], "left_semi")
-    starts = chunk_starts(chosen, continued, size, block)
-    placed = number_rows(
-        chosen.select("doc_id", "page", "text"), "page", "pos", -1, 4096, ["doc_id"]
-    )
+    # Two narrow tables of page numbers feed every step below: write them once.
+    placed = durable(place_pages(chosen))
+    continued = None if groups is None else durable(continued_pages(groups))
+    starts = chunk_starts(placed, continued, size, block)
     members = starts.select(
         "doc_id", "chunk_index", F.explode(F.sequence("start", F.col("start") + size - 1)).alias("pos")
-    )
+    ).join(placed, ["doc_id", "pos"])
     shown = F.format_string("=== PAGE %d ===\n%s", F.col("page"), F.coalesce("text", F.lit("")))
     chunks = (
-        members.join(placed, ["doc_id", "pos"])
+        members.join(chosen.select("doc_id", "page", "text"), ["doc_id", "page"])
         .withColumn("_shown", shown)
         .groupBy("doc_id", "chunk_index")
         .agg(

@@ -179,7 +179,7 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
 def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """Join the parts of tables that run over pages and heal their rows as one table.
 
-    Result: doc_id, master_page, master_index, and page, table_index, row_idx of the
+    Runs jobs over one row per physical table. Result: doc_id, master_page, master_index, and page, table_index, row_idx of the
     first source row, headers of the master, cells.
     """
     heads = table_heads(rows)
@@ -193,6 +193,8 @@ def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     parts = masters.join(names, ["doc_id", "master_page", "master_index"]).join(
         heads.select(*TABLE, "first_idx"), TABLE
     )
+    # One row per physical table, read by every later step.
+    parts = durable(parts)
     kept = (
         rows.drop("headers")
         .join(parts, TABLE)

@@ -15,9 +15,22 @@ from doctables.model import TABLE
 from doctables.plans.scan import row_block, running
 
 
+def shortest(words: Sequence[str]) -> list[str]:
+    """Words without those that contain another one: to contain them implies it."""
+    return [w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w)]
+
+
 def any_of(words: Sequence[str]) -> str:
     """Pattern that finds any of the words as plain text."""
-    return "|".join(re.escape(word) for word in words)
+    return "|".join(re.escape(word) for word in shortest(words))
+
+
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """The same test for a text that costs nothing to read again."""
+    hit = F.lit(False)
+    for word in shortest(words):
+        hit = hit | text.contains(word)
+    return hit
 
 
 def cell(cells: Column, position: int, default: str = "") -> Column:
@@ -70,7 +83,7 @@ def match_headers(headers: Column, aliases: Mapping[str, Sequence[str]]) -> Colu
     names = F.transform(headers, lambda h: F.lower(strip(h)))
 
     def named(words: Sequence[str]) -> Column:
-        return F.transform(names, lambda name: name.rlike(any_of(words)))
+        return F.transform(names, lambda name: contains_any(name, words))
 
     hits = F.array(*[named(words) for words in aliases.values()])
 
@@ -93,8 +106,8 @@ def find_header_rows(
     `places` holds the column of each field, in the order of `aliases`.
     """
     # One search over the whole row spares most data rows the work per cell.
-    words = any_of([word for listed in aliases.values() for word in listed])
-    near = (F.col("row_idx") < within) & F.lower(F.array_join("cells", "\n")).rlike(words)
+    words = [word for listed in aliases.values() for word in listed]
+    near = (F.col("row_idx") < within) & F.lower(F.array_join("cells", "\n")).rlike(any_of(words))
     heads = rows.filter(near).select(
         *table, "row_idx", match_headers(F.col("cells"), aliases).alias("places")
     )
