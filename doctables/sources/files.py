@@ -60,15 +60,13 @@ def read_datasets(spark: SparkSession, path: str, schema: T.StructType | str) ->
     """(records, unreadable lines) of stored JSON datasets."""
     full = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = T.StructType([*full.fields, T.StructField("_corrupt_record", T.StringType())])
-    read = (
-        spark.read.schema(marked)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-    )
-    bad = read.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
-    good = read.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = spark.read.text(path).select(
+        "value", F.from_json("value", marked, options).alias("row")
+    ).filter(F.trim("value") != "")
+    broken = F.col("row._corrupt_record").isNotNull()
+    good = read.filter(~broken).select("row.*").drop("_corrupt_record")
+    return good, read.filter(broken).select(F.col("value").alias("line"))
 
 
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
