@@ -59,9 +59,13 @@ def decompose_child(spark, folder):
   SELECT l_orderkey AS order_id, CAST(l_partkey AS VARCHAR) AS p, l_partkey AS n FROM lineitem GROUP BY l_orderkey, l_partkey) GROUP BY order_id"""
 )
 def decompose_round_trip(spark, folder):
-    child = relational.decompose_child(inputs.order_parts(spark, folder), "parts", "order_id", "part")
-    return relational.fold_children(
-        child.withColumn("n", F.col("part").cast("bigint")), "order_id", "part", "n"
+    rows = inputs.order_parts(spark, folder)
+    child = relational.decompose_child(rows, "parts", "order_id", "part").withColumn(
+        "n", F.col("part").cast("bigint")
+    )
+    parents = rows.select("order_id").distinct()
+    return relational.joined_children(parents, {"parts": (child, "n", "part")}, "order_id").select(
+        "order_id", F.col("parts").alias("part")
     )
 
 

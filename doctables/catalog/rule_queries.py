@@ -273,8 +273,10 @@ def validate_rollup(spark, folder):
 )
 def active_issues(spark, folder):
     issues = _issues(spark, folder).withColumn("is_fixed", F.lit(False))
-    status = rules.run_status(rules.summarize(issues)).withColumn("one", F.lit(1))
-    return rules.active_issues(issues).withColumn("one", F.lit(1)).join(F.broadcast(status), "one").drop("one")
+    status = rules.run_status(rules.summarize(issues))
+    return rules.active_issues(issues).withColumns(
+        {"status": status.select("status").scalar(), "exit_code": status.select("exit_code").scalar()}
+    )
 
 
 @query(

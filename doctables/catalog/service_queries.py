@@ -228,7 +228,7 @@ def bundle_manifest(spark, folder):
     with_inputs(
         """SELECT (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) AS total_documents, (SELECT count(*) FROM documents) AS total_pages, (SELECT count(*) FROM part) AS total_records,
   (SELECT count(*) FROM part) - records_with_issues AS records_valid, warning_count AS records_with_warnings, critical_count AS records_critical,
-  (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents)) AS methods FROM summary""",
+  (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM (SELECT source, min(lang) AS lang FROM documents GROUP BY source))) AS methods FROM summary""",
         "summary",
     )
 )
@@ -236,21 +236,20 @@ def manifest(spark, folder):
     records = inputs.part_records(spark, folder)
     summary = rules.summarize(rules.validate(records, RULES))
     score = quality.dataset_quality(records, [f.name for f in FIELDS], summary)
-    datasets = records.agg(F.count(F.lit(1)).alias("record_count")).withColumn("one", F.lit(1)).join(
-        F.broadcast(score.select(F.lit(1).alias("one"), F.col("overall_score").alias("quality_score"))), "one"
-    ).select(F.lit("parts").alias("name"), "record_count", F.lit(4).alias("column_count"), "quality_score")
+    datasets = records.agg(F.count(F.lit(1)).alias("record_count")).select(
+        F.lit("parts").alias("name"),
+        "record_count",
+        F.lit(4).alias("column_count"),
+        score.select("overall_score").scalar().alias("quality_score"),
+    )
+    # A source counts as a document here, and a language as a reading method.
     docs = table(spark, folder, "documents").groupBy("source").agg(
-        F.count(F.lit(1)).alias("page_count"), F.collect_set("lang").alias("langs")
+        F.count(F.lit(1)).alias("page_count"), F.min("lang").alias("method")
     )
-    found = provenance.run_manifest(
-        datasets, docs.select("source", "page_count").withColumn("method", F.lit("x")), summary
-    ).drop("datasets", "extraction_methods")
-    methods = table(spark, folder, "documents").select("lang").distinct().agg(
-        F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("methods")
+    found = provenance.run_manifest(datasets, docs, summary)
+    return found.withColumn("methods", F.array_join("extraction_methods", ",")).drop(
+        "datasets", "extraction_methods"
     )
-    return found.withColumn("one", F.lit(1)).join(
-        F.broadcast(methods.withColumn("one", F.lit(1))), "one"
-    ).drop("one")
 
 
 @query(

@@ -63,7 +63,7 @@ def chunk_starts(
             )
         )
     blocks = (
-        steps.withColumn("block", F.floor(F.col("pos") / F.lit(block)))
+        steps.withColumn("block", F.expr(f"pos div {block}"))
         .groupBy("doc_id", "block")
         .agg(
             F.array_sort(

@@ -108,9 +108,7 @@ def data_dictionary(
         listed = first.orderBy("p").limit(pages).agg(
             page_list(F.collect_list("p"), pages).alias("source_pages")
         )
-        shown = shown.withColumn("_one", F.lit(1)).join(
-            F.broadcast(listed.withColumn("_one", F.lit(1))), "_one"
-        )
+        shown = shown.withColumn("source_pages", listed.scalar())
     return shown.select(
         F.lit(dataset).alias("dataset_name"),
         F.col("name").alias("column_name"),
@@ -182,23 +180,22 @@ def run_manifest(datasets: DataFrame, documents: DataFrame, summary: DataFrame)
     `datasets`: name, record_count, column_count, quality_score (one row per
     dataset). `documents`: page_count, method. Valid is all but records with issues.
     """
-    parts = [
-        datasets.agg(
-            F.coalesce(F.sum("record_count"), F.lit(0)).alias("total_records"),
-            F.array_sort(
-                F.collect_list(F.struct("name", "record_count", "column_count", "quality_score"))
-            ).alias("datasets"),
-        ),
-        documents.agg(
-            F.count(F.lit(1)).alias("total_documents"),
-            F.coalesce(F.sum("page_count"), F.lit(0)).alias("total_pages"),
-            F.array_sort(F.collect_set("method")).alias("extraction_methods"),
-        ),
-        summary.select("critical_count", "warning_count", "records_with_issues"),
-    ]
-    one = parts[0].withColumn("_one", F.lit(1))
-    for part in parts[1:]:
-        one = one.join(F.broadcast(part.withColumn("_one", F.lit(1))), "_one")
+    totals = datasets.agg(
+        F.coalesce(F.sum("record_count"), F.lit(0)).alias("total_records"),
+        F.array_sort(
+            F.collect_list(F.struct("name", "record_count", "column_count", "quality_score"))
+        ).alias("datasets"),
+    )
+    read = documents.agg(
+        F.count(F.lit(1)).alias("total_documents"),
+        F.coalesce(F.sum("page_count"), F.lit(0)).alias("total_pages"),
+        F.array_sort(F.collect_set("method")).alias("extraction_methods"),
+    )
+    issues = summary.select("critical_count", "warning_count", "records_with_issues")
+    parts = totals.unionByName(read, allowMissingColumns=True).unionByName(
+        issues, allowMissingColumns=True
+    )
+    one = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     return one.select(
         "total_documents",
         "total_pages",

@@ -93,18 +93,6 @@ def child_names(dataset: str, list_column: str, profile_child: str | None = None
     return child, "college_name" if college else "item_name"
 
 
-def fold_children(child: DataFrame, key: str, item: str, order: str, sep: str = "; ") -> DataFrame:
-    """Children of a key back in one cell (the inverse of `decompose_child`)."""
-    return child.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(order, item))), lambda row: row[item]
-            ),
-            sep,
-        ).alias(item)
-    )
-
-
 def extend_dimension(
     dim: DataFrame,
     names: DataFrame,
@@ -136,7 +124,7 @@ def extend_dimension(
     ).withColumn("_seq", F.col("_at") * 1_000_000 + F.col("_in_row"))
     digits = F.regexp_extract(F.col(id_column), f"^{prefix}([0-9]+)$", 1)
     last = dim.agg(
-        F.coalesce(F.max(F.nullif(digits, F.lit("")).cast("long")), F.lit(0)).alias("_last")
+        F.coalesce(F.max(F.nullif(digits, F.lit("")).cast("long")), F.lit(0)).alias("last")
     )
     numbered = number_rows(ranked, "_seq", "_number", block_rows=1_000_000 * 100_000)
     spelled = (
@@ -148,12 +136,10 @@ def extend_dimension(
     new = (
         numbered.withColumn("_lower", F.lower(name))
         .join(spelled, "_lower")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(last.withColumn("_one", F.lit(1))), "_one")
         .select(
             F.concat(
                 F.lit(prefix),
-                _padded(F.col("_number") + F.col("_last"), width),
+                _padded(F.col("_number") + last.scalar(), width),
             ).alias(id_column),
             name,
             F.when(F.col("_first") < F.col("_seq"), "review_possible_variant").alias(
@@ -283,25 +269,34 @@ def nested_children(
     children: Mapping[str, tuple[DataFrame, str, Sequence[str]]],
     key: str,
     max_items: int = MAX_ITEMS,
+    part: str = "part",
 ) -> DataFrame:
     """Parents with arrays of their children.
 
     `children`: output column -> (child table, integer position column, columns).
     Each child set is grouped before it is joined, so sets do not multiply. A
-    parent with more than `max_items` children continues in rows with part 1, 2, …
+    parent with more than `max_items` children has rows with `part` 1, 2, … instead
+    of a single one with 0.
     """
     sets = None
     for column, (child, position, columns) in children.items():
         grouped = (
-            with_parts(child.select(key, position, *columns), [key], position, max_items)
-            .groupBy(key, "part")
-            .agg(F.array_sort(F.collect_list(F.struct(position, *columns))).alias(column))
+            with_parts(
+                child.select(*dict.fromkeys([key, position, *columns])),
+                [key], position, max_items, "_part",
+            )
+            .groupBy(key, "_part")
+            .agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), *columns))).alias(column))
             .withColumn(column, _pick(column, columns))
         )
-        sets = grouped if sets is None else sets.join(grouped, [key, "part"], "full_outer")
-    return parents.join(sets, key, "left").withColumns(
-        {"part": F.coalesce("part", F.lit(0))}
-        | {column: F.coalesce(column, F.array()) for column in children}
+        sets = grouped if sets is None else sets.join(grouped, [key, "_part"], "full_outer")
+    return (
+        parents.join(sets, key, "left")
+        .withColumns(
+            {part: F.coalesce("_part", F.lit(0))}
+            | {column: F.coalesce(column, F.array()) for column in children}
+        )
+        .drop("_part")
     )
 
 

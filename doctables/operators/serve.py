@@ -36,6 +36,24 @@ def record_page(df: DataFrame, order: Sequence[str], page: int = 1, size: int =
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(
+    df: DataFrame, order: Sequence[str], after: Sequence[object] | None, size: int = 50
+) -> DataFrame:
+    """The page behind the row with these order values; depth does not matter.
+
+    An offset reads and drops all pages before it, this filter is pushed down.
+    """
+    if after is not None:
+        behind = F.lit(False)
+        for i, column in enumerate(order):
+            same = F.lit(True)
+            for c, v in zip(order[:i], after[:i]):
+                same = same & (F.col(c) == F.lit(v))
+            behind = behind | (same & (F.col(column) > F.lit(after[i])))
+        df = df.filter(behind)
+    return df.orderBy(*order).limit(size)
+
+
 def newest(df: DataFrame, by: str = "created_at", where: Mapping[str, object] | None = None) -> DataFrame:
     """Newest first, optionally of one project or owner."""
     return where_all(df, where or {}).orderBy(F.desc(by))

@@ -133,7 +133,7 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
     doc = heads.schema["doc_id"].dataType.simpleString()
     blocks = heads.select(
         "doc_id", "page", "table_index", "headers", "first_row", "columns",
-        F.floor(F.col("page") / F.lit(block_pages)).alias("block"),
+        F.expr(f"page div {block_pages}").alias("block"),
     )
     long = (
         blocks.groupBy("doc_id")

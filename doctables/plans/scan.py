@@ -23,7 +23,7 @@ BLOCK_ROWS = 100_000
 
 def row_block(column: str, rows: int = BLOCK_ROWS) -> Column:
     """Block number for an integer position column."""
-    return F.floor(F.col(column) / F.lit(rows))
+    return F.expr(f"`{column}` div {rows}")
 
 
 def running(

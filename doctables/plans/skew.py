@@ -21,20 +21,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
 
 
 def with_parts(
-    df: DataFrame, keys: Sequence[str], position: str, max_items: int = MAX_ITEMS
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    max_items: int = MAX_ITEMS,
+    name: str = "part",
 ) -> DataFrame:
-    """Add `part`: 0 for keys of normal size, ordered slices for oversized keys.
+    """Add the column `name`: 0 for keys of normal size, ordered slices for oversized keys.
 
     `position` is an integer that orders the rows and is unique within a key, so
-    one slice never holds more than `max_items` rows. Grouping by (key, part)
+    one slice never holds more than `max_items` rows. Grouping by (key, slice)
     then bounds every list, and no row is lost.
     """
     hot = hot_keys(df, keys, max_items).withColumn("_hot", F.lit(True))
     return (
         df.join(hot, list(keys), "left")
         .withColumn(
-            "part",
-            F.when(F.col("_hot"), F.floor(F.col(position) / F.lit(max_items)) + 1)
+            name,
+            F.when(F.col("_hot"), F.expr(f"`{position}` div {max_items}") + 1)
             .otherwise(F.lit(0))
             .cast("long"),
         )

@@ -66,14 +66,16 @@ def validation_split(
     def write(batch: DataFrame, number: int) -> None:
         checked = validate_records(batch, fields).withColumn("batch", F.lit(number))
         checked.persist()
-        for frame, path in (
-            (checked.drop("issues"), records_path),
-            (checked.select(record_id, F.inline("issues"), "batch"), issues_path),
-        ):
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "batch"
-            ).parquet(path)
-        checked.unpersist()
+        try:
+            for frame, path in (
+                (checked.drop("issues"), records_path),
+                (checked.select(record_id, F.inline("issues"), "batch"), issues_path),
+            ):
+                frame.write.mode("overwrite").option(
+                    "partitionOverwriteMode", "dynamic"
+                ).partitionBy("batch").parquet(path)
+        finally:
+            checked.unpersist()
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (

@@ -232,6 +232,9 @@ def test_serving(spark):
     assert [r["id"] for r in serve.record_page(found, ["id"], 1, 3).collect()] == [1, 11, 13]
     assert [r["id"] for r in serve.latest(df, 2, ("id",)).collect()] == [19, 18]
     assert serve.latest(df, 0, ("id",)).count() == 1
+    first = serve.page_after(df, ["status", "id"], None, 12).collect()
+    rest = serve.page_after(df, ["status", "id"], [first[-1]["status"], first[-1]["id"]], 12).collect()
+    assert [r["id"] for r in first + rest] == [*range(0, 20, 2), *range(1, 20, 2)]
     assert serve.where_all(df, {"status": "error", "name": None}).count() == 10
     assert serve.project_columns(df.withColumn("_prov_page", F.lit(1)), ["id"]).columns == ["id", "_prov_page"]
     empty = spark.createDataFrame([], "record_count int, valid_count int, warning_count int, error_count int, quality_score double")
