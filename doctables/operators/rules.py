@@ -204,8 +204,31 @@ def validate(
     rules: Sequence[Rule],
     record_id: str = "record_id",
     source: Mapping[str, str] | None = None,
+    parents: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Issues of all rules. `source` maps issue columns to record columns.
+
+    Row-level rules share one scan. A `unique` rule (parameter `columns`, else its
+    field) and a `referential` rule (`parent`, a name in `parents`, and `key`) add a
+    join each; issues of these carry no source columns.
+    """
+    found = _row_issues(df, rules, record_id, source)
+    for r in rules:
+        if r.rule_type == "unique":
+            more = unique_issues(df, r, list(r.params.get("columns") or [r.field]), record_id)
+        elif r.rule_type == "referential":
+            parent = (parents or {})[str(r.params["parent"])]
+            on = {r.field: str(r.params.get("key", r.field))}
+            more = referential_issues(df, parent, on, r, record_id)
+        else:
+            continue
+        found = found.unionByName(more, allowMissingColumns=True)
+    return found
+
+
+def _row_issues(
+    df: DataFrame, rules: Sequence[Rule], record_id: str, source: Mapping[str, str] | None
 ) -> DataFrame:
-    """Issues of all row-level rules. `source` maps issue columns to record columns."""
     carried = [F.col(c).alias(n) for n, c in (source or {}).items()]
     found = [
         ROW_RULES[r.rule_type](r, F.col(r.field))

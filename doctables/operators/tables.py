@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions import fixed
-from doctables.functions.lists import unify_separators
+from doctables.functions.lists import stitch_cell, unify_separators
 from doctables.functions.text import strip, strip_chars
 from doctables.model import TABLE
 from doctables.plans.scan import row_block, running
@@ -163,8 +163,15 @@ def project_fields(
     )
 
 
-def qualification_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFrame:
-    """Qualification lists: named columns, unified separators, wrapped rows merged."""
+def qualification_rows(
+    rows: DataFrame, table: Sequence[str] = TABLE, wrapped_names: bool = False
+) -> DataFrame:
+    """Qualification lists: named columns, unified separators, wrapped rows merged.
+
+    With `wrapped_names`, a list line that only completes a name ("College") is
+    joined to the line above it and is no item of its own.
+    """
+    items = stitch_cell if wrapped_names else unify_separators
     projected = project_fields(
         rows,
         fixed.QUALIFICATION_ALIASES,
@@ -173,7 +180,7 @@ def qualification_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFra
         ("saqa_id", "qualification"),
         4,
         table,
-    ).withColumn("participating_colleges", unify_separators(F.col("participating_colleges")))
+    ).withColumn("participating_colleges", items(F.col("participating_colleges")))
     return merge_wrapped(
         projected,
         fields=list(fixed.QUALIFICATION_ALIASES),
@@ -182,6 +189,7 @@ def qualification_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFra
         text="qualification",
         items="participating_colleges",
         table=table,
+        glue_fragments=wrapped_names,
     )
 
 

@@ -261,3 +261,15 @@ def test_golden(spark):
     assert (wrong["identifier"], wrong["expected_value"], wrong["actual_value"]) == ("1002", "6", "7")
     same = compare.golden_report(golden, golden, key).first()
     assert (same["record_f1"], same["field_accuracy"]) == (100.0, 100.0)
+
+
+def test_set_rules_in_validate(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", None)], "record_id int, k string, p string")
+    parent = spark.createDataFrame([("x",)], "id string")
+    checks = [
+        rules.Rule("u", "unique k", "k", "unique"),
+        rules.Rule("f", "parent", "p", "referential", params={"parent": "owners", "key": "id"}),
+        rules.Rule("t", "type", "k", "type", params={"type": "integer"}),
+    ]
+    issues = rules.validate(df, checks, parents={"owners": parent})
+    assert rows_of(issues, "rule_id", "record_id") == [("f", 2), ("t", 1), ("t", 2), ("t", 3), ("u", 1), ("u", 2)]

@@ -264,3 +264,29 @@ def test_number_rows(spark):
     got = number_rows(df, "id", "n", block_rows=10).orderBy("id").collect()
     assert [r["n"] for r in got] == list(range(1, len(got) + 1))
     assert scan.BLOCK_ROWS > 0
+
+
+def test_readers(spark):
+    from doctables.operators import readers
+
+    rows = spark.createDataFrame(
+        [("d", 1, 0, i, c) for i, c in enumerate([["Code", "Name"], ["1", "a\nb"], ["", None], ["2", "c"]])]
+        + [("e", 1, 0, 0, ["alone", "row"])],
+        "doc_id string, page int, table_index int, row_idx long, cells array<string>",
+    )
+    generic = readers.get_reader("unknown")(rows)
+    assert [r["cells"] for r in generic.orderBy("row_idx").collect()] == [["1", "a b"], ["2", "c"]]
+    strict = readers.get_reader("pdf_pymupdf")(rows).orderBy("row_idx").collect()
+    assert [(r["cells"], r["confidence"]) for r in strict] == [(["1", "a\nb"], 0.92), (["2", "c"], 0.92)]
+    readers.register_reader("mine", lambda df: df.limit(0))
+    assert readers.get_reader("mine")(rows).count() == 0
+    sparse = generic.withColumn("cells", F.transform("cells", lambda c: F.substring(c, 1, 0)))
+    best = readers.read_best({"pdf_tables": sparse.withColumn("cells", F.array(F.lit("x"), F.lit(""))), "pdf_text": generic}, F.lit("pdf_tables"), enough=0.9)
+    assert {(r["doc_id"], r["strategy"]) for r in best.collect()} == {("d", "pdf_text")}
+    listed = raw(spark, [(1, [], [HEADER, ["118792", "Dev", "5", "OQSF", "Yes", "Orbit TVET\nCollege"], ["", "", "", "", "", "College"]])])
+    whole = tables.qualification_rows(listed, wrapped_names=True).first()
+    assert whole["participating_colleges"] == "Orbit TVET College College"
+    assert readers.get_reader("qualifications")(listed).first()["headers"][0] == "saqa_id"
+
+
+HEADER = ["SAQA ID", "Qualification Title", "NQF Level", "Sub-Framework", "NSFAS", "Participating Colleges"]
