@@ -142,25 +142,23 @@ def project_fields(
         .filter(~F.coalesce(first.rlike(any_of(header_words)), F.lit(False)))
         .join(heads, list(table), "left")
         .filter(F.col("header_row").isNull() | (F.col("row_idx") > F.col("header_row")))
-        .withColumn("cells", strip_cells(F.col("cells")))
     )
     mapped = F.lit(True)
     for field in required:
         mapped = mapped & (F.col("places")[fields.index(field)] >= 0)
-    mapped = F.coalesce(mapped, F.lit(False))
+    by_position = F.array(*[F.lit(i) for i in range(len(fields))])
+    placed = body.filter(F.coalesce(mapped, F.lit(False)) | (F.size("cells") >= min_cells)).withColumn(
+        "places", F.when(mapped, F.col("places")).otherwise(by_position)
+    )
     columns = {}
     for i, field in enumerate(fields):
-        default = F.lit(defaults.get(field, ""))
-        place = F.col("places")[i]
-        by_header = F.coalesce(F.when(place >= 0, F.try_element_at("cells", place + 1)), default)
-        columns[field] = F.when(mapped, by_header).otherwise(
-            cell(F.col("cells"), i, defaults.get(field, ""))
-        )
-    return (
-        body.filter(mapped | (F.size("cells") >= min_cells))
-        .withColumns(columns)
-        .drop("header_row", "places")
-    )
+        found = F.get("cells", F.col("places")[i])
+        default = defaults.get(field, "")
+        if default:
+            there = F.col("places")[i].between(0, F.size("cells") - 1)
+            found = F.coalesce(found, F.when(there, "").otherwise(default))
+        columns[field] = strip(F.coalesce(found, F.lit("")))
+    return placed.withColumns(columns).drop("header_row", "places")
 
 
 def qualification_rows(
@@ -231,7 +229,12 @@ def merge_wrapped(
     an item that only completes a name ("College …") is appended with a blank.
     Continuations above the first record of a table are dropped.
     """
-    kinds = rows.withColumn("_start", starts).filter(F.col("_start") | continues)
+    carried = [c for c in ("method", "confidence") if c in rows.columns]
+    kinds = (
+        rows.select(*table, "row_idx", *fields, *carried)
+        .withColumn("_start", starts)
+        .filter(F.col("_start") | continues)
+    )
     marked = running(
         kinds,
         table,
@@ -256,7 +259,6 @@ def merge_wrapped(
         for name, joint in lists.items()
     }
     others = [f for f in fields if f not in lists]
-    carried = [c for c in ("method", "confidence") if c in rows.columns]
     merged = (
         marked.withColumns(tokens)
         .groupBy(*table, "_record")
@@ -286,10 +288,11 @@ def codebook_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFrame:
     """
     body = rows.filter(
         (F.col("row_idx") > 0) & (F.size("cells") >= 2) & has_text(F.col("cells"))
-    ).withColumn("cells", strip_cells(F.col("cells")))
+    )
     full = F.size("cells") >= 4
     filled = fill_down(body, full, table)
-    at = lambda i, default="": F.when(full, cell(F.col("cells"), i, default))
+    text = lambda i, default="": strip(F.coalesce(cell(F.col("cells"), i, default), F.lit("")))
+    at = lambda i, default="": F.when(full, text(i, default))
     return (
         filled.filter(full | F.col("variable_name").isNotNull())
         .select(
@@ -297,8 +300,8 @@ def codebook_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFrame:
             "row_idx",
             F.coalesce("variable_name", F.lit("")).alias("variable_name"),
             F.coalesce("variable_label", F.lit("")).alias("variable_label"),
-            F.coalesce(at(2), cell(F.col("cells"), 0)).alias("value"),
-            F.coalesce(at(3), cell(F.col("cells"), 1)).alias("value_label"),
+            F.coalesce(at(2), text(0)).alias("value"),
+            F.coalesce(at(3), text(1)).alias("value_label"),
             F.coalesce(at(4, "categorical"), F.lit("categorical")).alias("data_type"),
             F.coalesce(at(5), F.lit("")).alias("description"),
         )
@@ -307,8 +310,8 @@ def codebook_rows(rows: DataFrame, table: Sequence[str] = TABLE) -> DataFrame:
 
 def fill_down(rows: DataFrame, full: Column, table: Sequence[str] = TABLE) -> DataFrame:
     """Last non-blank first and second cell of the full rows, down each table."""
-    first = F.nullif(cell(F.col("cells"), 0), F.lit(""))
-    second = F.nullif(cell(F.col("cells"), 1), F.lit(""))
+    first = F.nullif(strip(cell(F.col("cells"), 0)), F.lit(""))
+    second = F.nullif(strip(cell(F.col("cells"), 1)), F.lit(""))
     return running(
         rows,
         table,

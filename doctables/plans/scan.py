@@ -70,42 +70,33 @@ def _scan(
     """Add `_out_x` from `_in_x`, up to the current row (end 0) or the one before (-1)."""
     above = [name for level in levels for name in level]
     keys = [*group, *above]
+    values = [*sums, *lasts]
+    if levels:
+        at = F.struct(*order)
+        totals = df.groupBy(*keys).agg(
+            *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
+            *[
+                F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), at)).alias(f"_in_{n}")
+                for n in lasts
+            ],
+        )
+        carried = (
+            _scan(totals, group, levels[0], levels[1:], sums, lasts, -1)
+            .select(*keys, *[F.col(f"_out_{n}").alias(f"_in_{n}") for n in values])
+            .dropna("all", subset=[f"_in_{n}" for n in values])
+            .withColumn("_own", F.lit(False))
+        )
+        df = df.withColumn("_own", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+        order = ["_own", *order]
+
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     )
-    local = df.withColumns(
+    done = df.withColumns(
         {f"_out_{n}": F.sum(f"_in_{n}").over(inside) for n in sums}
         | {f"_out_{n}": F.last(f"_in_{n}", ignorenulls=True).over(inside) for n in lasts}
     )
-    if not levels:
-        return local
-
-    at = F.struct(*order)
-    totals = df.groupBy(*keys).agg(
-        *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
-        *[
-            F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), at)).alias(f"_in_{n}")
-            for n in lasts
-        ],
-    )
-    outs = {f"_out_{n}": f"_carry_{n}" for n in [*sums, *lasts]}
-    carry = (
-        _scan(totals, group, levels[0], levels[1:], sums, lasts, -1)
-        .select(*keys, *outs)
-        .withColumnsRenamed(outs)
-        .dropna("all", subset=list(outs.values()))
-    )
-    return (
-        local.join(carry, keys, "left")
-        .withColumns(
-            {
-                f"_out_{n}": F.coalesce(f"_out_{n}", F.lit(0)) + F.coalesce(f"_carry_{n}", F.lit(0))
-                for n in sums
-            }
-            | {f"_out_{n}": F.coalesce(f"_out_{n}", f"_carry_{n}") for n in lasts}
-        )
-        .drop(*outs.values())
-    )
+    return done.filter("_own").drop("_own") if levels else done
 
 
 def number_rows(
