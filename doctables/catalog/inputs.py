@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doctables.catalog.base import table
+from doctables.functions.lists import let
 
 CTE: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
@@ -470,21 +471,22 @@ def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def doc_pages(spark: SparkSession, folder: str) -> DataFrame:
     # Cut inside each text value: no shuffle, and a page is at most 20 lines.
-    lines = F.split("text", "\n")
+    def cut(lines):
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(lines) / 20).cast("int") - 1)
+        return F.transform(
+            numbers, lambda n: F.array_join(F.slice(lines, n * 20 + 1, F.lit(20)), "\n")
+        )
+
     pages = (
         table(spark, folder, "documents")
-        .select("doc_id", lines.alias("l"))
-        .select(
-            "doc_id",
-            "l",
-            F.explode(F.sequence(F.lit(1), F.ceil(F.size("l") / 20).cast("int"))).alias("page"),
-        )
+        .select("doc_id", F.posexplode(let(F.split("text", "\n"), cut)).alias("i", "text"))
+        .select("doc_id", (F.col("i") + 1).alias("page"), "text")
     )
     both = F.col("doc_id") + F.col("page")
     return pages.select(
         "doc_id",
         "page",
-        F.array_join(F.slice("l", (F.col("page") - 1) * 20 + 1, F.lit(20)), "\n").alias("text"),
+        "text",
         (both % 3).cast("int").alias("images"),
         (both % 12).cast("int").alias("drawings"),
         F.when(F.col("page") % 2 == 0, (F.col("doc_id") % 3).cast("int")).alias("tables"),

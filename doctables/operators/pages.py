@@ -193,9 +193,15 @@ def continuation_groups(tables: DataFrame, page_block: int = 4096) -> DataFrame:
 
 def continued_pages(groups: DataFrame) -> DataFrame:
     """Pages of the groups but their first: those a table runs into."""
-    return groups.select(
-        "doc_id", F.explode(F.sequence(F.col("first_page") + 1, "last_page")).alias("page")
-    ).distinct()
+    # Two steps bound the arrays, however long a run is.
+    step = 10_000
+    spans = groups.select(
+        "doc_id",
+        "last_page",
+        F.explode(F.sequence(F.col("first_page") + 1, F.col("last_page"), F.lit(step))).alias("_from"),
+    )
+    end = F.least("last_page", F.col("_from") + (step - 1))
+    return spans.select("doc_id", F.explode(F.sequence("_from", end)).alias("page")).distinct()
 
 
 def select_documents(df: DataFrame, document_ids: Sequence | DataFrame) -> DataFrame:

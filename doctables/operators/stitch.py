@@ -206,4 +206,5 @@ def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         table=["doc_id", "master_page", "master_index"],
         order=["page", "table_index", "row_idx"],
         block=[F.col("page"), F.col("table_index"), row_block("row_idx")],
+        coarse=[[row_block("page", 4096)]],
     )

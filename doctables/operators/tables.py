@@ -368,6 +368,7 @@ def heal_rows(
     table: Sequence[str] = TABLE,
     order: Sequence[str] = ("row_idx",),
     block: Sequence[Column] | None = None,
+    coarse: Sequence[Sequence[Column]] = (),
 ) -> DataFrame:
     """Drop noise rows and merge wrapped rows, cell by cell, into the row above.
 
@@ -387,6 +388,7 @@ def heal_rows(
         order,
         block or [row_block("row_idx")],
         sums={"_record": F.col("_start").cast("long")},
+        coarse=coarse,
     )
     carried = [c for c in ("headers", "method", "confidence") if c in rows.columns]
     records = marked.groupBy(*table, "_record").agg(

@@ -47,12 +47,26 @@ def inspect(pages: DataFrame, names: DataFrame, profiles: Sequence[Profile], max
 def rebuild(raw_rows: DataFrame) -> DataFrame:
     """Clean rows of whole tables from the raw rows of page tables.
 
-    `row_index` orders the rows of a document and is unique in it.
+    `row_index`, a struct, orders the rows of all documents and is unique.
     """
     rows = clean_cells(raw_rows)
     if "headers" not in rows.columns:
         rows = promote_headers(rows)
-    return stitch_tables(rows)
+    return stitch_tables(rows).withColumn(
+        "row_index", F.struct("doc_id", "page", "table_index", "row_idx")
+    )
+
+
+def layouts(rows: DataFrame) -> DataFrame:
+    """Header rows that occur, with their number of rows: one dataset each."""
+    return rows.groupBy("headers").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _only_layout(rows: DataFrame) -> list[str]:
+    found = layouts(rows).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("name the headers: the rows hold no or several layouts")
+    return list(found[0]["headers"] or [])
 
 
 def run(
@@ -67,13 +81,21 @@ def run(
 ) -> Result:
     """Normalise, infer the schema, deduplicate, decompose, validate and score.
 
-    `rows`: cells (array) or named columns, an integer `order` column, and optionally
-    doc_id, page, method, confidence. With `work_dir` the normalised records are
+    `rows`: cells (array) or named columns, a unique `order` column (number or struct),
+    and optionally doc_id, page, method, confidence. Rows with cells need `headers`
+    unless all of them share one layout; filter them by it first. With `work_dir` the normalised records are
     written once and read by all later steps; give it for large inputs.
     """
-    source = [c for c in ("doc_id", "page", "table_index", "row_idx", "method", "confidence", "headers") if c in rows.columns]
+    known = (
+        "doc_id", "page", "table_index", "row_idx", "method", "confidence", "headers",
+        "master_page", "master_index",
+    )
+    source = [c for c in known if c in rows.columns]
     if headers is None:
-        headers = [c for c in rows.columns if c not in (*source, order, "cells")]
+        if "cells" in rows.columns:
+            headers = _only_layout(rows)
+        else:
+            headers = [c for c in rows.columns if c not in (*source, order)]
     named = rows
     if "cells" in rows.columns:
         named = records_by_position(rows, [f"_c{i}" for i in range(len(headers))])
@@ -99,7 +121,7 @@ def run(
         records,
         F.col("doc_id").cast("string") if "doc_id" in records.columns else F.lit(dataset),
         F.col("page") if "page" in records.columns else F.lit(1),
-        F.col(order),
+        F.col("row_idx") if "row_idx" in records.columns else F.col(order),
         F.col("method") if "method" in records.columns else F.lit("table"),
         F.col("confidence") if "confidence" in records.columns else None,
     ).drop(*source)

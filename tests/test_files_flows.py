@@ -186,6 +186,22 @@ def test_rebuild(spark):
     assert [r["cells"] for r in out] == [["1", "a b"], ["2", "c"]]
 
 
+def test_raw_rows_to_datasets(spark):
+    lines = [
+        (1, 0, HEAD), (1, 1, ["118792", "AI Developer", "5", "OQSF", "Yes", "Motheo TVET; Umfolozi TVET"]),
+        (1, 2, ["", "(new)", "", "", "", ""]), (1, 3, ["Page 1 of 2"]),
+        (2, 0, HEAD), (2, 1, ["102145", "Solar Technician", "4", "OQSF", "No", "Orbit TVET"]),
+    ]
+    raw = spark.createDataFrame([("d", p, 0, i, c) for p, i, c in lines], "doc_id string, page int, table_index int, row_idx long, cells array<string>")
+    done = workflow.run(workflow.rebuild(raw), "qualifications", PACKS[3])
+    parent = sorted((r["saqa_id"], r["qualification"], r["_prov"]["source_page"]) for r in done.datasets["qualifications"].collect())
+    assert parent == [("102145", "Solar Technician", 2), ("118792", "AI Developer (new)", 1)]
+    assert done.datasets["qualification_colleges"].count() == 3
+    assert done.summary.first()["total_issues"] == 0
+    with pytest.raises(ValueError):
+        workflow.run(workflow.rebuild(raw).filter("false"), "none")
+
+
 def test_streams_equal_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(i % 5, f" v{i % 3} ", f"2024-01-01 0{i % 9}:00:00") for i in range(60)]
