@@ -30,7 +30,8 @@ def _keyed(df: DataFrame, key: Column, order: str | None, columns: Sequence[str]
     """One row per non-blank key, the last one by `order`; values in a struct."""
     at = F.col(order) if order else F.lit(0)
     rows = df.select(key.alias("_key"), at.alias("_at"), F.struct(*columns).alias("_row"))
-    last = [F.col("_at").desc(), F.col("_row").cast("string").desc()] if not order else [F.desc("_at")]
+    # Without an order any row may stand for its key, but always the same one.
+    last = [F.desc("_at")] if order else [F.xxhash64("_row")]
     return first_per_key(rows.filter(F.coalesce("_key", F.lit("")) != ""), ["_key"], last)
 
 

@@ -105,9 +105,10 @@ def activity_rate(
 
     The same call counts a stream (give `late`) and a batch.
     """
-    stamped = rows.withColumn(time, F.col(time).cast("timestamp"))
+    # A watermark needs an instant; a batch keeps times without a zone as they are.
+    stamped = rows
     if late is not None:
-        stamped = stamped.withWatermark(time, late)
+        stamped = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     window: Column = (
         F.session_window(time, length) if session else F.window(time, length, slide or length)
     )
