@@ -21,10 +21,16 @@ from doctables.plans.scan import number_rows
 BLOCK_PAGES = 1024
 
 
-def _next_start(steps: Column, entry: Column) -> Column:
-    """Follow the steps through one block, from `entry` to the first start behind it."""
+def _follow(steps: Column, entry: int) -> Column:
+    """Follow the steps through one block: first start behind it, starts in it."""
+    begin = F.struct(F.lit(entry).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
-        steps, entry, lambda at, s: F.when(at == s["i"], at + s["step"]).otherwise(at)
+        steps,
+        begin,
+        lambda acc, s: F.when(
+            acc["at"] == s["i"],
+            F.struct((acc["at"] + s["step"]).alias("at"), (acc["n"] + 1).alias("n")),
+        ).otherwise(acc),
     )
 
 
@@ -74,21 +80,23 @@ def chunk_starts(
     exits = blocks.select(
         "doc_id",
         "block",
-        F.array(
-            *[_next_start(F.col("steps"), F.lit(e).cast("long")) - block for e in range(size)]
-        ).alias("exits"),
+        F.array(*[_follow(F.col("steps"), e) for e in range(size)]).alias("exits"),
     )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        entry, entries = 0, []
+        entry, first, entries, firsts = 0, 0, [], []
         for out in pdf["exits"]:
             entries.append(entry)
-            entry = max(0, int(out[entry]))
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "block": pdf["block"], "entry": entries})
+            firsts.append(first)
+            first += int(out[entry]["n"])
+            entry = max(0, int(out[entry]["at"]) - block)
+        return pd.DataFrame(
+            {"doc_id": pdf["doc_id"], "block": pdf["block"], "entry": entries, "first": firsts}
+        )
 
     entries = exits.groupBy("doc_id").applyInPandas(
-        chain, f"doc_id {doc}, block bigint, entry bigint"
+        chain, f"doc_id {doc}, block bigint, entry bigint, first bigint"
     )
     found = F.aggregate(
         "steps",
@@ -101,10 +109,13 @@ def chunk_starts(
         ),
     )["starts"]
     starts = blocks.join(entries, ["doc_id", "block"]).select(
-        "doc_id", F.explode(found).alias("_i"), "block"
+        "doc_id", "block", "first", F.posexplode(found).alias("_n", "_i")
+    )
+    return starts.select(
+        "doc_id",
+        (F.col("block") * block + F.col("_i")).alias("start"),
+        (F.col("first") + F.col("_n")).alias("chunk_index"),
     )
-    positions = starts.select("doc_id", (F.col("block") * block + F.col("_i")).alias("start"))
-    return number_rows(positions, "start", "chunk_index", start=-1, group=["doc_id"])
 
 
 def create_chunks(

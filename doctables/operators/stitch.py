@@ -182,7 +182,8 @@ def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     Runs jobs over one row per physical table. Result: doc_id, master_page, master_index, and page, table_index, row_idx of the
     first source row, headers of the master, cells.
     """
-    heads = table_heads(rows)
+    # One row per physical table, read by every step but the last.
+    heads = durable(table_heads(rows))
     masters = assign_masters(heads, block_pages)
     names = heads.select(
         "doc_id",
@@ -193,7 +194,6 @@ def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     parts = masters.join(names, ["doc_id", "master_page", "master_index"]).join(
         heads.select(*TABLE, "first_idx"), TABLE
     )
-    # One row per physical table, read by every later step.
     parts = durable(parts)
     kept = (
         rows.drop("headers")
