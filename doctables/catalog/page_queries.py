@@ -313,9 +313,9 @@ def _order_pages(spark, folder):
 
 
 def _chunks(spark, folder):
-    groups = pages.continuation_groups(inputs.page_tables(spark, folder))
+    linked = pages.linked_pages(inputs.page_tables(spark, folder))
     # Small blocks, so that documents span several of them.
-    return chunks.create_chunks(_order_pages(spark, folder), groups, block=32)
+    return chunks.create_chunks(_order_pages(spark, folder), linked, block=32)
 
 
 def _recursive(sql: str) -> str:

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.text import strip
-from doctables.operators.pages import continued_pages
 from doctables.plans.durable import durable
 from doctables.plans.scan import number_rows
 
@@ -120,7 +119,7 @@ def chunk_starts(
 
 def create_chunks(
     pages: DataFrame,
-    groups: DataFrame | None = None,
+    continued: DataFrame | None = None,
     size: int = 4,
     wanted: DataFrame | None = None,
     overlap_lines: int = 15,
@@ -128,13 +127,15 @@ def create_chunks(
 ) -> DataFrame:
     """Chunks of `size` pages with their text and the context before them.
 
-    `pages`: doc_id, page, text. `groups`: continuation groups. `wanted`: doc_id,
-    page of the pages to take (all without it). Runs two jobs over page numbers.
+    `pages`: doc_id, page, text. `continued`: doc_id, page of pages a table runs into
+    (`pages.linked_pages`, or `pages.continued_pages` of stored groups). `wanted`:
+    doc_id, page of the pages to take (all without it). Runs two jobs over page numbers.
     """
     chosen = pages if wanted is None else pages.join(wanted, ["doc_id", "page"], "left_semi")
     # Two narrow tables of page numbers feed every step below: write them once.
     placed = durable(place_pages(chosen))
-    continued = None if groups is None else durable(continued_pages(groups))
+    if continued is not None:
+        continued = durable(continued.select("doc_id", "page").distinct())
     starts = chunk_starts(placed, continued, size, block)
     members = starts.select(
         "doc_id", "chunk_index", F.explode(F.sequence("start", F.col("start") + size - 1)).alias("pos")

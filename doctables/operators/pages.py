@@ -149,13 +149,13 @@ def table_inventory(rows: DataFrame) -> DataFrame:
     )
 
 
-def continuation_groups(tables: DataFrame, page_block: int = 4096) -> DataFrame:
-    """Runs of pages over which a table seems to continue.
+def linked_pages(tables: DataFrame) -> DataFrame:
+    """Pages that a table of the page before seems to run into.
 
     `tables`: doc_id, page, table_index, headers, row_estimate. The last table of a
     page and the first of the next are linked when their headers agree (equal, or
-    equally many) or both have more than five rows. A run goes on through a page
-    only if the page has a single table. A run is an interval of pages.
+    equally many) or both have more than five rows. `above` is the number of tables
+    on the page before.
     """
     ends = tables.groupBy("doc_id", "page").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -171,15 +171,23 @@ def continuation_groups(tables: DataFrame, page_block: int = 4096) -> DataFrame:
         & (F.size(down["headers"]) > 0)
         & (F.size(up["headers"]) == F.size(down["headers"]))
     ) | ((up["row_estimate"] > 5) & (down["row_estimate"] > 5))
-    links = (
+    return (
         ends.drop("_bottom", "_n")
         .join(before, ["doc_id", "page"])
         .filter(agree)
-        .select("doc_id", "page", "_above")
+        .select("doc_id", "page", F.col("_above").alias("above"))
     )
+
+
+def continuation_groups(tables: DataFrame, page_block: int = 4096) -> DataFrame:
+    """Runs of linked pages, as intervals.
+
+    A run goes on through a page only if the page has a single table.
+    """
+    links = linked_pages(tables)
     previous = links.select("doc_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("_linked"))
     starts = links.join(previous, ["doc_id", "page"], "left").withColumn(
-        "_start", (F.col("_linked").isNull() | (F.col("_above") > 1)).cast("long")
+        "_start", (F.col("_linked").isNull() | (F.col("above") > 1)).cast("long")
     )
     return (
         running(

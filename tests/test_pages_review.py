@@ -131,7 +131,7 @@ def test_chunks_equal_loop(spark, seed, size, block):
     df = spark.createDataFrame(rows, "doc_id string, page int, text string")
     spans = spark.createDataFrame(groups, "doc_id string, first_page int, last_page int")
     got = {}
-    for r in chunks.create_chunks(df, spans, size=size, block=block).orderBy("doc_id", "chunk_index").collect():
+    for r in chunks.create_chunks(df, pages.continued_pages(spans), size=size, block=block).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r["doc_id"], []).append(r)
     for doc, (expected, continued, listed) in want.items():
         assert [r["pages"] for r in got[doc]] == expected
