@@ -7,9 +7,30 @@ the results depend on (UTC) and what the plans expect (adaptive execution).
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Needed unless the package is installed there or was given to --py-files.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='doctables-')}/doctables", "zip", root.parent, root.name
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
+
 
 def tune(builder: SparkSession.Builder) -> SparkSession.Builder:
     return (
