@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doctables.llm import mixing, simhash, tokencount, tokenfiles
+from doctables.llm import langid, linededup, mixing, multiindex, permindex, pieces, simhash, tokencount, tokenfiles
 from doctables.llm.work import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,37 @@ def op9_token_files(spark, folder):
     place = shared_folder(spark)
     files = tokenfiles.write_token_files(table(spark, folder, "documents"), place)
     return tokenfiles.read_token_files(files, place)
+
+
+@query
+def op2_language_id(spark, folder):
+    model = langid.fit_text_model(table(spark, folder, "documents"))
+    return langid.identify_pages(table(spark, folder, "pages"), model)
+
+
+@query
+def op3_sentencepiece(spark, folder):
+    """Ids of every whole text, and whether decoding them gives the text again."""
+    coded = pieces.encode_documents(table(spark, folder, "documents").select("doc_id", "text"))
+    back = pieces.decode(F.col("ids"))
+    return coded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (back == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
+
+
+@query
+def op4_line_dedup(spark, folder):
+    return linededup.line_groups(table(spark, folder, "documents")).select("doc", "at", "keep_doc", "keep_at", "kept").withColumnsRenamed(
+        {"doc": "doc_id", "at": "line", "keep_doc": "keep_doc_id", "keep_at": "keep_line"}
+    )
+
+
+@query
+def op5_embedding_dedup(spark, folder):
+    return multiindex.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_nearest(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return permindex.nearest(vectors, vectors.filter("vec_id % 50 = 0").select("vec_id"))
