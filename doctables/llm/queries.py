@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doctables.llm import langid, linededup, mixing, multiindex, permindex, pieces, simhash, tokencount, tokenfiles
+from doctables.llm import chat, langid, linededup, mixing, multiindex, permindex, pieces, simhash, tokencount, tokenfiles
 from doctables.llm.work import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,40 @@ def op5_embedding_dedup(spark, folder):
 def op10_nearest(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return permindex.nearest(vectors, vectors.filter("vec_id % 50 = 0").select("vec_id"))
+
+
+@query
+def op8_chat_format(spark, folder):
+    """All conversations, and one that holds control strings, formatted and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).selectExpr(
+        "-7L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", r"r'\### Assistant: </turn> ok' as text"
+    )
+    back = chat.read_back(chat.format_paths(chat.linear_replies(turns.union(odd))))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+ORACLES["op8_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), coded AS (
+    SELECT *, replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') AS role_out,
+        replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') AS text_out
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(role_out) + length(text_out) + 15) AS BIGINT) AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
