@@ -18,6 +18,7 @@ SAMPLE = 3000  #: labelled documents that the text model is fitted on, the bound
 MOST_LABELS = 32
 EVIDENCE = 60.0  #: trigrams count as so many independent ones at most
 STRENGTH = 20.0  #: pseudo-documents that a level of the hierarchy hands to the one below
+EVEN = 0.2  #: weight of the even distribution in every label's, so that unseen trigrams cost little each
 UNKNOWN = "und"
 _BLANK = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
@@ -79,7 +80,7 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counts = np.zeros(size)
         own = found[found["label"] == label]
         counts[own["bucket"].to_numpy(int)] = own["n"].to_numpy(float)
-        table[:, k] = np.log((counts + 0.1) / (counts.sum() + 0.1 * size))
+        table[:, k] = np.log((1 - EVEN) * counts / max(counts.sum(), 1.0) + EVEN / size)
     return TextModel(labels, table.astype(np.float32))
 
 

@@ -102,7 +102,10 @@ def _crowded(rest: DataFrame) -> DataFrame:
         .when(slot == 32, F.array(*[F.lit(m).cast("long") for m in two]))
         .otherwise(F.array(*[F.lit(signed(m << 32)).cast("long") for m in two]))
     )
-    posted = rest.select("key", "rep", "fp", F.explode(masks).alias("mask")).withColumn("left", F.expr("fp & ~mask"))
+    # under a first half with a deleted bit, that bit may differ as well
+    wild = F.when(slot < 32, F.expr("shiftleft(1L, cast(32 + shiftright(key, 32) as int))")).otherwise(F.lit(0).cast("long"))
+    posted = rest.select("key", "rep", F.col("fp").bitwiseAND(F.bitwise_not(wild)).alias("fp"), F.explode(masks).alias("mask"))
+    posted = posted.withColumn("left", F.expr("fp & ~mask"))
     lowest = posted.groupBy("key", "mask", "left").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.count(F.lit(1)).alias("n"))
     found = lowest.filter("n > 1")
     return (
