@@ -133,14 +133,12 @@ def infer_list_type(spark, folder):
     SELECT 'order_id' AS field, 0 AS position, CAST(order_id AS VARCHAR) AS v FROM head UNION ALL
     SELECT 'flag', 1, flag FROM head UNION ALL SELECT 'parts', 2, parts FROM head)
   WHERE coalesce(v, '') <> '' GROUP BY field, position)
-WHERE share >= 0.35 ORDER BY position LIMIT 1""".replace(
-            "FROM head", "FROM (SELECT * FROM order_parts ORDER BY row_index LIMIT 30)"
-        ),
+WHERE share >= 0.35 ORDER BY position LIMIT 1""".replace("FROM head", "FROM order_parts"),
         "order_parts",
     )
 )
 def detect_list_column(spark, folder):
-    return schema.list_columns(inputs.order_parts(spark, folder), ["order_id", "flag", "parts"], "row_index")
+    return schema.list_columns(inputs.order_parts(spark, folder), ["order_id", "flag", "parts"])
 
 
 @query(

@@ -29,9 +29,9 @@ inputs.NEEDS["page_stats"] = ("doc_pages",)
 inputs.CTE["doc_rollup"] = """
 SELECT doc_id, n AS page_count, chars AS total_text_length, images AS total_images, round_even(scanned / seen, 2) AS scanned_ratio,
   round_even(least(1.0, chars / seen / 300.0), 2) AS text_availability, round_even(least(1.0, tables / seen), 2) AS table_likelihood, chars > 100 AS has_digital_text
-FROM (SELECT doc_id, count(*) AS n, CAST(count(CASE WHEN page <= 3 THEN 1 END) AS DOUBLE) AS seen,
-    CAST(sum(CASE WHEN page <= 3 THEN text_length ELSE 0 END) AS BIGINT) AS chars, CAST(sum(CASE WHEN page <= 3 THEN image_count ELSE 0 END) AS BIGINT) AS images,
-    CAST(sum(CASE WHEN page <= 3 AND is_scanned THEN 1 ELSE 0 END) AS DOUBLE) AS scanned, CAST(sum(CASE WHEN page <= 3 THEN table_count ELSE 0 END) AS DOUBLE) AS tables
+FROM (SELECT doc_id, count(*) AS n, CAST(count(*) AS DOUBLE) AS seen,
+    CAST(sum(text_length) AS BIGINT) AS chars, CAST(sum(image_count) AS BIGINT) AS images,
+    CAST(sum(CASE WHEN is_scanned THEN 1 ELSE 0 END) AS DOUBLE) AS scanned, CAST(sum(table_count) AS DOUBLE) AS tables
   FROM page_stats GROUP BY doc_id)"""
 inputs.NEEDS["doc_rollup"] = ("page_stats",)
 
@@ -47,7 +47,7 @@ def page_stats(spark, folder):
 
 @query(with_inputs("SELECT * FROM doc_rollup", "doc_rollup"))
 def doc_rollup(spark, folder):
-    return pages.document_rollup(_stats(spark, folder), max_pages=3)
+    return pages.document_rollup(_stats(spark, folder))
 
 
 inputs.CTE["layout"] = """
@@ -103,12 +103,11 @@ def running_heads(spark, folder):
 @query(
     with_inputs(
         """SELECT doc_id, page, title, CASE WHEN contains(title, 'ANNEXURE') THEN 'annexure' WHEN contains(title, 'TABLE') THEN 'dataset' ELSE 'body' END AS section_type
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS r FROM (
+FROM (SELECT * FROM (
   SELECT doc_id, page, line_no, {t} AS title FROM (
-    SELECT doc_id, page, line_no, CASE WHEN line_no % 5 = 0 THEN upper(replace(substr(line, 1, 40), 'ß', 's')) WHEN line_no % 5 = 1 THEN 'TABLE ' || substr(line, 1, 30)
-      WHEN line_no % 35 = 2 THEN 'ANNEXURE ' || page ELSE line END AS line FROM doc_lines WHERE line_no % 20 < 8))
-  WHERE length(title) BETWEEN 5 AND 79 AND ((upper(title) = title AND lower(title) <> title) OR regexp_matches(title, '^(SECTION|TABLE|ANNEXURE)')))
-WHERE r <= 20""".replace("{t}", _strip("line")),
+    SELECT doc_id, page, line_no, CASE WHEN line_no % 5 = 0 THEN upper(replace(line, 'ß', 's')) WHEN line_no % 5 = 1 THEN 'TABLE ' || line
+      WHEN line_no % 35 = 2 THEN 'ANNEXURE ' || page ELSE line END AS line FROM doc_lines))
+  WHERE length(title) BETWEEN 5 AND 79 AND ((upper(title) = title AND lower(title) <> title) OR regexp_matches(title, '^(SECTION|TABLE|ANNEXURE)')))""".replace("{t}", _strip("line")),
         "doc_lines",
     )
 )
@@ -116,8 +115,8 @@ def sections(spark, folder):
     i = F.col("line_no")
     lines = inputs.doc_lines(spark, folder).withColumn(
         "line",
-        F.when(i % 5 == 0, F.upper(F.replace(F.substring("line", 1, 40), F.lit("ß"), F.lit("s"))))
-        .when(i % 5 == 1, F.concat(F.lit("TABLE "), F.substring("line", 1, 30)))
+        F.when(i % 5 == 0, F.upper(F.replace("line", F.lit("ß"), F.lit("s"))))
+        .when(i % 5 == 1, F.concat(F.lit("TABLE "), "line"))
         .when(i % 35 == 2, F.concat(F.lit("ANNEXURE "), F.col("page").cast("string")))
         .otherwise(F.col("line")),
     )
@@ -170,7 +169,7 @@ def _named_docs(spark, folder):
         .when(k % 5 == 2, " Value Label, Stats SA ").otherwise(" ")
     )
     return table(spark, folder, "documents").select(
-        "doc_id", name.alias("filename"), F.concat(words, F.substring("text", 1, 200)).alias("sample_text")
+        "doc_id", name.alias("filename"), F.concat(words, "text").alias("sample_text")
     )
 
 
@@ -190,7 +189,7 @@ inputs.CTE["named_docs"] = """
 SELECT doc_id, lower(CASE doc_id % 7 WHEN 0 THEN 'TVET_List_2024.pdf' WHEN 1 THEN 'oihd.pdf' WHEN 2 THEN 'province report.pdf'
     WHEN 3 THEN 'variable name codebook.pdf' ELSE 'scan.pdf' END) AS f,
   lower(CASE doc_id % 5 WHEN 0 THEN ' SAQA ID and NQF Level of TVET College ' WHEN 1 THEN ' OFO Code, Major Group ' WHEN 2 THEN ' Value Label, Stats SA ' ELSE ' ' END
-    || substr(text, 1, 200)) AS s FROM documents"""
+    || text) AS s FROM documents"""
 inputs.CTE["profile_match"] = f"""
 SELECT doc_id, f, s, greatest(s0, s1, s2) AS profile_score, CASE WHEN greatest(s0, s1, s2) < 4 THEN NULL WHEN s0 >= s1 AND s0 >= s2 THEN '{_TRIED[0].name}'
   WHEN s1 >= s2 THEN '{_TRIED[1].name}' ELSE '{_TRIED[2].name}' END AS profile
@@ -231,7 +230,7 @@ FROM profile_match m JOIN doc_rollup r ON m.doc_id = r.doc_id""",
     )
 )
 def classify_docs(spark, folder):
-    rolled = pages.document_rollup(_stats(spark, folder), max_pages=3)
+    rolled = pages.document_rollup(_stats(spark, folder))
     docs = _named_docs(spark, folder).join(rolled, "doc_id", "left")
     found = documents.classify(docs, _PROFILES).select("doc_id", "classification.*")
     return found.select(
@@ -262,14 +261,21 @@ def word_families(spark, folder):
     )
 
 
+_WORDS = ("1", "77", "123", "4567", "the", "Of the", "saqa id")
+
+
 @query(
     with_inputs(
-        """SELECT doc_id, string_agg(sample, ' ' ORDER BY page) AS corpus FROM (SELECT doc_id, page, lower(sample) AS sample FROM page_stats WHERE page <= 10) GROUP BY doc_id""",
-        "page_stats",
+        "SELECT doc_id, concat_ws(chr(10), "
+        + ", ".join(f"CASE WHEN bool_or(contains(lower(text), '{w.lower()}')) THEN '{w.lower()}' END" for w in _WORDS)
+        + ") AS corpus FROM doc_pages GROUP BY doc_id",
+        "doc_pages",
     )
 )
 def page_samples(spark, folder):
-    return documents.page_samples(_stats(spark, folder)).withColumnRenamed("sample_text", "corpus")
+    """The words of a list that stand anywhere in the whole text of a document."""
+    found = documents.found_words(inputs.doc_pages(spark, folder), _WORDS)
+    return found.withColumnRenamed("sample_text", "corpus")
 
 
 # Chunks: pages of one order each, continued where the groups say so. The chain of

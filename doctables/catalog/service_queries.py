@@ -145,9 +145,9 @@ _DICTIONARY = [
   CASE v.c WHEN 'ofo_code' THEN e.a WHEN 'nqf_level' THEN e.b WHEN 'occupation_title' THEN e.t ELSE e.d END AS example_value
 FROM (VALUES ('ofo_code', 'OFO Code', 'string', 'NO', 'YES'), ('nqf_level', 'nqf_level', 'integer', 'YES', 'NO'), ('occupation_title', 'occupation_title', 'string', 'NO', 'NO'),
   ('brand', 'brand', 'string', 'YES', 'NO')) v(c, l, t, n, i),
-  (SELECT min_by(ofo_code, CASE WHEN trim(ofo_code) <> '' THEN record_id END) AS a, min_by(nqf_level, record_id) AS b,
-    min_by(occupation_title, CASE WHEN trim(occupation_title) <> '' THEN record_id END) AS t, min_by(brand, record_id) AS d FROM (SELECT * FROM part_records ORDER BY record_id LIMIT 50)) e,
-  (SELECT string_agg(CAST(p AS VARCHAR), ', ' ORDER BY p) AS pages FROM (SELECT DISTINCT record_id % 37 + 1 AS p FROM part_records ORDER BY p LIMIT 10)) p""",
+  (SELECT min_by(ofo_code, CASE WHEN trim(ofo_code) <> '' THEN record_id END) AS a, min_by(nqf_level, CASE WHEN trim(nqf_level) <> '' THEN record_id END) AS b,
+    min_by(occupation_title, CASE WHEN trim(occupation_title) <> '' THEN record_id END) AS t, min_by(brand, CASE WHEN trim(brand) <> '' THEN record_id END) AS d FROM part_records) e,
+  (SELECT string_agg(CAST(p AS VARCHAR), ', ' ORDER BY p) AS pages FROM (SELECT DISTINCT record_id % 37 + 1 AS p FROM part_records)) p""",
         "part_records",
     )
 )
@@ -358,7 +358,12 @@ def _stream_folder(spark) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    return f"{root}/streams/{uuid.uuid4()}" if root else tempfile.mkdtemp(prefix="doctables-stream-")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        root = tempfile.mkdtemp(prefix="doctables-stream-")
+    return f"{root}/streams/{uuid.uuid4()}"
 
 
 def _stream(spark, folder, name):

@@ -105,9 +105,9 @@ def sql_literal(column: Column, kind: str) -> Column:
     return F.when(column.isNull(), F.lit("NULL")).otherwise(shown)
 
 
-def page_list(pages: Column, limit: int = 10) -> Column:
-    """Sorted distinct page numbers, first ten, joined by a comma."""
-    ordered = F.slice(F.array_sort(F.array_distinct(pages)), 1, limit)
+def page_list(pages: Column) -> Column:
+    """Sorted distinct page numbers joined by a comma."""
+    ordered = F.array_sort(F.array_distinct(pages))
     return F.array_join(F.transform(ordered, lambda page: page.cast("string")), ", ")
 
 

@@ -42,9 +42,9 @@ def page_stats(pages: DataFrame) -> DataFrame:
     )
 
 
-def document_rollup(stats: DataFrame, max_pages: int = 50) -> DataFrame:
-    """Document scores from the statistics of its first pages."""
-    seen = F.col("page") <= max_pages
+def document_rollup(stats: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Document scores from the statistics of all its pages, or of the first `max_pages` if the caller says so."""
+    seen = F.lit(True) if max_pages is None else F.col("page") <= max_pages
 
     def total(value: Column) -> Column:
         return F.sum(F.when(seen, value).otherwise(F.lit(0)))
@@ -117,9 +117,10 @@ def running_heads(blocks: DataFrame, keep: int = 2) -> DataFrame:
     return top_per_key(marked, ["doc_id", "page", "zone"], ["block_no"], keep)
 
 
-def sections(pages: DataFrame, lines: int = 8, keep: int = 20) -> DataFrame:
-    """Headings in the first lines of each page, first ones per document."""
-    head = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, lines)
+def sections(pages: DataFrame, lines: int | None = None, keep: int | None = None) -> DataFrame:
+    """Headings of all pages; of the first `lines` of a page and the first `keep` of a document if the caller says so."""
+    head = F.split(F.coalesce("text", F.lit("")), "\n")
+    head = head if lines is None else F.slice(head, 1, lines)
     title = strip(F.col("line"))
     found = (
         pages.select("doc_id", "page", F.posexplode(head).alias("line_no", "line"))
@@ -135,9 +136,9 @@ def sections(pages: DataFrame, lines: int = 8, keep: int = 20) -> DataFrame:
         .when(F.col("title").contains("TABLE"), "dataset")
         .otherwise("body")
     )
-    return top_per_key(found, ["doc_id"], ["page", "line_no"], keep).withColumn(
-        "section_type", kind
-    )
+    if keep is not None:
+        found = top_per_key(found, ["doc_id"], ["page", "line_no"], keep)
+    return found.withColumn("section_type", kind)
 
 
 def table_inventory(rows: DataFrame) -> DataFrame:

@@ -83,19 +83,18 @@ def modified_fields(df: DataFrame, fields: Sequence[str]) -> Column:
 
 def data_dictionary(
     df: DataFrame, fields: Sequence[Field], order: str, page: str | None = None, dataset: str = "dataset",
-    sample_rows: int = 50, pages: int = 10,
 ) -> DataFrame:
     """One row per column: label, type, nullability, identifier mark, example, pages.
 
-    The example is the first non-empty value among the first rows.
+    The example is the first non-empty value by `order`; pages are all pages of the rows.
+    A document's distinct page numbers are one value here, as in the output.
     """
     names = [f.name for f in fields if f.name in df.columns]
-    head = df.orderBy(order).limit(sample_rows)
     packed = F.array(
         *[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("v")) for n in names]
     )
     examples = (
-        head.select(order, F.inline(packed))
+        df.select(order, F.inline(packed))
         .groupBy("name")
         .agg(F.min_by("v", F.when(~is_blank(F.col("v")), F.col(order))).alias("example_value"))
     )
@@ -105,8 +104,8 @@ def data_dictionary(
         shown = shown.withColumn("source_pages", F.lit(""))
     else:
         first = df.select(F.col(page).cast("long").alias("p")).filter("p is not null").distinct()
-        listed = first.orderBy("p").limit(pages).agg(
-            page_list(F.collect_list("p"), pages).alias("source_pages")
+        listed = first.agg(
+            page_list(F.collect_list("p")).alias("source_pages")
         )
         shown = shown.withColumn("source_pages", listed.scalar())
     return shown.select(

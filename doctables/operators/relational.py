@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions import canon, fixed
 from doctables.functions.lists import clean_list, split_items
 from doctables.functions.text import first_filled, is_blank, nullify, strip
-from doctables.plans.scan import number_rows
+from doctables.plans.scan import row_block, running
 from doctables.plans.skew import MAX_ITEMS, first_per_key, with_parts
 
 
@@ -118,20 +118,25 @@ def extend_dimension(
         .agg(F.min("_at").alias("_at"))
         .join(dim.select(name), name, "left_anti")
     )
-    # Several names may first appear in one source row.
-    ranked = fresh.withColumn(
-        "_in_row", F.row_number().over(Window.partitionBy("_at").orderBy(name))
-    ).withColumn("_seq", F.col("_at") * 1_000_000 + F.col("_in_row"))
+    # Several names may first appear in one source row: they follow by name.
+    ranked = fresh.withColumns({"_seq": F.struct("_at", F.col(name).alias("_name")), "_all": F.lit(1)})
     digits = F.regexp_extract(F.col(id_column), f"^{prefix}([0-9]+)$", 1)
     last = dim.agg(
         F.coalesce(F.max(F.nullif(digits, F.lit("")).cast("long")), F.lit(0)).alias("last")
     )
-    numbered = number_rows(ranked, "_seq", "_number", block_rows=1_000_000 * 100_000)
+    numbered = running(
+        ranked,
+        ["_all"],
+        ["_at", name],
+        [row_block("_at", 1 << 17)],
+        sums={"_number": F.lit(1)},
+        coarse=[[row_block("_at", 1 << 33)], [row_block("_at", 1 << 49)]],
+    )
     spelled = (
-        dim.select(F.lower(name).alias("_lower"), F.lit(-1).cast("long").alias("_seq"))
-        .unionByName(ranked.select(F.lower(name).alias("_lower"), "_seq"))
+        dim.select(F.lower(name).alias("_lower"), F.lit(True).alias("_known"), F.lit(None).alias("_seq"))
+        .unionByName(ranked.select(F.lower(name).alias("_lower"), F.lit(False).alias("_known"), "_seq"))
         .groupBy("_lower")
-        .agg(F.min("_seq").alias("_first"))
+        .agg(F.min("_seq").alias("_first"), F.bool_or("_known").alias("_known"))
     )
     new = (
         numbered.withColumn("_lower", F.lower(name))
@@ -142,7 +147,7 @@ def extend_dimension(
                 _padded(F.col("_number") + last.scalar(), width),
             ).alias(id_column),
             name,
-            F.when(F.col("_first") < F.col("_seq"), "review_possible_variant").alias(
+            F.when(F.col("_known") | (F.col("_first") < F.col("_seq")), "review_possible_variant").alias(
                 "data_quality_flag"
             ),
         )
@@ -274,9 +279,10 @@ def nested_children(
     """Parents with arrays of their children.
 
     `children`: output column -> (child table, integer position column, columns).
-    Each child set is grouped before it is joined, so sets do not multiply. A
-    parent with more than `max_items` children has rows with `part` 1, 2, … instead
-    of a single one with 0.
+    Each child set is grouped before it is joined, so sets do not multiply. The result
+    has one row per parent and slice of `max_items` children, by the same rule for
+    every parent: `part` counts the slices from 0. A child set that ends earlier is
+    empty in the slices that follow.
     """
     sets = None
     for column, (child, position, columns) in children.items():
@@ -343,17 +349,8 @@ def counts_per(parents: DataFrame, children: Mapping[str, DataFrame], key: str)
 def lookup_by_either(rows: DataFrame, first: tuple[str, object], second: tuple[str, object]) -> DataFrame:
     """Rows of the first (column, value); rows of the second when there are none."""
     main = rows.filter(F.col(first[0]) == first[1])
-    found = main.select(F.lit(True).alias("_found")).limit(1)
-    other = rows.filter(F.col(second[0]) == second[1]).withColumn("_found", F.lit(True))
-    return main.unionByName(other.join(found, "_found", "left_anti").drop("_found"))
-
-
-def union_all(*frames: DataFrame) -> DataFrame:
-    """Union by name; columns that a frame lacks are NULL."""
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+    other = rows.filter(F.col(second[0]) == second[1])
+    return main.unionByName(other.filter(~main.exists()))
 
 
 def merge_run(stored: DataFrame, run: DataFrame, selective: bool, dataset: str = "dataset") -> DataFrame:
@@ -370,15 +367,27 @@ def apply_changes(
     deletes: DataFrame | None = None,
     updates: DataFrame | None = None,
     inserts: DataFrame | None = None,
+    order: str | None = None,
+    clear: bool = False,
 ) -> DataFrame:
-    """Rows after a batch of changes: delete, patch (NULL leaves a value), insert."""
+    """Rows after a batch of changes: delete, patch, insert.
+
+    With an `order` column in `updates`, the last update of a key counts; without it
+    a key may have one update only. NULL leaves a value, unless `clear` lets it empty
+    the cell.
+    """
     out = df if deletes is None else df.join(deletes.select(key).distinct(), key, "left_anti")
     if updates is not None:
-        patched = [c for c in updates.columns if c != key]
-        patch = updates.withColumnsRenamed({c: f"_new_{c}" for c in patched})
+        patched = [c for c in updates.columns if c not in (key, order)]
+        packed = F.struct(*patched).alias("_new")
+        if order is None:
+            patch = updates.select(key, packed)
+        else:
+            patch = updates.groupBy(key).agg(F.max_by(packed, order).alias("_new"))
+        given = lambda c: F.col("_new").isNotNull() if clear else F.col(f"_new.{c}").isNotNull()
         out = (
             out.join(patch, key, "left")
-            .withColumns({c: F.coalesce(f"_new_{c}", c) for c in patched})
-            .drop(*[f"_new_{c}" for c in patched])
+            .withColumns({c: F.when(given(c), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in patched})
+            .drop("_new")
         )
     return out if inserts is None else out.unionByName(inserts, allowMissingColumns=True)

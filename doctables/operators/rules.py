@@ -88,11 +88,9 @@ def rules_frame(spark, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def rules_from_frame(df: DataFrame, at_most: int = 10_000) -> list[Rule]:
-    """Rules from a table; as many as columns and checks, never as many as records."""
-    rows = df.limit(at_most + 1).collect()
-    if len(rows) > at_most:
-        raise ValueError(f"more than {at_most} rules")
+def rules_from_frame(df: DataFrame) -> list[Rule]:
+    """All rules of a table; they are settings, as many as columns and checks, and not as many as records."""
+    rows = df.collect()
     out = []
     for r in rows:
         params = dict(r["params"] or {})
@@ -210,8 +208,12 @@ def validate(
 
     Row-level rules share one scan. A `unique` rule (parameter `columns`, else its
     field) and a `referential` rule (`parent`, a name in `parents`, and `key`) add a
-    join each; issues of these carry no source columns.
+    join each; issues of these carry no source columns. A column that the data lacks
+    is NULL in every record; a rule of an unknown type raises ValueError.
     """
+    unknown = sorted({r.rule_type for r in rules} - {*ROW_RULES, "unique", "referential"})
+    if unknown:
+        raise ValueError(f"unknown rule types: {', '.join(unknown)}")
     found = _row_issues(df, rules, record_id, source)
     for r in rules:
         if r.rule_type == "unique":
@@ -231,9 +233,9 @@ def _row_issues(
 ) -> DataFrame:
     carried = [F.col(c).alias(n) for n, c in (source or {}).items()]
     found = [
-        ROW_RULES[r.rule_type](r, F.col(r.field))
+        ROW_RULES[r.rule_type](r, F.col(r.field) if r.field in df.columns else F.lit(None).cast("string"))
         for r in rules
-        if r.rule_type in ROW_RULES and r.field in df.columns
+        if r.rule_type in ROW_RULES
     ]
     if not found:
         found = [F.when(F.lit(False), issue(Rule("", "", "", ""), F.lit(None), F.lit("")))]
@@ -553,8 +555,7 @@ def issue_rollup(issues: DataFrame) -> DataFrame:
         [("error",), ("warning",), ("info",)], "severity string"
     )
     by_severity = (
-        F.broadcast(levels)
-        .join(counted.groupBy("severity").agg(F.sum("n").alias("issues")), "severity", "left")
+        levels.join(counted.groupBy("severity").agg(F.sum("n").alias("issues")), "severity", "left")
         .select(F.col("severity").alias("key"), F.coalesce("issues", F.lit(0)).alias("issues"))
     )
     return by_severity.withColumn("by", F.lit("severity")).unionByName(

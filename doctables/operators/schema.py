@@ -182,14 +182,13 @@ def detect_fields(
     return fields
 
 
-def sample_columns(df: DataFrame, headers: Sequence[str], order: str, rows: int = 20) -> list[Field]:
-    """Columns judged by the first rows; code-like names are text, and some are required.
+def sample_columns(df: DataFrame, headers: Sequence[str], order: str) -> list[Field]:
+    """Columns judged by all rows; code-like names are text, and some are required.
 
-    Runs one job over `rows` rows.
+    `order` names a column that is no field. Runs one job with one row per column.
     """
     columns = [c for c in df.columns if c != order]
-    head = df.orderBy(order).limit(rows).select(*columns)
-    votes = {row["field"]: row for row in infer_types(head, columns, lists=False).collect()}
+    votes = {row["field"]: row for row in infer_types(df.select(*columns), columns, lists=False).collect()}
     shown = [h.strip() if h else f"Column_{i + 1}" for i, h in enumerate(headers)]
     fields = []
     for column, header, name in zip(columns, shown, unique_list([snake_name(h) for h in shown])):
@@ -239,25 +238,24 @@ def typed(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
     )
 
 
-def delimited_share(df: DataFrame, fields: Sequence[str], order: str, rows: int = 30) -> DataFrame:
-    """Share of multi-value cells among the filled cells of the first rows, per field."""
-    head = df.orderBy(order).limit(rows)
+def delimited_share(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Share of multi-value cells among the filled cells of all rows, per field."""
     packed = F.array(
         *[
             F.struct(F.lit(f).alias("field"), F.lit(i).alias("position"), F.col(f).cast("string").alias("v"))
             for i, f in enumerate(fields)
         ]
     )
-    cells = head.select(F.inline(packed)).filter(F.coalesce("v", F.lit("")) != "")
+    cells = df.select(F.inline(packed)).filter(F.coalesce("v", F.lit("")) != "")
     many = F.col("v").contains(";") | F.col("v").contains(",")
     return cells.groupBy("field", "position").agg(F.avg(many.cast("double")).alias("share"))
 
 
-def list_columns(df: DataFrame, fields: Sequence[str], order: str, share: float = 0.35) -> DataFrame:
+def list_columns(df: DataFrame, fields: Sequence[str], share: float = 0.35) -> DataFrame:
     """The multi-value column: a reserved name, or enough delimited cells; first column wins."""
     known = F.col("field").isin(*fixed.KNOWN_LIST_COLUMNS)
     return (
-        delimited_share(df, fields, order)
+        delimited_share(df, fields)
         .filter(known | (F.col("share") >= share))
         .orderBy("position")
         .limit(1)
@@ -265,11 +263,11 @@ def list_columns(df: DataFrame, fields: Sequence[str], order: str, share: float
     )
 
 
-def detect_list_column(df: DataFrame, fields: Sequence[str], order: str) -> str | None:
+def detect_list_column(df: DataFrame, fields: Sequence[str]) -> str | None:
     """Name of the multi-value column. Runs a job unless a reserved name comes first."""
     if fields and fields[0] in fixed.KNOWN_LIST_COLUMNS:
         return fields[0]
-    found = list_columns(df, fields, order).first()
+    found = list_columns(df, fields).first()
     reserved = [f for f in fields if f in fixed.KNOWN_LIST_COLUMNS]
     if found is None:
         return reserved[0] if reserved else None

@@ -65,8 +65,8 @@ def latest(
     by: Sequence[str] = ("created_at",),
     where: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """The latest `count` rows (1 to 200), newest first."""
-    kept = max(1, min(200, count))
+    """The latest `count` rows, at least one, newest first."""
+    kept = max(1, count)
     return where_all(df, where or {}).orderBy(*[F.desc(c) for c in by]).limit(kept)
 
 

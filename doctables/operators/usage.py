@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# More prices than this are joined by shuffle.
-MAX_PRICE_ROWS = 10_000
-
 
 def with_cost(
     usage: DataFrame, prices: DataFrame, keys: tuple[str, ...] = ("provider", "model")
@@ -17,14 +14,11 @@ def with_cost(
     `usage`: keys, prompt_tokens, completion_tokens. `prices`: keys, input_per_m,
     output_per_m, one row per key.
     """
-    # One short read decides whether the price list may be broadcast.
-    small = prices.limit(MAX_PRICE_ROWS + 1).count() <= MAX_PRICE_ROWS
-    listed = F.broadcast(prices) if small else prices
     cost = (
         F.col("prompt_tokens") / F.lit(1_000_000.0) * F.coalesce("input_per_m", F.lit(0.0))
         + F.col("completion_tokens") / F.lit(1_000_000.0) * F.coalesce("output_per_m", F.lit(0.0))
     )
-    return usage.join(listed, list(keys), "left").withColumn("cost", F.bround(cost, 6)).drop(
+    return usage.join(prices, list(keys), "left").withColumn("cost", F.bround(cost, 6)).drop(
         "input_per_m", "output_per_m"
     )
 

@@ -7,17 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 100_000
-
+from doctables.plans.scan import row_block, running
 
-def hot_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> DataFrame:
-    """Keys with more than `more_than` rows. At most rows/more_than keys come back."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > more_than)
-        .drop("_rows")
-    )
+MAX_ITEMS = 100_000
 
 
 def with_parts(
@@ -27,23 +19,22 @@ def with_parts(
     max_items: int = MAX_ITEMS,
     name: str = "part",
 ) -> DataFrame:
-    """Add the column `name`: 0 for keys of normal size, ordered slices for oversized keys.
+    """Add the column `name`: the slice of its key that a row falls in, from 0 on without gaps.
 
-    `position` is an integer that orders the rows and is unique within a key, so
-    one slice never holds more than `max_items` rows. Grouping by (key, slice)
-    then bounds every list, and no row is lost.
+    `position` is an integer that orders the rows and is unique within a key. Every
+    key is cut by the same rule, whatever its size: rows are numbered by position,
+    and each `max_items` of them make a slice. Grouping by (key, slice) then bounds
+    every list, and no row is lost. Rows with a NULL key belong to nothing and go.
     """
-    hot = hot_keys(df, keys, max_items).withColumn("_hot", F.lit(True))
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn(
-            name,
-            F.when(F.col("_hot"), F.expr(f"`{position}` div {max_items}") + 1)
-            .otherwise(F.lit(0))
-            .cast("long"),
-        )
-        .drop("_hot")
+    numbered = running(
+        df.dropna("any", subset=list(keys)),
+        list(keys),
+        [position],
+        [row_block(position, max_items)],
+        sums={"_number": F.lit(1)},
+        coarse=[[row_block(position, max_items * 10_000)]],
     )
+    return numbered.withColumn(name, F.expr(f"cast((_number - 1) div {max_items} as int)")).drop("_number")
 
 
 def spread_nulls(key: Column, row: Column, ways: int = 256) -> Column:

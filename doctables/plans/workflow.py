@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions.cells import normalize_frame
 from doctables.operators import quality, relational, rules, schema
-from doctables.operators.documents import classify, page_samples
+from doctables.operators.documents import classify, found_words, keywords
 from doctables.operators.pages import document_rollup, page_stats
 from doctables.operators.provenance import attach_provenance
 from doctables.operators.stitch import stitch_tables
@@ -35,11 +35,11 @@ class Result:
         return export_all(self.datasets, folder, fmt, **options)
 
 
-def inspect(pages: DataFrame, names: DataFrame, profiles: Sequence[Profile], max_pages: int = 50) -> DataFrame:
-    """Documents with statistics and classification. `names`: doc_id, filename."""
+def inspect(pages: DataFrame, names: DataFrame, profiles: Sequence[Profile], max_pages: int | None = None) -> DataFrame:
+    """Documents with statistics and classification. `names`: doc_id, filename; `max_pages` limits the statistics."""
     stats = page_stats(pages)
     docs = names.join(document_rollup(stats, max_pages), "doc_id", "left").join(
-        page_samples(stats), "doc_id", "left"
+        found_words(pages, keywords(profiles)), "doc_id", "left"
     )
     return classify(docs, profiles)
 
@@ -141,7 +141,7 @@ def run(
 
     datasets, relationships = {dataset: unique}, []
     parent, parent_fields = unique, fields
-    many = schema.detect_list_column(records, names, order) if key else None
+    many = schema.detect_list_column(unique, names) if key else None
     if many:
         profile_child = profile.datasets[1][0] if profile and len(profile.datasets) > 1 else None
         child, item = relational.child_names(dataset, many, profile_child)

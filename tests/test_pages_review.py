@@ -29,10 +29,12 @@ def test_page_stats(spark):
     assert (rows[3]["word_count"], rows[3]["table_count"], rows[3]["sample"]) == (0, 4, "")
 
 
-def test_rollup_counts_first_pages_only(spark):
+def test_rollup_counts_all_pages_unless_told(spark):
     df = page_frame(spark, [("d", p, "x" * 300, 1, 0, 1 if p < 3 else 0) for p in range(1, 61)])
     row = pages.document_rollup(pages.page_stats(df)).first()
-    assert (row["page_count"], row["total_text_length"], row["table_likelihood"]) == (60, 15000, 0.04)
+    assert (row["page_count"], row["total_text_length"], row["table_likelihood"]) == (60, 18000, 0.03)
+    first = pages.document_rollup(pages.page_stats(df), max_pages=50).first()
+    assert (first["page_count"], first["total_text_length"], first["table_likelihood"]) == (60, 15000, 0.04)
     assert (row["text_availability"], row["has_digital_text"], row["scanned_ratio"]) == (1.0, True, 0.0)
 
 
@@ -213,10 +215,10 @@ def test_provenance(spark):
 
 
 def test_data_dictionary(spark):
-    df = spark.createDataFrame([(i, "" if i < 3 else f"v{i}", i % 12) for i in range(60)], "o int, saqa_id string, page int")
+    df = spark.createDataFrame([(i, "" if i < 55 else f"v{i}", i % 12) for i in range(60)], "o int, saqa_id string, page int")
     row = provenance.data_dictionary(df, [Field("saqa_id", required=True)], "o", "page").first()
-    assert (row["example_value"], row["identifier"], row["nullable"]) == ("v3", "YES", "NO")
-    assert row["source_pages"] == "0, 1, 2, 3, 4, 5, 6, 7, 8, 9"
+    assert (row["example_value"], row["identifier"], row["nullable"]) == ("v55", "YES", "NO")
+    assert row["source_pages"] == "0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11"
 
 
 def test_stage_metrics(spark):

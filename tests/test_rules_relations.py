@@ -134,7 +134,7 @@ def test_schema_with_a_pack(spark):
 
 
 def test_sample_columns(spark):
-    df = spark.createDataFrame([(i, str(i), str(i), "x" if i > 20 else "1.5") for i in range(40)], "o int, a string, b string, c string")
+    df = spark.createDataFrame([(i, str(i), str(i), "x" if i == 0 else "1.5") for i in range(40)], "o int, a string, b string, c string")
     found = schema.sample_columns(df, ["SAQA ID", "Count", "Price"], "o")
     assert [(f.name, f.data_type, f.required) for f in found] == [
         ("saqa_id", "STRING", True), ("count", "INTEGER", False), ("price", "FLOAT", False),
@@ -142,10 +142,10 @@ def test_sample_columns(spark):
 
 
 def test_list_column(spark):
-    df = spark.createDataFrame([(i, "a; b", "x,y") for i in range(50)], "o int, names string, other string")
-    assert schema.detect_list_column(df, ["names", "other"], "o") == "names"
-    assert schema.detect_list_column(df.withColumnRenamed("other", "colleges"), ["colleges", "names"], "o") == "colleges"
-    assert schema.detect_list_column(df.withColumn("names", F.lit("x")), ["names"], "o") is None
+    df = spark.createDataFrame([(i, "a; b" if i > 30 else "a", "x,y" if i > 30 else "x") for i in range(60)], "o int, names string, other string")
+    assert schema.detect_list_column(df, ["names", "other"]) == "names"
+    assert schema.detect_list_column(df.withColumnRenamed("other", "colleges"), ["colleges", "names"]) == "colleges"
+    assert schema.detect_list_column(df.withColumn("names", F.lit("x")), ["names"]) is None
 
 
 def test_dedup(spark):
@@ -198,6 +198,7 @@ def test_nested_children_lose_nothing_when_oversized(spark):
         names.setdefault(r["k"], []).extend(c["n"] for c in sorted(r["many"]))
     assert {k: sorted(v) for k, v in names.items()} == {"a": sorted(f"n{i}" for i in range(10)), "b": ["x"], "c": []}
     assert sum(len(r["few"]) for r in out) == 2
+    assert sorted(r["part"] for r in out if r["k"] == "a") == [0, 1, 2] and all(r["part"] == 0 for r in out if r["k"] != "a")
     joined = relational.joined_children(parents, {"many": (many, "i", "n")}, "k").orderBy("k").collect()
     assert [r["many"] for r in joined] == ["; ".join(f"n{i}" for i in range(10)), "x", ""]
 
@@ -217,6 +218,26 @@ def test_lookup_and_changes(spark):
     df = spark.createDataFrame([("x", "d1", 1), ("y", "d2", 2)], "name string, doc string, v int")
     assert rows_of(relational.lookup_by_either(df, ("name", "x"), ("doc", "d2")), "v") == [(1,)]
     assert rows_of(relational.lookup_by_either(df, ("name", "q"), ("doc", "d2")), "v") == [(2,)]
+    updates = spark.createDataFrame([("x", 5, 1), ("x", None, 3), ("x", 7, 2), ("y", 9, 1)], "name string, v int, at int")
+    last = relational.apply_changes(df, "name", updates=updates, order="at", clear=True)
+    assert sorted(rows_of(last, "name", "v")) == [("x", None), ("y", 9)]
+    assert sorted(rows_of(relational.apply_changes(df, "name", updates=updates, order="at"), "name", "v")) == [("x", 1), ("y", 9)]
+
+
+def test_dimension_numbers_any_row_ids(spark):
+    dim = spark.createDataFrame([("C0003", "Old Name", None)], "id string, name string, data_quality_flag string")
+    names = spark.createDataFrame([("new b", 1 << 62), ("new a", 1 << 62), ("OLD NAME", 5), ("New A", (1 << 62) + 1), ("first", -4)], "name string, at long")
+    out = {r["name"]: (r["id"], r["data_quality_flag"]) for r in relational.extend_dimension(dim, names, "name", "at", "id").collect()}
+    flag = "review_possible_variant"
+    assert out == {"Old Name": ("C0003", None), "first": ("C0004", None), "OLD NAME": ("C0005", flag), "new a": ("C0006", None), "new b": ("C0007", None), "New A": ("C0008", flag)}
+
+
+def test_rules_on_absent_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "record_id int, v string")
+    found = rules.validate(df, [rules.Rule("r", "r", "w", "required")]).collect()
+    assert [r["record_id"] for r in found] == [1, 2]
+    with pytest.raises(ValueError, match="nonsense"):
+        rules.validate(df, [rules.Rule("r", "r", "v", "nonsense")])
 
 
 def test_diff_last_row_counts(spark):
