@@ -8,14 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The steps from a header to a name, in order, as (pattern, replacement).
+SNAKE_STEPS = (
+    (r"[^\w\s-]", ""),
+    (r"^\s+|\s+$", ""),
+    (r"[-\s]+", "_"),
+    (r"(.)([A-Z][a-z]+)", r"\1_\2"),
+    (r"([a-z0-9])([A-Z])", r"\1_\2"),
+    (r"_+", "_"),
+)
+
 
 def snake_case(name: Column) -> Column:
     """`SAQA ID (new)` becomes `saqa_id_new`; an empty name `unnamed_column`."""
-    text = F.btrim(F.regexp_replace(name, r"(?U)[^\w\s-]", ""))
-    text = F.regexp_replace(text, r"(?U)[-\s]+", "_")
-    text = F.regexp_replace(text, r"(.)([A-Z][a-z]+)", "$1_$2")
-    text = F.lower(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1_$2"))
-    text = F.btrim(F.regexp_replace(text, r"_+", "_"), F.lit("_"))
+    text = name
+    for pattern, put in SNAKE_STEPS:
+        text = F.regexp_replace(text, f"(?U){pattern}", put.replace("\\", "$"))
+    text = F.btrim(F.lower(text), F.lit("_"))
     return (
         F.when(F.coalesce(name, F.lit("")) == "", "unnamed_column")
         .when(text == "", "column")
@@ -27,10 +36,9 @@ def snake_name(name: str | None) -> str:
     """The same rule for one name on the driver."""
     if not name:
         return "unnamed_column"
-    words = re.sub(r"[-\s]+", "_", re.sub(r"[^\w\s-]", "", name).strip())
-    for pattern in (r"(.)([A-Z][a-z]+)", r"([a-z0-9])([A-Z])"):
-        words = re.sub(pattern, r"\1_\2", words)
-    return re.sub(r"_+", "_", words.lower()).strip("_") or "column"
+    for pattern, put in SNAKE_STEPS:
+        name = re.sub(pattern, put, name)
+    return name.lower().strip("_") or "column"
 
 
 def fill_header(header: Column, position: Column, prefix: str = "Column_") -> Column:
