@@ -14,14 +14,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.wordcache import portions
+from doctables.llm.wordcache import WordCache, portions
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-PART_CHARS = 1 << 19  #: characters indexed at once, unless one unit alone is longer
 PORTION_BYTES = 1 << 22  #: text of whole documents worked on at once
 LONG_UNIT = 64  #: longer units merge through a queue
-KEPT, LONGEST = 300_000, 48  #: units a worker remembers, and their length
 NONE = np.int64(1) << 40
 
 
@@ -61,7 +59,7 @@ class Pieces:
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if safe else re.compile("(?s).+")
         self.out = [b"" if special[i] else bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(texts)]
         self.out[self.model.unk_id()] = " ⁇ ".encode()
-        self.known: dict[str, bytes] = {}
+        self.cache = WordCache(self.encode_units)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of all pieces in the text, as (position, piece), sorted by position.
@@ -173,18 +171,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text; distinct units not seen before are indexed together."""
         split = [self.units.findall(t) for t in (self.model.normalize(texts) if texts else [])]
-        if len(self.known) > KEPT:
-            self.known.clear()
-        fresh = sorted(set().union(*split).difference(self.known)) if split else []
-        extra, part, size = {}, [], 0
-        for i, unit in enumerate(fresh):
-            part.append(unit)
-            size += len(unit) + 1
-            if size >= PART_CHARS or i == len(fresh) - 1:
-                for u, ids in zip(part, self.encode_units(part)):
-                    (self.known if len(u) <= LONGEST else extra)[u] = ids
-                part, size = [], 0
-        of = ({**self.known, **extra} if extra else self.known).__getitem__
+        of = self.cache.results(split).__getitem__
         return [b"".join(map(of, units)) for units in split]
 
     def decode(self, ids) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from doctables.llm.wordcache import WordCache, portions
+from doctables.llm.wordcache import WordCache, encode_words, portions
 
 MODEL = "word_bpe_49k.json"
 
@@ -27,7 +27,7 @@ def tokenizer(path: str) -> Tokenizer:
 @lru_cache(maxsize=4)
 def _lengths(path: str) -> WordCache:
     model = tokenizer(path)
-    return WordCache(lambda words: [len(e.ids) for e in model.encode_batch_fast(words, add_special_tokens=False)])
+    return WordCache(lambda words: [len(ids) // 4 for ids in encode_words(model, words)])
 
 
 def token_lengths(text: Column, model: str = MODEL) -> Column:
@@ -43,10 +43,10 @@ def token_lengths(text: Column, model: str = MODEL) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = _lengths(public_tokenizers.path(model))
         for texts in batches:
-            plain = [t.encode() if t else b"" for t in texts]
+            plain = [t or "" for t in texts]
             counts: list[int] = []
             for first, last in portions(plain):
-                split = [t.split() for t in plain[first:last]]
+                split = [t.encode().split() for t in plain[first:last]]
                 of = cache.results(split).__getitem__
                 counts += [sum(map(of, words)) for words in split]
             yield pd.Series(counts, dtype="int64")

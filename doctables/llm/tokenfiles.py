@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.llm.tokencount import MODEL, tokenizer
-from doctables.llm.wordcache import WordCache, portions
+from doctables.llm.wordcache import WordCache, encode_words, portions
 from doctables.llm.work import saved
 
 FRAME_IDS = 1 << 16  #: ids of a frame
@@ -134,20 +134,16 @@ def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 @lru_cache(maxsize=4)
 def _ids(path: str) -> WordCache:
     model = tokenizer(path)
-
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in model.encode_batch_fast(words, add_special_tokens=False)]
-
-    return WordCache(encode)
+    return WordCache(lambda words: encode_words(model, words))
 
 
 def encoded(texts: Iterable[str | None], model: str = MODEL, end: int | None = None) -> Iterator[bytes]:
     """Ids of each whole text as little-endian unsigned 32-bit integers; see tokencount for the safe split."""
     cache = _ids(public_tokenizers.path(model))
     last = b"" if end is None else struct.pack("<I", end)
-    plain = [t.encode() if t else b"" for t in texts]
+    plain = [t or "" for t in texts]
     for first, stop in portions(plain):
-        split = [t.split() for t in plain[first:stop]]
+        split = [t.encode().split() for t in plain[first:stop]]
         of = cache.results(split).__getitem__
         for words in split:
             yield b"".join(map(of, words)) + last

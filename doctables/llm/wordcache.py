@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Hashable, Iterator
+
+import numpy as np
 
 BATCH_BYTES = 1 << 20  #: text handed to the tokenizer at once
-KEPT = 200_000  #: words a worker remembers
-LONGEST = 64  #: bytes of a word worth remembering
+JOINED = 128  #: words that the tokenizer sees as one text
+KEPT = 200_000  #: words of a generation that a worker remembers
+LONGEST = 64  #: length of a word worth remembering
 
 
 class WordCache:
-    """Maps words to what `encode` gives for them; keeps frequent short words of one worker.
+    """Maps words to what `encode` gives for them; one worker keeps the short words of two generations.
 
-    `encode` takes a list of strings. It gets lists balanced by bytes: at most
-    BATCH_BYTES each, unless one word alone is longer.
+    `encode` takes a list of words and gives a list of results. When a generation is
+    full, it becomes the older one, and words met again move on to the new one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list], list]):
+        self.encode, self.known, self.older = encode, {}, {}
 
-    def results(self, texts: list[list[bytes]]) -> dict[bytes, object]:
+    def results(self, texts: list[list]) -> dict[Hashable, object]:
         """The results for all words of the texts, by word."""
         if len(self.known) > KEPT:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         known, extra = self.known, {}
         fresh = set().union(*texts).difference(known) if texts else set()
-        for part in balanced(sorted(fresh)):
-            for word, result in zip(part, self.encode([w.decode() for w in part])):
+        for word in fresh.intersection(self.older):
+            known[word] = self.older[word]
+        for part in balanced(sorted(fresh.difference(self.older))):
+            for word, result in zip(part, self.encode(part)):
                 (known if len(word) <= LONGEST else extra)[word] = result
         return {**known, **extra} if extra else known
 
 
-def balanced(words: list[bytes], limit: int = BATCH_BYTES) -> list[list[bytes]]:
-    """Consecutive parts of about `limit` bytes."""
+def encode_words(model, words: list[bytes]) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit integers.
+
+    The tokenizer gets some words at a time as one text, at whose white space the ids
+    are cut again by their offsets.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    plain = [w.decode() for w in words]
+    groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+    out = []
+    for group, found in zip(groups, model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        begins = np.cumsum([0] + [len(w) + 1 for w in group])
+        places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        cuts = (np.searchsorted(places, begins) * 4).tolist()
+        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def balanced(words: list, limit: int = BATCH_BYTES // 2) -> list[list]:
+    """Consecutive parts of about `limit` bytes or characters."""
     parts, size = [], limit
     for word in words:
         if size + len(word) > limit:
@@ -43,8 +68,8 @@ def balanced(words: list[bytes], limit: int = BATCH_BYTES) -> list[list[bytes]]:
     return parts
 
 
-def portions(texts: list[bytes], limit: int = 8 * BATCH_BYTES):
-    """(first, last) of runs of texts of about `limit` bytes, so that memory is bounded by bytes and not by rows."""
+def portions(texts: list, limit: int = 4 * BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of texts of about `limit` length, so that memory is bounded by text and not by rows."""
     first = size = 0
     for at, text in enumerate(texts):
         if size and size + len(text) > limit:
