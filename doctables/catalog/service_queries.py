@@ -444,7 +444,7 @@ def stream_rollup(spark, folder):
     rows = _stream(spark, folder, "events").select("ts", "event_type")
     totals = flows.activity_rate(rows, "ts", ["event_type"], "1 day")
     flows.latest_totals(totals, f"{out}/totals", f"{out}/checkpoint").awaitTermination()
-    return _shown_windows(spark.read.parquet(f"{out}/totals"))
+    return _shown_windows(flows.current_totals(spark, f"{out}/totals", ["window_start", "window_end", "event_type"]))
 
 
 @query(with_inputs("SELECT record_id, raw AS name FROM cells WHERE field = 'name'", "cells"))

@@ -63,13 +63,23 @@ def decompose_child(
     delimiter: str = ";",
     distinct: bool = True,
     carried: Sequence[str] = (),
+    order: str | None = None,
 ) -> DataFrame:
-    """One row per key and list item, split from the source value."""
+    """One row per key and list item, split from the source value.
+
+    `carried` columns (document, page, provenance) come along; of equal items the
+    first by `order` stays.
+    """
     source = f"{list_column}__raw" if f"{list_column}__raw" in df.columns else list_column
+    ordered = [] if order is None else [F.col(order).alias("_order")]
     child = df.select(
-        key, *carried, F.explode(split_items(F.col(source).cast("string"), delimiter)).alias(item)
+        key, *carried, *ordered, F.explode(split_items(F.col(source).cast("string"), delimiter)).alias(item)
     )
-    return child.dropDuplicates([key, item]) if distinct else child
+    if not distinct:
+        return child.drop("_order")
+    if order is None:
+        return child.dropDuplicates([key, item])
+    return first_per_key(child, [key, item], ["_order"]).drop("_order")
 
 
 def relationship(spark, parent: str, child: str, key: str, item: str) -> DataFrame:

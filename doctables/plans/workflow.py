@@ -149,7 +149,10 @@ def run(
         parent_fields = [f for f in fields if f.name != many]
         datasets = {
             dataset: parent,
-            child: relational.decompose_child(unique, many, key[0], item),
+            child: relational.decompose_child(
+                unique, many, key[0], item, order=order,
+                carried=[c for c in ("doc_id", "page", "_prov") if c in unique.columns],
+            ),
         }
         relationships.append(
             {

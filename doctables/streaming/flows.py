@@ -127,16 +127,29 @@ def activity_rate(
 def latest_totals(
     totals: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep the full result of a streaming aggregation in a parquet folder."""
+    """Write what each batch changes in a streaming aggregation to a folder of its own.
+
+    Windows older than the watermark leave the state, and their last version stays
+    in the files. A repeated batch writes its own folder again and nothing else.
+    `current_totals` reads the result.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
     return (
-        totals.writeStream.outputMode("complete")
+        totals.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()
     )
+
+
+def current_totals(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The last version of every key that `latest_totals` wrote."""
+    versions = spark.read.parquet(path)
+    values = [c for c in versions.columns if c not in (*keys, "batch")]
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, "_last.*")
