@@ -18,7 +18,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     result = con.execute(ORACLES[name])
