@@ -14,8 +14,11 @@ from doctables.llm.work import components, saved
 SHINGLE = 7  #: characters of a shingle
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 6  #: a pair of similarity 0.8 shares a band with probability 0.98, one of 0.85 with 0.999
-SPAN = 1 << 20  #: characters whose shingles are hashed at once
+SPAN = 1 << 17  #: characters whose shingles are hashed at once
 VISIBLE = r"[^\x20\x09-\x0D]"
+FEW = 32  #: buckets of up to so many lines are joined with themselves
+BLOCK = 512  #: lines of a larger bucket compared at once
+BLOCK_CHARS = 1 << 19  #: and their characters, unless one line alone has more
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -49,31 +52,42 @@ def band_keys(lines: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows
     out = np.empty((len(lines), bands), dtype=np.int64)
     for first, last in _runs([len(t) for t in lines], SPAN):
         part = lines[first:last]
-        sizes = np.array([len(t) for t in part], dtype=np.int64)
-        codes = np.frombuffer(("".join(part) + "\0" * shingle).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        begins = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(part)), sizes)
-        inside = np.arange(len(owner)) - begins[owner]
-        whole = (inside <= sizes[owner] - shingle) | ((inside == 0) & (sizes[owner] < shingle))
-        hashes = np.zeros(len(owner), dtype=np.uint64)
-        end = len(owner)
-        for k in range(shingle):
-            step = codes[k : k + end]
-            short = inside + k >= sizes[owner] if k and (sizes < shingle).any() else None
-            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + (step if short is None else np.where(short, 0, step)) + np.uint64(1)
-        hashes, owner = _mixed(hashes[whole]), owner[whole]
+        hashes, counts = _shingle_hashes(part, shingle)
+        owner = np.repeat(np.arange(len(part)) * bins, counts)
         values = np.full(len(part) * bins, EMPTY, dtype=np.uint32)
-        place = owner * bins + ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(values, place, np.minimum(hashes & np.uint64(0xFFFFFFFF), EMPTY - 1).astype(np.uint32))
+        owner += ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(values, owner, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
         values = _filled(values.reshape(len(part), bins))
         keys = np.zeros((len(part), bands), dtype=np.uint64)
         for r in range(rows):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::rows][:, :bands].astype(np.uint64) + np.uint64(1)
+            keys = keys * np.uint64(0x9E3779B97F4A7C15) + values[:, r::rows].astype(np.uint64) + np.uint64(1)
         keys = _mixed(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         out[first:last] = keys.view(np.int64)
     return out
 
 
+def _shingle_hashes(part: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of the lines, one line after the other, and how many each line has."""
+    # a line shorter than a shingle is filled up and gives one
+    sizes = np.array([max(len(t), shingle) for t in part], dtype=np.int64)
+    filled = "".join(t if len(t) >= shingle else t.ljust(shingle, "\0") for t in part)
+    codes = np.frombuffer(filled.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    end = len(codes) - shingle + 1
+    hashes = np.zeros(end, dtype=np.uint64)
+    # three characters fit into one word
+    for at in range(0, shingle, 3):
+        word = codes[at : at + end].copy()
+        for k in range(1, min(3, shingle - at)):
+            word |= codes[at + k : at + k + end] << np.uint64(21 * k)
+        hashes ^= word * np.uint64(0x9E3779B97F4A7C15)
+        if at + 3 < shingle:
+            hashes = (hashes << np.uint64(23)) | (hashes >> np.uint64(41))
+    real = np.ones(end, dtype=bool)
+    stops = np.cumsum(sizes)[:-1]
+    real[(stops[:, None] - np.arange(1, shingle)[None, :]).ravel()] = False
+    return _mixed(hashes[real]), sizes - shingle + 1
+
+
 def _filled(values: np.ndarray) -> np.ndarray:
     """Empty bins take the value of a bin drawn by bin number and attempt, until a filled one is met."""
     bins = values.shape[1]
@@ -117,6 +131,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Da
     return saved(_similar(both.select("a", "b", "left", "right"), size, least))
 
 
+def _crowd_links(rows: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) of crowded buckets (key, line, component, lead, n) between different components.
+
+    Lines outside the leading component are compared with all lines of their bucket,
+    block by block; a block gives at most one link for each line and component.
+    """
+    rows = saved(rows.drop("n").join(texts, "line"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.length("text")) / BLOCK_CHARS)).cast("int")
+    rows = rows.join(rows.groupBy("key").agg(blocks.alias("cut")), "key")
+    cut = F.col("cut")
+    whole = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(1), "line"), cut).cast("int")).withColumn(
+        "g", F.explode(F.sequence(F.lit(0), cut - 1))
+    )
+    small = (
+        rows.filter("component <> lead")
+        .withColumn("g", F.pmod(F.xxhash64(F.lit(2), "line"), cut).cast("int"))
+        .withColumn("h", F.explode(F.sequence(F.lit(0), cut - 1)))
+        .select("h", "g", *[F.col(c).alias(f"of_{c}") for c in ("key", "line", "component", "text")])
+    )
+
+    def link(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        found = _block_links(own, other, size, least) if len(own) and len(other) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    left = small.groupBy("of_key", "h", "g")
+    right = whole.select("key", "h", "g", "line", "component", "text").groupBy("key", "h", "g")
+    return saved(left.cogroup(right).applyInPandas(link, "a long, b long"))
+
+
+def _block_links(own: pd.DataFrame, other: pd.DataFrame, size: int, least: float) -> list[tuple[int, int]]:
+    """Exact similarities of each own line with all others at once, by numbered shingles."""
+    lines = [*own["of_text"], *other["text"]]
+    hashes, counts = _shingle_hashes(lines, size)
+    number = np.unique(hashes, return_inverse=True)[1]
+    top = int(number.max()) + 1
+    each = np.unique(np.repeat(np.arange(len(lines)), counts) * top + number)
+    owner, number = each // top, each % top
+    begins = np.searchsorted(owner, np.arange(len(lines) + 1))
+    rest, sizes = begins[len(own)], np.diff(begins)
+    component, line = other["component"].to_numpy(), other["line"].to_numpy()
+    out = []
+    for i, (a, mine) in enumerate(zip(own["of_line"].tolist(), own["of_component"].tolist())):
+        marked = np.zeros(top, dtype=bool)
+        marked[number[begins[i] : begins[i + 1]]] = True
+        both = np.add.reduceat(marked[number[rest:]].astype(np.int32), begins[len(own) : -1] - rest)
+        near = np.flatnonzero((both >= least * (sizes[i] + sizes[len(own) :] - both)) & (component != mine))
+        near = near[np.unique(component[near], return_index=True)[1]]
+        out += [(a, int(line[j])) for j in near]
+    return out
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, at, text) of every line that is not blank; documents without id have none."""
     return docs.select(
@@ -136,10 +201,11 @@ def line_groups(
     are one document: an equal line at the same place is the same line.
 
     Equal lines are one node, known by 128 bits of hash. Nodes that share a band are
-    candidates. In a band's bucket every node is first verified against the smallest;
-    components of those links then leave only pairs of different components to be
-    verified, so a large group of copies costs its size and not its square. Texts move
-    only for nodes that share a bucket.
+    candidates. In a band's bucket every node is first verified against the most common
+    one, which in a group of edited copies is the text they come from; components of
+    those links then leave only pairs of different components to be verified, so a
+    large group of copies costs its size and not its square. Texts move only for nodes
+    that share a bucket.
     """
     lines = line_table(docs, id_col, text_col)
     h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
@@ -154,8 +220,9 @@ def line_groups(
     )
     nodes = saved(
         placed.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc", "at")).alias("head"), F.any_value("keys").alias("keys"))
-        .withColumn("line", F.monotonically_increasing_id())
+        .agg(F.min(F.struct("doc", "at")).alias("head"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+        # more common lines have smaller numbers, by powers of two
+        .withColumn("line", F.expr("shiftleft(cast(62 - floor(log2(n)) as bigint), 56)") + F.monotonically_increasing_id())
     )
     posted = nodes.select("line", F.explode("keys").alias("key"))
     shared = saved(
@@ -176,16 +243,25 @@ def line_groups(
     inside = saved(
         members.join(found, members.line == found.node, "left").select("key", "line", "low", F.coalesce("component", "line").alias("component"))
     )
-    mixed = inside.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+    mixed = (
+        inside.groupBy("key")
+        .agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n"),
+            F.max(F.when(F.col("line") == F.col("low"), F.col("component"))).alias("lead"),
+        )
+        .filter("c0 < c1")
+        .select("key", "n", "lead")
+    )
     open_ = saved(inside.join(mixed, "key"))
+    few = open_.filter(F.col("n") <= FEW)
     more = (
-        open_.alias("x")
-        .join(open_.alias("y"), "key")
+        few.alias("x")
+        .join(few.alias("y"), "key")
         .filter("x.line < y.line and x.component <> y.component and x.line <> x.low and y.line <> y.low")
         .select(F.col("x.line").alias("a"), F.col("y.line").alias("b"))
         .distinct()
     )
-    more = _verified(more, texts, size, least)
+    more = _verified(more, texts, size, least).union(_crowd_links(open_.filter(F.col("n") > FEW), texts, size, least))
     found = saved(components(links.union(more)))
     grouped = saved(
         nodes.join(found, nodes.line == found.node, "left").select(

@@ -120,7 +120,10 @@ def line_rows():
     return rows + rows[:4]
 
 
-def test_line_groups_equal_brute_force(spark, line_rows):
+@pytest.mark.parametrize("few, block", [(32, 512), (2, 7)])
+def test_line_groups_equal_brute_force(spark, line_rows, few, block, monkeypatch):
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "BLOCK", block)
     got = linededup.line_groups(frame(spark, line_rows)).collect()
     want = plain_lines(line_rows)
     assert {(r.doc, r.at): (r.keep_doc, r.keep_at) for r in got} == want
