@@ -171,8 +171,7 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text; distinct units not seen before are indexed together."""
         split = [self.units.findall(t) for t in (self.model.normalize(texts) if texts else [])]
-        of = self.cache.results(split).__getitem__
-        return [b"".join(map(of, units)) for units in split]
+        return list(map(b"".join, self.cache.lists(split)))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from doctables.llm.wordcache import WordCache, encode_words, portions
+from doctables.llm.wordcache import WordCache, encode_words, portions, word_parts
 
 MODEL = "word_bpe_49k.json"
 
@@ -27,7 +27,7 @@ def tokenizer(path: str) -> Tokenizer:
 @lru_cache(maxsize=4)
 def _lengths(path: str) -> WordCache:
     model = tokenizer(path)
-    return WordCache(lambda words: [len(ids) // 4 for ids in encode_words(model, words)])
+    return WordCache(lambda words: [len(ids) // 4 for ids in encode_words(model, words)], word_parts)
 
 
 def token_lengths(text: Column, model: str = MODEL) -> Column:
@@ -47,8 +47,7 @@ def token_lengths(text: Column, model: str = MODEL) -> Column:
             counts: list[int] = []
             for first, last in portions(plain):
                 split = [t.encode().split() for t in plain[first:last]]
-                of = cache.results(split).__getitem__
-                counts += [sum(map(of, words)) for words in split]
+                counts += map(sum, cache.lists(split))
             yield pd.Series(counts, dtype="int64")
 
     return run(text)

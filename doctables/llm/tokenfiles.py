@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.llm.tokencount import MODEL, tokenizer
-from doctables.llm.wordcache import WordCache, encode_words, portions
+from doctables.llm.wordcache import WordCache, encode_words, portions, word_parts
 from doctables.llm.work import saved
 
 FRAME_IDS = 1 << 16  #: ids of a frame
@@ -134,7 +134,7 @@ def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
 @lru_cache(maxsize=4)
 def _ids(path: str) -> WordCache:
     model = tokenizer(path)
-    return WordCache(lambda words: encode_words(model, words))
+    return WordCache(lambda words: encode_words(model, words), word_parts)
 
 
 def encoded(texts: Iterable[str | None], model: str = MODEL, end: int | None = None) -> Iterator[bytes]:
@@ -144,9 +144,8 @@ def encoded(texts: Iterable[str | None], model: str = MODEL, end: int | None = N
     plain = [t or "" for t in texts]
     for first, stop in portions(plain):
         split = [t.encode().split() for t in plain[first:stop]]
-        of = cache.results(split).__getitem__
-        for words in split:
-            yield b"".join(map(of, words)) + last
+        for ids in cache.lists(split):
+            yield b"".join(ids) + last
 
 
 def write_token_files(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Hashable, Iterator
+from itertools import compress
 
 import numpy as np
 
 BATCH_BYTES = 1 << 20  #: text handed to the tokenizer at once
-JOINED = 128  #: words that the tokenizer sees as one text
-KEPT = 200_000  #: words of a generation that a worker remembers
+JOINED = 64  #: words that the tokenizer sees as one text
+KEPT = 250_000  #: words of a generation that a worker remembers
 LONGEST = 64  #: length of a word worth remembering
 
 
@@ -17,42 +19,108 @@ class WordCache:
     """Maps words to what `encode` gives for them; one worker keeps the short words of two generations.
 
     `encode` takes a list of words and gives a list of results. When a generation is
-    full, it becomes the older one, and words met again move on to the new one.
+    full, it becomes the older one, and words met again move on to the new one. With
+    `parts`, a word is the sum of its parts, which are kept as well.
     """
 
-    def __init__(self, encode: Callable[[list], list]):
-        self.encode, self.known, self.older = encode, {}, {}
+    def __init__(self, encode: Callable[[list], list], parts: Callable[[Hashable], tuple] | None = None):
+        self.encode, self.parts = encode, parts
+        self.known, self.older, self.pieces = {}, {}, {}
 
-    def results(self, texts: list[list]) -> dict[Hashable, object]:
-        """The results for all words of the texts, by word."""
+    def lists(self, texts: list[list]) -> list[list]:
+        """The results for the words of each text, in order."""
+        gc.disable()  # nothing here is cyclic, and scanning millions of words takes a seventh of the time
+        try:
+            return self._lists(texts)
+        finally:
+            gc.enable()
+
+    def _lists(self, texts: list[list]) -> list[list]:
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
-        known, extra = self.known, {}
-        fresh = set().union(*texts).difference(known) if texts else set()
-        for word in fresh.intersection(self.older):
-            known[word] = self.older[word]
-        for part in balanced(sorted(fresh.difference(self.older))):
-            for word, result in zip(part, self.encode(part)):
-                (known if len(word) <= LONGEST else extra)[word] = result
-        return {**known, **extra} if extra else known
+        get = self.known.get
+        found = [list(map(get, words)) for words in texts]
+        open_ = [i for i, results in enumerate(found) if None in results]
+        fresh = set()
+        for i in open_:
+            fresh.update(compress(texts[i], [r is None for r in found[i]]))
+        learnt = self._learn(fresh)
+        for i in open_:
+            found[i] = [learnt[w] if r is None else r for w, r in zip(texts[i], found[i])]
+        return found
+
+    def _learn(self, fresh: set) -> dict:
+        """Results of words that this generation does not know yet."""
+        older = self.older.get
+        learnt = {w: older(w) for w in fresh}
+        new = [w for w, r in learnt.items() if r is None]
+        if self.parts is None:
+            learnt.update(self._encoded(new))
+        else:
+            if len(self.pieces) > KEPT:
+                self.pieces = {}
+            cut = [self.parts(w) for w in new]
+            kept = self.pieces
+            missing = {p for c in cut for p in c if p not in kept}
+            kept.update(self._encoded(list(missing)))
+            learnt.update((w, kept[c[0]] if len(c) == 1 else kept[c[0]] + kept[c[1]]) for w, c in zip(new, cut))
+        self.known.update(learnt)
+        for w in [w for w in learnt if len(w) > LONGEST]:
+            del self.known[w]
+            self.pieces.pop(w, None)
+        return learnt
+
+    def _encoded(self, words: list) -> dict:
+        out = {}
+        for part in balanced(words):
+            out.update(zip(part, self.encode(part)))
+        return out
+
+
+#: ASCII marks but the apostrophe
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
+def word_parts(word: bytes) -> tuple:
+    """A word as (word,) or (letters, marks), whose ids follow one another in this tokenizer.
+
+    It reads ASCII letters of either case alike, and cuts between a letter and the
+    marks after it, apostrophes excepted. The letter must be a Latin one also in lower
+    case, so that no combining mark joins it to the marks.
+    """
+    head = word.rstrip(MARKS)
+    if head.isalpha():
+        return (head.lower(), word[len(head) :]) if len(head) < len(word) else (head.lower(),)
+    if not head or len(head) == len(word) or b"<|" in word:
+        return (word,)
+    last = head[-2:].decode(errors="ignore").lower()[-1:]
+    return (head, word[len(head) :]) if last.isalpha() and last < "\u0250" else (word,)
 
 
 def encode_words(model, words: list[bytes]) -> list[bytes]:
     """Ids of each word as little-endian unsigned 32-bit integers.
 
     The tokenizer gets some words at a time as one text, at whose white space the ids
-    are cut again by their offsets.
+    are cut again: a word of ASCII letters is one of the tokenizer's own words, whose
+    number is known for each id; for other words the offsets tell.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    plain = [w.decode() for w in words]
-    groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-    out = []
-    for group, found in zip(groups, model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        begins = np.cumsum([0] + [len(w) + 1 for w in group])
-        places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-        cuts = (np.searchsorted(places, begins) * 4).tolist()
-        out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+    out: list[bytes] = [b""] * len(words)
+    simple = [w.isalpha() for w in words]
+    for plain in (True, False):
+        chosen = [i for i, s in enumerate(simple) if s is plain]
+        groups = [chosen[i : i + JOINED] for i in range(0, len(chosen), JOINED)]
+        texts = [b" ".join([words[i] for i in g]).decode() for g in groups]
+        for group, found in zip(groups, model.encode_batch(texts, add_special_tokens=False)):
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            if plain:
+                places, begins = found.word_ids, np.arange(len(group) + 1)
+            else:
+                places = np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                begins = np.cumsum([0] + [len(words[i].decode()) + 1 for i in group])
+            cuts = (np.searchsorted(places, begins) * 4).tolist()
+            for i, start, end in zip(group, cuts, cuts[1:]):
+                out[i] = raw[start:end]
     return out
 
 
