@@ -93,7 +93,7 @@ def text_evidence(text: Column, model: TextModel) -> Column:
         for texts in batches:
             plain = [t or "" for t in texts]
             counts, means = [], []
-            for first, last in portions(plain, 1 << 21):
+            for first, last in portions(map(len, plain), 1 << 21):
                 grams, n = _grams(plain[first:last])
                 sums = np.zeros((len(n), shared.shape[1]))
                 filled = np.flatnonzero(n)

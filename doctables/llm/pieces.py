@@ -10,15 +10,20 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from doctables.llm.wordcache import WordCache, portions
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-PORTION_BYTES = 1 << 22  #: text of whole documents worked on at once
+PART_CHARS = 1 << 17  #: characters indexed at once, unless one unit alone is longer; the index takes about 500 bytes for each
+KEPT = 120_000  #: units of a generation that a worker remembers
+PORTION_BYTES = 1 << 21  #: text of whole documents worked on at once
 LONG_UNIT = 64  #: longer units merge through a queue
 NONE = np.int64(1) << 40
 
@@ -59,7 +64,7 @@ class Pieces:
         self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if safe else re.compile("(?s).+")
         self.out = [b"" if special[i] else bytes([int(t[3:5], 16)]) if self.model.is_byte(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(texts)]
         self.out[self.model.unk_id()] = " ⁇ ".encode()
-        self.cache = WordCache(self.encode_units)
+        self.cache = WordCache(self.encode_units, limit=PART_CHARS, kept=KEPT)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of all pieces in the text, as (position, piece), sorted by position.
@@ -192,7 +197,7 @@ def encode(text: Column, model: str = MODEL) -> Column:
         for texts in batches:
             plain = [t or "" for t in texts]
             ids: list[np.ndarray] = []
-            for first, last in portions(plain, PORTION_BYTES):
+            for first, last in portions(map(len, plain), PORTION_BYTES):
                 ids += [np.frombuffer(raw, dtype="<i4") for raw in found.encode(plain[first:last])]
             yield pd.Series(ids, dtype=object)
 
@@ -214,6 +219,22 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL, name: str = "ids") -> DataFrame:
     """docs with a column of ids; every row stays, repeated rows and rows without id included.
 
-    NULL and empty texts have an empty list. A column of this name is replaced.
+    NULL and empty texts have an empty list. A column of this name is replaced. Arrow
+    batches are worked on in portions of PORTION_BYTES and given back portion by
+    portion, so a task holds little more than its input batch.
     """
-    return docs.withColumn(name, encode(F.col(text_col), model))
+    kept = docs.drop(name)
+    place = kept.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pieces(public_tokenizers.path(model))
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+            for first, last in portions(sizes, PORTION_BYTES):
+                part = batch.slice(first, last - first)
+                raw = found.encode([t or "" for t in part.column(place).to_pylist()])
+                ends = np.cumsum([0] + [len(r) // 4 for r in raw], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))

@@ -45,7 +45,7 @@ def token_lengths(text: Column, model: str = MODEL) -> Column:
         for texts in batches:
             plain = [t or "" for t in texts]
             counts: list[int] = []
-            for first, last in portions(plain):
+            for first, last in portions(map(len, plain)):
                 split = [t.encode().split() for t in plain[first:last]]
                 counts += map(sum, cache.lists(split))
             yield pd.Series(counts, dtype="int64")

@@ -142,7 +142,7 @@ def encoded(texts: Iterable[str | None], model: str = MODEL, end: int | None = N
     cache = _ids(public_tokenizers.path(model))
     last = b"" if end is None else struct.pack("<I", end)
     plain = [t or "" for t in texts]
-    for first, stop in portions(plain):
+    for first, stop in portions(map(len, plain)):
         split = [t.encode().split() for t in plain[first:stop]]
         for ids in cache.lists(split):
             yield b"".join(ids) + last

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -23,8 +23,11 @@ class WordCache:
     `parts`, a word is the sum of its parts, which are kept as well.
     """
 
-    def __init__(self, encode: Callable[[list], list], parts: Callable[[Hashable], tuple] | None = None):
-        self.encode, self.parts = encode, parts
+    def __init__(
+        self, encode: Callable[[list], list], parts: Callable[[Hashable], tuple] | None = None,
+        limit: int = BATCH_BYTES // 2, kept: int = KEPT,
+    ):
+        self.encode, self.parts, self.limit, self.kept = encode, parts, limit, kept
         self.known, self.older, self.pieces = {}, {}, {}
 
     def lists(self, texts: list[list]) -> list[list]:
@@ -36,7 +39,7 @@ class WordCache:
             gc.enable()
 
     def _lists(self, texts: list[list]) -> list[list]:
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.older, self.known = self.known, {}
         get = self.known.get
         found = [list(map(get, words)) for words in texts]
@@ -57,7 +60,7 @@ class WordCache:
         if self.parts is None:
             learnt.update(self._encoded(new))
         else:
-            if len(self.pieces) > KEPT:
+            if len(self.pieces) > self.kept:
                 self.pieces = {}
             cut = [self.parts(w) for w in new]
             kept = self.pieces
@@ -72,7 +75,7 @@ class WordCache:
 
     def _encoded(self, words: list) -> dict:
         out = {}
-        for part in balanced(words):
+        for part in balanced(words, self.limit):
             out.update(zip(part, self.encode(part)))
         return out
 
@@ -124,7 +127,7 @@ def encode_words(model, words: list[bytes]) -> list[bytes]:
     return out
 
 
-def balanced(words: list, limit: int = BATCH_BYTES // 2) -> list[list]:
+def balanced(words: list, limit: int) -> list[list]:
     """Consecutive parts of about `limit` bytes or characters."""
     parts, size = [], limit
     for word in words:
@@ -136,13 +139,13 @@ def balanced(words: list, limit: int = BATCH_BYTES // 2) -> list[list]:
     return parts
 
 
-def portions(texts: list, limit: int = 4 * BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, last) of runs of texts of about `limit` length, so that memory is bounded by text and not by rows."""
-    first = size = 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > limit:
+def portions(sizes: Iterable[int], limit: int = 4 * BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of rows of about `limit` in all, so that memory is bounded by text and not by rows."""
+    first, total, at = 0, 0, -1
+    for at, size in enumerate(sizes):
+        if total and total + size > limit:
             yield first, at
-            first, size = at, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = at, 0
+        total += size
+    if first <= at:
+        yield first, at + 1
