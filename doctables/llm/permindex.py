@@ -12,51 +12,63 @@ from pyspark.sql import functions as F
 from doctables.llm.vectors import sampled, unit, usable
 from doctables.llm.work import saved
 
-PIVOTS = 128  #: vectors sampled as pivots, the bound of what the driver reads
+SAMPLE = 4096  #: vectors that the pivots are chosen from, the bound of what the driver reads
+PIVOTS = 128
 POSTED = 12  #: nearest pivots whose inverted files list a vector
-RERANKED = 256  #: vectors of a block reranked by cosine per query
+SLACK = 1e-9  #: more than a cosine from a matrix product can be off
 BLOCK = 2048  #: vectors of a block of an inverted file
 QUERY_BLOCK = 256
 
 
 def permutations(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Place of every pivot in each vector's order of pivots, nearest first."""
-    order = np.argsort(-(units @ pivots.T), axis=1, kind="stable")
-    places = np.empty(order.shape, dtype=np.int16)
-    np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-    return places
+    """Each vector's order of pivots, nearest first."""
+    return np.argsort(-(units @ pivots.T), axis=1, kind="stable").astype(np.int32)
 
 
-def _search(pivot: int, posted: int, reranked: int, k: int, files: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The k best of one block of a pivot's file for each query that looks into it.
+def spread_out(units: np.ndarray, size: int) -> np.ndarray:
+    """At most `size` of the vectors, farthest first: each is the one least like all before it.
+
+    Near copies of one vector give a second pivot only when nothing else is left.
+    """
+    chosen, like = [0], units @ units[0]
+    while len(chosen) < min(size, len(units)):
+        at = int(like.argmin())
+        if like[at] >= 1 - SLACK:
+            break
+        chosen.append(at)
+        like = np.maximum(like, units @ units[at])
+    return units[chosen]
+
+
+def _search(pivot: int, pivots: int, k: int, files: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """The k best of one block of a pivot's file for each query that looks into it; all are scored.
 
     A pair is taken up only under the first pivot, in the query's order, that both
     have among their nearest, so it is ranked once.
     """
-    at = np.array(files["places"].tolist(), dtype=np.int16)
-    vectors, ids = np.array(files["v"].tolist()), files["rep"].to_numpy(np.int64)
-    units = unit(vectors)
-    near = at < posted
+    units, ids = unit(np.array(files["v"].tolist())), files["rep"].to_numpy(np.int64)
+    wanted = unit(np.array(queries["of_v"].tolist()))
+    near = np.zeros((len(ids), pivots), dtype=np.float32)
+    np.put_along_axis(near, np.array(files["files"].tolist(), dtype=np.int64), 1.0, axis=1)
+    earlier = np.zeros((len(wanted), pivots), dtype=np.float32)
+    for at, order in enumerate(queries["of_files"].tolist()):
+        order = np.asarray(order)
+        earlier[at, order[: int(np.flatnonzero(order == pivot)[0])]] = 1.0
+    rough = wanted @ units.T
+    rough[earlier @ near.T > 0] = -np.inf
     out = []
-    wanted = zip(queries["query"].tolist(), queries["of_places"].tolist(), unit(np.array(queries["of_v"].tolist())))
-    for query, places, v in wanted:
-        places = np.array(places, dtype=np.int16)
-        earlier = np.flatnonzero(places < places[pivot])
-        rows = np.flatnonzero(~near[:, earlier].any(axis=1)) if len(earlier) else np.arange(len(ids))
-        if not len(rows):
-            continue
-        footrule = np.abs(at[rows] - places).sum(axis=1, dtype=np.int32)
-        if len(rows) > reranked:
-            rows = rows[np.argpartition(footrule, reranked - 1)[:reranked]]
+    for query, v, row in zip(queries["query"].tolist(), wanted, rough):
+        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+        rows = np.flatnonzero((row >= least - SLACK) & (row > -np.inf))
         scores = np.einsum("ij,j->i", units[rows], v)
         best = np.lexsort((ids[rows], -scores))[:k]
         out.append(pd.DataFrame({"query": query, "rep": ids[rows][best], "score": scores[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "score": []})
+    return pd.concat(out)
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    pivots: int = PIVOTS, posted: int = POSTED, reranked: int = RERANKED, block: int = BLOCK,
+    pivots: int = PIVOTS, posted: int = POSTED, block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """The k vectors of largest cosine found for every query: query_id, rank from 1, vec_id, score.
 
@@ -66,30 +78,30 @@ def nearest(
     take no part, as query or candidate; rows of one id are one vector. With fewer
     candidates than k, all reached are returned.
 
-    Every vector is represented by the order in which it sees `pivots` sampled
-    vectors. It is listed in the files of its `posted` nearest pivots, and a query
-    looks into the files of its own nearest; within a block of a file vectors are
-    ranked by Spearman's footrule between the orders, and the best `reranked` are
-    scored by cosine. Equal vectors are one entry; its k + 1 smallest ids stand for it.
+    Every vector is represented by the order in which it sees `pivots` vectors, chosen
+    far from one another in a sample of `sample`. It is listed in the files of its
+    `posted` nearest pivots, and a query looks into the files of its own nearest and is
+    scored by cosine with every vector listed there. What the search can miss are
+    neighbours with none of the `posted` pivots in common. Equal vectors are one entry; its k + 1 smallest ids stand for it.
     Long files are cut into blocks by a hash, so every block holds a fair share.
     """
     whole = usable(vectors, id_col, vector_col)
     classes = saved(whole.groupBy("v").agg(F.min("id").alias("rep")))
-    seen = sampled(classes, pivots, "rep", "v")
+    seen = sampled(classes, sample, "rep", "v")
     names = f"query_id long, rank int, {id_col} long, score double"
     if not len(seen):
         return vectors.sparkSession.createDataFrame([], names)
+    seen = spread_out(seen, pivots)
     posted = min(posted, len(seen))
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in range(0, len(batch), 4096):
                 part = batch.iloc[first : first + 4096]
-                places = permutations(unit(np.array(part["v"].tolist(), dtype=np.float64)), seen)
-                files = np.argsort(places, axis=1, kind="stable")[:, :posted].astype(np.int32)
-                yield part.assign(places=list(places), files=list(files))
+                units = unit(np.array(part["v"].tolist(), dtype=np.float64))
+                yield part.assign(files=list(permutations(units, seen)[:, :posted]))
 
-    index = saved(classes.mapInPandas(post, "v array<double>, rep long, places array<short>, files array<int>"))
+    index = saved(classes.mapInPandas(post, "v array<double>, rep long, files array<int>"))
     asked = (
         whole.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
         .join(classes, "v")
@@ -103,22 +115,22 @@ def nearest(
     )
     cuts = saved(sizes.join(askers, "pivot"))
     left = (
-        index.select("rep", "v", "places", F.explode("files").alias("pivot")).join(cuts, "pivot")
+        index.select("rep", "v", "files", F.explode("files").alias("pivot")).join(cuts, "pivot")
         .withColumn("b", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-        .select("pivot", "b", "t", "rep", "v", "places")
+        .select("pivot", "b", "t", "rep", "v", "files")
     )
     right = (
-        looking.select(F.col("rep").alias("query"), "v", "places", F.explode("files").alias("pivot")).join(cuts, "pivot")
+        looking.select(F.col("rep").alias("query"), "v", "files", F.explode("files").alias("pivot")).join(cuts, "pivot")
         .withColumn("t", F.pmod(F.xxhash64(F.lit(4), "query"), F.col("turns")).cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", "b", "t", "query", F.col("v").alias("of_v"), F.col("places").alias("of_places"))
+        .select("pivot", "b", "t", "query", F.col("v").alias("of_v"), F.col("files").alias("of_files"))
     )
 
     def search(key, files: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(files) or not len(queries):
             return pd.DataFrame({"query": [], "rep": [], "score": []})
-        return _search(key[0], posted, reranked, k + 1, files, queries)
+        return _search(key[0], len(seen), k + 1, files, queries)
 
     found = (
         left.groupBy("pivot", "b", "t").cogroup(right.groupBy("pivot", "b", "t")).applyInPandas(search, "query long, rep long, score double")

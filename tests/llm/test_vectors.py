@@ -107,3 +107,24 @@ def test_nearest_of_few_rows(spark):
     some = frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None)])
     got = permindex.nearest(some, some.filter("vec_id in (0, 4)")).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got)] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_beside_many_near_copies(spark, clustered):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(9000, 64))
+    if clustered:
+        x = rng.normal(size=(300, 64))[rng.integers(300, size=9000)] + 0.4 * x
+    x[:3000] = rng.normal(size=64) + 0.15 * rng.normal(size=(3000, 64))
+    x = x.astype(np.float32).astype(np.float64)
+    asked = np.arange(0, 9000, 60)
+    vectors = spark.createDataFrame(list(zip(range(9000), x.tolist())), "vec_id long, embedding array<double>")
+    found = {}
+    for r in permindex.nearest(vectors, vectors.filter("vec_id % 60 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = units[asked] @ units.T
+    scores[np.arange(len(asked)), asked] = -9
+    hits = [len(found[int(q)] & set(np.argsort(-row)[:5].tolist())) / 5 for q, row in zip(asked, scores)]
+    inside = asked < 3000
+    assert np.mean(np.array(hits)[inside]) >= 0.9 and np.mean(np.array(hits)[~inside]) >= 0.9
