@@ -7,19 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.llm.vectors import sampled, unit, usable
 from doctables.llm.work import components, saved
 
 COSINE = 0.9
-SAMPLE = 16_384  #: vectors that the codebooks are fitted on, the bound of what the driver reads
+SAMPLE = 16_384  #: vectors that the codebooks are fitted on and that are compared with all others; the bound of what the driver reads
 LARGEST_BOOK = 256
-PROBES = 256  #: vectors compared with all others to find how far a search must go
+LEAST_CELLS = 100  #: cells with linked vectors of the sample below which no reach is read off a part of the vectors
+MARGIN = 1.25  #: what is searched beyond the sample's farthest link, where the sample is a part
 RECALL = 0.999
 BLOCK = 512  #: vectors of a cell compared at once
-STEPS = 64
+WHOLE_BLOCK = 2048  #: and where all are compared with all
+STEPS = 256
+SAME = 1 - 1e-12  #: cosine from which two vectors have one direction: a vector and itself, or its multiples
 
 
 def codebook(points: np.ndarray, size: int, rounds: int = 10) -> np.ndarray:
@@ -82,33 +85,45 @@ def proven_reach(cosine: float) -> float:
     return 2 * math.sqrt(max(0.0, 2 - 2 * cosine))
 
 
-def needed_reach(classes: DataFrame, grid: Grid, probes: np.ndarray, cosine: float, recall: float) -> float:
-    """Excess that finds `recall` of the links of the probes, which are compared with all vectors in blocks.
+def needed_reach(classes: DataFrame, grid: Grid, probes: np.ndarray, cosine: float, recall: float, whole: bool) -> float | None:
+    """Excess that finds `recall` of the links of each probe; None if they show too few links to tell.
 
-    Each task counts its links by step of excess; only those counts come together.
+    The probes are compared with all vectors in blocks. A probe's match with itself is
+    no link. Every probe counts alone, so a large group of near copies does not decide
+    for the others. Where the probes are the whole of the vectors, nothing is unseen;
+    otherwise linked probes must lie in LEAST_CELLS cells. Links are counted by probe
+    and step of excess, and one number per linked probe comes back.
     """
     top = proven_reach(cosine)
     first, second = grid.excess(probes)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(STEPS + 1, dtype=np.int64)
+        seen = np.zeros(len(probes) * (STEPS + 1), dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                units = unit(np.array(batch["v"].iloc[at : at + 4096].tolist(), dtype=np.float64))
+            for at in range(0, len(batch), 256):
+                units = unit(np.array(batch["v"].iloc[at : at + 256].tolist(), dtype=np.float64))
                 home = grid.home(units)
-                p, x = np.nonzero(probes @ units.T >= cosine)
+                dots = probes @ units.T
+                p, x = np.nonzero((dots >= cosine) & (dots < SAME))
                 i, j = home[x] // len(grid.second), home[x] % len(grid.second)
                 need = np.sqrt(first[p, i] ** 2 + second[p, j] ** 2)
-                seen += np.bincount(np.minimum(np.ceil(need / top * STEPS), STEPS).astype(int), minlength=STEPS + 1)
-        yield pd.DataFrame({"step": np.arange(STEPS + 1), "n": seen})
-
-    counts = classes.select("v").mapInPandas(count, "step int, n long").groupBy("step").agg(F.sum("n").alias("n"))
-    of = dict(counts.collect())
-    total = np.cumsum([of.get(k, 0) for k in range(STEPS + 1)])
-    if not total[-1]:
-        return top / 2
-    step = int(np.searchsorted(total, recall * total[-1]))
-    return top * min(STEPS, step + 1) / STEPS
+                steps = np.minimum(np.ceil(need / top * STEPS), STEPS).astype(np.int64)
+                np.add.at(seen, p * (STEPS + 1) + steps, 1)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"probe": at // (STEPS + 1), "step": at % (STEPS + 1), "n": seen[at]})
+
+    counted = classes.select("v").mapInPandas(count, "probe int, step int, n long").groupBy("probe", "step").agg(F.sum("n").alias("n"))
+    upto, everything = Window.partitionBy("probe").orderBy("step"), Window.partitionBy("probe")
+    needed = (
+        counted.withColumns({"found": F.sum("n").over(upto), "links": F.sum("n").over(everything)})
+        .filter(F.col("found") >= F.lit(recall) * F.col("links"))
+        .groupBy("probe")
+        .agg(F.min("step").alias("step"))
+    )
+    steps = dict(needed.collect())
+    if not whole and len(set(grid.home(probes[list(steps)]).tolist()) if steps else ()) < LEAST_CELLS:
+        return None
+    return min(top, top * max(steps.values(), default=0) / STEPS * (1.0 if whole else MARGIN))
 
 
 def _compare(cosine: float, home: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +159,7 @@ def _compare(cosine: float, home: pd.DataFrame, visitors: pd.DataFrame) -> pd.Da
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-    recall: float = RECALL, block: int = BLOCK,
+    recall: float = RECALL, block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
@@ -156,9 +171,10 @@ def near_vectors(
     vector. An empty table gives an empty result.
 
     Equal vectors are one class. Two codebooks, one per half, are fitted on a sample
-    of at most SAMPLE vectors; every class has one cell of the product grid, visits
-    the nearest cells as far as `recall` of a sample's links needs, and is verified
-    against their members by exact cosine in blocks. Blocks give counts and a few
+    of at most `sample` vectors; every class has one cell of the product grid, visits
+    the nearest cells as far as `recall` of the links of every sampled vector needs, and
+    is verified against their members by exact cosine in blocks. If the sample shows too
+    few links to tell, all are compared with all: the grid is then one cell. Blocks give counts and a few
     links per vector, never all pairs. Cells of any size are cut into blocks. What the
     search can miss are links whose cells both vectors leave out; none found is wrong.
     """
@@ -169,13 +185,13 @@ def near_vectors(
     everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
     if count:
         size = max(2, min(LARGEST_BOOK, math.ceil(math.sqrt(count / 16))))
-        sample = sampled(classes, SAMPLE, "rep", "v")
-        half = max(1, sample.shape[1] // 2)
-        second = sample[:, half:] if sample.shape[1] > 1 else np.zeros((len(sample), 1))
-        if sample.shape[1] == 1:  # one number: the second half is empty
-            second = np.zeros((len(sample), 0))
-        grid = Grid(codebook(sample[:, :half], size), codebook(second, size) if second.shape[1] else np.zeros((1, 0)))
-        reach = needed_reach(classes, grid, sample[:PROBES], cosine, recall)
+        probes = sampled(classes, sample, "rep", "v")
+        half = max(1, probes.shape[1] // 2)
+        second = probes[:, half:]  # empty if vectors have one number
+        grid = Grid(codebook(probes[:, :half], size), codebook(second, size) if second.shape[1] else np.zeros((1, 0)))
+        reach = needed_reach(classes, grid, probes, cosine, recall, count <= sample)
+        if reach is None:
+            grid, reach, block = Grid(grid.first[:1], grid.second[:1]), 0.0, max(block, WHOLE_BLOCK)
         found = _linked(classes, grid, reach, cosine, block)
     else:
         found = spark.createDataFrame([], "rep long, links long, component long")

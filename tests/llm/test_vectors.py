@@ -128,3 +128,23 @@ def test_nearest_beside_many_near_copies(spark, clustered):
     hits = [len(found[int(q)] & set(np.argsort(-row)[:5].tolist())) / 5 for q, row in zip(asked, scores)]
     inside = asked < 3000
     assert np.mean(np.array(hits)[inside]) >= 0.9 and np.mean(np.array(hits)[~inside]) >= 0.9
+
+
+@pytest.mark.parametrize("sample", [multiindex.SAMPLE, 600])
+@pytest.mark.parametrize("hot", [0, 1500])
+def test_rare_links_are_found(spark, hot, sample):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(200, 64))
+    off -= (off * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosines = rng.uniform(0.905, 0.95, size=(200, 1))
+    x = np.vstack([x, cosines * x[:200] + np.sqrt(1 - cosines**2) * off, rng.normal(size=64) + 0.05 * rng.normal(size=(hot, 64))])
+    vectors = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in multiindex.near_vectors(vectors, sample=sample).collect()}
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (units @ units.T >= 0.9).sum(axis=1) - 1
+    assert links[:200].min() >= 1
+    assert [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert all(got[4000 + i].component_id == i and not got[4000 + i].kept for i in range(200))
