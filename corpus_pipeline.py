@@ -13,13 +13,17 @@ from doctables.session import ship
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those without one go.
 
-    The text model is fitted on a bounded sample of the documents' own labels. Rows
-    without id stay; an id goes only if none of its rows is accepted.
+    The text model is fitted on a bounded sample of each of the documents' own labels.
+    Rows without id stay; an id goes only if none of its rows is accepted and none
+    declares a language that the model has never seen.
     """
     ship(spark)
-    found = langid.identify_documents(docs, langid.fit_text_model(docs))
+    model = langid.fit_text_model(docs)
+    found = langid.identify_documents(docs, model)
+    unseen = docs.filter(F.col("lang").isNotNull() & ~F.col("lang").cast("string").isin(model.labels)).select("doc_id")
     refused = saved(
         found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("accepted").alias("ok")).filter("not ok").select("doc_id")
+        .join(unseen, "doc_id", "left_anti")
     )
     return docs.join(refused, "doc_id", "left_anti").select(docs.columns)
 

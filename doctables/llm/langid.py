@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.llm.wordcache import portions
 from doctables.llm.work import saved
 
 BITS = 14  #: letter trigrams are hashed to 2^BITS buckets
-SAMPLE = 3000  #: labelled documents that the text model is fitted on, the bound of what it reads
-MOST_LABELS = 32
+SAMPLE = 1000  #: documents of each label that the text model is fitted on, the bound of what it reads
 EVIDENCE = 60.0  #: trigrams count as so many independent ones at most
 STRENGTH = 20.0  #: pseudo-documents that a level of the hierarchy hands to the one below
 EVEN = 0.2  #: weight of the even distribution in every label's, so that unseen trigrams cost little each
 UNKNOWN = "und"
+LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"  #: what _grams takes as part of a trigram
 _BLANK = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
 
@@ -45,21 +45,23 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Trigram counts per label of the `sample` labelled documents that come first in a hash of their id.
+    """Trigram counts of every label, from its `sample` documents that come first in a hash of their id.
 
-    What comes back to the driver is the model: at most 2^BITS numbers for each of
-    MOST_LABELS labels. Without labelled rows, the model knows no language.
+    What comes back to the driver is the model: at most 2^BITS numbers for each label.
+    A label of which no document has an id and letters has no column. Without labelled
+    rows, the model knows no language.
     """
+    first = Window.partitionBy("label").orderBy("h", "id")
     keys = (
-        docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), F.col(id_col)).alias("h"))
-        .orderBy("h", "id")
-        .limit(sample)
-        .select("id")
+        docs.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(LETTER) & F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.lit(1), F.col(id_col)).alias("h"))
+        .withColumn("at", F.row_number().over(first))
+        .filter(F.col("at") <= sample)
+        .select("id", "label")
         .distinct()
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    chosen = rows.filter("label is not null and text is not null").join(F.broadcast(keys), "id")
+    chosen = rows.filter("label is not null and text is not null").join(keys, ["id", "label"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,14 +73,12 @@ def fit_text_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = saved(
         chosen.select("label", "text").mapInPandas(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     )
-    top = counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
-    labels = sorted(r.label for r in top.collect())
+    found = counted.toPandas()
+    labels = sorted(set(found["label"]))
     size = 1 << BITS
     table = np.full((size, len(labels) + 1), -np.log(size))
-    found = counted.filter(F.col("label").isin(labels)).toPandas() if labels else pd.DataFrame(columns=["label", "bucket", "n"])
-    for k, label in enumerate(labels):
-        counts = np.zeros(size)
-        own = found[found["label"] == label]
+    for label, own in found.groupby("label"):
+        k, counts = labels.index(label), np.zeros(size)
         counts[own["bucket"].to_numpy(int)] = own["n"].to_numpy(float)
         table[:, k] = np.log((1 - EVEN) * counts / max(counts.sum(), 1.0) + EVEN / size)
     return TextModel(labels, table.astype(np.float32))
@@ -162,45 +162,43 @@ def identify(
         F.coalesce(declared, F.lit("")).alias("declared"),
         text_evidence(text, model).alias("e"),
     ).select("row_id", "host", "suffix", "declared", F.col("e.n").alias("n"), F.col("e.ll").alias("ll"))
-    logs = [F.least(F.col("n").cast("double"), F.lit(evidence)) * F.col("ll")[k] for k in range(count)]
-    scored = saved(scored.withColumns({f"t{k}": logs[k] for k in range(count)}).drop("ll"))
-    own = _shares([F.col(f"t{k}") for k in range(count)])
-    scored = scored.withColumns({f"p{k}": own[k] for k in range(count)})
+    weight = F.least(F.col("n").cast("double"), F.lit(evidence))
+    scored = scored.withColumn("t", F.transform("ll", lambda x: x * weight)).drop("ll")
+    scored = saved(scored.withColumn("p", _shares(F.col("t"))))
 
-    def sums(prefix: str, *keys: str) -> DataFrame:
-        return scored.groupBy(*keys).agg(*[F.sum(f"p{k}").alias(f"{prefix}{k}") for k in range(count)])
+    def sums(name: str, *keys: str) -> DataFrame:
+        added = scored.groupBy(*keys).agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(count)])
+        return added.select(*keys, F.array(*[f"s{k}" for k in range(count)]).alias(name))
 
-    overall = sums("g").first()
-    overall = [float(overall[k] or 0.0) for k in range(count)]
+    overall = [float(x or 0.0) for x in sums("g").first().g]
     hosts, suffixes, marks = saved(sums("h", "host")), saved(sums("s", "suffix")), saved(sums("d", "declared"))
     joined = scored.join(hosts, "host", "left").join(suffixes, "suffix", "left").join(marks, "declared", "left")
     everything = sum(overall)
 
-    def level(prefix: str, key: str, above: list[Column]) -> list[Column]:
-        less = [F.greatest(F.col(f"{prefix}{k}") - F.col(f"p{k}"), F.lit(0.0)) for k in range(count)]
-        total = sum(less[1:], less[0]) + strength
-        return [F.when(F.col(key) == "", above[k]).otherwise((less[k] + above[k] * strength) / total) for k in range(count)]
-
-    top = [F.lit((overall[k] + strength / count) / (everything + strength)) for k in range(count)]
-    steps = {f"q{k}": c for k, c in enumerate(level("s", "suffix", top))}
-    joined = joined.withColumns(steps)
-    joined = joined.withColumns({f"q{k}": c for k, c in enumerate(level("h", "host", [F.col(f"q{k}") for k in range(count)]))})
-    mark_rows = sum([F.col(f"d{k}") for k in range(1, count)], F.col("d0"))
-    share = (mark_rows + 1.0) / (everything + 1.0)
-    said = [
-        F.when(F.col("declared") == "", F.lit(0.0)).otherwise(
-            F.log(
-                (F.greatest(F.col(f"d{k}") - F.col(f"p{k}"), F.lit(0.0)) + share * strength)
-                / (overall[k] + strength)
-            )
+    def without_own(name: str) -> Column:
+        return F.zip_with(name, "p", lambda x, own: F.greatest(x - own, F.lit(0.0)))
+
+    def level(name: str, key: str, above: Column) -> Column:
+        lower = _let(
+            _total(F.col("less")) + strength,
+            lambda total: F.zip_with("less", above, lambda x, up: (x + up * strength) / total),
         )
-        for k in range(count)
-    ]
-    final = _shares([F.col(f"t{k}") + F.log(F.col(f"q{k}")) + said[k] for k in range(count)])
-    joined = joined.withColumns({f"r{k}": final[k] for k in range(count)})
-    best = F.greatest(*[F.col(f"r{k}") for k in range(count)]) if count > 1 else F.col("r0")
-    language = F.coalesce(*[F.when(F.col(f"r{k}") == best, F.lit(labels[k])) for k in range(count)])
-    return joined.select("row_id", language.alias("language"), best.alias("posterior"), "n").select(
+        return F.when(F.col(key) == "", above).otherwise(lower)
+
+    joined = joined.withColumn("q", F.lit([(x + strength / count) / (everything + strength) for x in overall]))
+    for name, key in (("s", "suffix"), ("h", "host")):
+        joined = joined.withColumn("less", without_own(name)).withColumn("q", level(name, key, F.col("q")))
+    said = _let(
+        (_total(F.col("d")) + 1.0) / (everything + 1.0),
+        lambda share: F.zip_with(
+            without_own("d"), F.lit([x + strength for x in overall]), lambda x, of: F.log((x + share * strength) / of)
+        ),
+    )
+    joined = joined.withColumn("a", F.zip_with("t", "q", lambda t, q: t + F.log(q)))
+    joined = joined.withColumn("a", F.when(F.col("declared") == "", F.col("a")).otherwise(F.zip_with("a", said, lambda x, y: x + y)))
+    joined = joined.withColumn("r", _shares(F.col("a"))).withColumn("posterior", F.array_max("r"))
+    language = F.element_at(F.lit(labels), F.array_position("r", F.col("posterior")).cast("int"))
+    return joined.select("row_id", language.alias("language"), "posterior", "n").select(
         "row_id",
         "language",
         "posterior",
@@ -208,12 +206,19 @@ def identify(
     )
 
 
-def _shares(logs: list[Column]) -> list[Column]:
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda x, y: x + y)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value found once; inside another lambda it would be found again for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _shares(logs: Column) -> Column:
     """exp of each, divided by their sum."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+    weights = _let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+    return _let(weights, lambda w: _let(_total(w), lambda total: F.transform(w, lambda x: x / total)))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -147,3 +147,21 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, with_nulls, folder).collect()
         stage(spark, docs.limit(0), folder).collect()
+
+
+def test_every_label_has_a_column(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(45):  # each with letters of its own, the last in few documents
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        for _ in range(3 if k == 44 else 40):
+            text = " ".join("".join(rng.choices(letters, k=4)) for _ in range(40))
+            rows.append((len(rows), text, f"l{k:02}", f"host{k % 3}", 1))
+    rows.append((9000, None, "none", "host1", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.fit_text_model(docs, sample=10)
+    assert model.labels == [f"l{k:02}" for k in range(45)]
+    got = {r.doc_id: r for r in langid.identify_documents(docs, model).collect()}
+    assert all(got[r[0]].language == r[2] and got[r[0]].accepted for r in rows[:-1])
+    kept = corpus_pipeline.identify_languages(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
