@@ -236,8 +236,10 @@ def line_groups(
         .distinct()
     )
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("line")).union(members.select("line")).distinct())
-    asked = wanted.join(nodes.select("line", "head.doc", "head.at"), "line")
-    texts = saved(lines.join(asked, ["doc", "at"]).select("line", "text").dropDuplicates(["line"]))
+    asked = wanted.join(nodes.select("line", "head.doc", "head.at", "h1", "h2"), "line")
+    # rows of one id may have different lines at one place
+    hashed = lines.withColumns({"h1": h1, "h2": h2})
+    texts = saved(hashed.join(asked, ["doc", "at", "h1", "h2"]).select("line", "text").dropDuplicates(["line"]))
     links = _verified(pairs, texts, size, least)
     found = saved(components(links))
     inside = saved(

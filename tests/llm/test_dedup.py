@@ -159,3 +159,14 @@ def test_bands_recall():
             keys = linededup.band_keys([a, b])
             hit, total = hit + bool((keys[0] == keys[1]).any()), total + 1
     assert total > 200 and hit >= 0.97 * total
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    words = [f"{chr(97 + k % 26) * 3}{k * 7919}" for k in range(400)]
+    lines = [" ".join(words[k * 10 : k * 10 + 10]) for k in range(40)]
+    rows = [(1, t, "s") for t in lines] + [(100 + k, t + " x", "s") for k, t in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = linededup.line_groups(docs).collect()
+    # every line of id 1 has one near copy, and no line is like another of id 1
+    assert sorted((r.doc, r.keep_doc) for r in got if r.doc >= 100) == [(100 + k, 1) for k in range(40)]
+    assert all(r.kept for r in got if r.doc == 1)
