@@ -13,7 +13,7 @@ from doctables.llm.work import components, saved
 
 SHINGLE = 7  #: characters of a shingle
 SIMILARITY = 0.8
-BANDS, ROWS = 13, 6  #: a pair of similarity 0.8 shares a band with probability 0.98, one of 0.85 with 0.999
+BANDS, ROWS = 13, 6  #: a pair of similarity 0.8 shares a band with probability 0.981, one of 0.85 with 0.998
 SPAN = 1 << 17  #: characters whose shingles are hashed at once
 VISIBLE = r"[^\x20\x09-\x0D]"
 FEW = 32  #: buckets of up to so many lines are joined with themselves
