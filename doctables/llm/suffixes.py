@@ -18,9 +18,9 @@ LENGTH = 400  #: bytes of a repeated string
 ANCHOR = 128  #: bytes whose hash decides where a string is looked for
 SYMBOL = 100  #: bytes of one symbol of the transform
 CHUNK = 1 << 20  #: bytes of a text that are hashed at once
-TASK_BYTES = 1 << 22  #: bytes of contexts merged by one task, on average
-SHARD_BYTES = 1 << 20  #: bytes of contexts in one shard
-GROUP = 256  #: different contexts of one anchor that stay together
+TASK_BYTES = 1 << 21  #: bytes of contexts merged by one task, on average
+SHARD_BYTES = 1 << 19  #: bytes of contexts in one shard
+GROUP = 8192  #: different contexts of one anchor that stay together: about 5 MB
 SPAN = "array<struct<a: int, b: int>>"
 
 
@@ -119,8 +119,8 @@ def _steps(contexts: list[bytes], symbol: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbol of each suffix (0: none left) and the suffix one symbol before it (-1: none).
 
     A context is read as `symbol` strings, one for each place modulo `symbol`. The
-    symbol at a place is the hash of the next `symbol` bytes, so strings of `length`
-    bytes are equal if `length / symbol` symbols are.
+    symbol at a place is the hash (48 bits) of the next `symbol` bytes, so strings of
+    `length` bytes are equal if `length / symbol` symbols are.
     """
     sizes = np.array([len(c) for c in contexts])
     stops = np.cumsum(sizes + 1)  # one place behind each context, for the string that ends there
@@ -128,13 +128,21 @@ def _steps(contexts: list[bytes], symbol: int) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(b"\0".join(contexts) + b"\0", dtype=np.uint8)
     hashes = np.zeros(len(codes), dtype=np.uint64)
     windows = Prefixes(codes).windows(symbol)
-    hashes[: len(windows)] = np.maximum(windows, np.uint64(1))
+    hashes[: len(windows)] = np.maximum(windows >> np.uint64(16), np.uint64(1))
     where = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
     left = np.repeat(sizes, sizes + 1) - where
     hashes[left < symbol] = 0
     return hashes, np.where(where >= symbol, np.arange(len(codes)) - symbol, -1)
 
 
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of symbols of 48 bits, 16 bits at a time."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    for shift in (16, 32):
+        order = order[np.argsort((symbols >> np.uint64(shift)).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def shard_transform(hashes: np.ndarray, back: np.ndarray, rounds: int) -> tuple[np.ndarray, Shard]:
     """Suffixes of one shard in the order of their first `rounds` symbols, and its transform."""
     order = np.arange(len(hashes))
@@ -142,7 +150,7 @@ def shard_transform(hashes: np.ndarray, back: np.ndarray, rounds: int) -> tuple[
     for _ in range(rounds):
         before = back[order]
         before = before[before >= 0]
-        order = np.concatenate((ended, before[np.argsort(hashes[before], kind="stable")]))
+        order = np.concatenate((ended, before[_by_symbol(hashes[before])]))
     before = np.where(back[order] >= 0, hashes[back[order]], 0)
     return order, Shard(before, len(ended))
 
@@ -159,14 +167,15 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     round are the repeated strings.
     """
     before = np.concatenate([s.before for s in shards])
-    ended = np.repeat(np.arange(len(shards)), [s.strings for s in shards])
-    interleave = np.repeat(np.arange(len(shards)), [len(s.before) for s in shards])
+    names = np.arange(len(shards), dtype=np.uint16 if len(shards) < 1 << 16 else np.int64)
+    ended = np.repeat(names, [s.strings for s in shards])
+    interleave = np.repeat(names, [len(s.before) for s in shards])
     common = np.full(len(before), rounds, dtype=np.int8)
     for depth in range(rounds):
         symbols = np.empty_like(before)
         symbols[np.argsort(interleave, kind="stable")] = before
         going = np.flatnonzero(symbols)
-        sort = going[np.argsort(symbols[going], kind="stable")]
+        sort = going[_by_symbol(symbols[going])]
         parted = np.ones(len(before), dtype=bool)  # ended strings are unlike any other
         interval = np.cumsum(common < rounds)[sort]
         symbols = symbols[sort]
@@ -338,7 +347,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, **settings) -> DataFrame
     share an anchor in one text) that are equal are counted; of the others with the
     same anchor the bytes are fetched, transformed shard by shard and merged. Anchors
     with more than `group` different contexts are compared string by string. Strings
-    are equal if their 64-bit hashes and those of their anchors are.
+    are equal if the 64-bit hashes of their anchors and those of all their symbols are.
 
     NULL is an empty text; texts of less than `length` bytes lose nothing. Long texts
     are hashed in parts. Repeated rows are texts of their own and remove each other.
