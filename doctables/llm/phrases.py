@@ -16,8 +16,9 @@ from doctables.llm.work import saved
 DEPTH = 5  #: words of the longest phrase
 LEAST = 100  #: occurrences that make a candidate
 BEST = 2000  #: phrases returned per language
-BLOCK = 1 << 21  #: bytes of text that are split into words at once
-HELD = 1 << 20  #: pairs or pointers counted before they leave a task
+BLOCK = 1 << 20  #: bytes of text that are split into words at once
+ROWS = 512  #: texts taken at once
+HELD = 1 << 20  #: pairs counted before they leave a task, and four times the pointers
 TASK_ROWS = 1 << 20  #: pointers of one sorting task, on average
 GROUP_ROWS = 1 << 16  #: pointers with the same leading words that stay together
 MOST_BITS = 27  #: size of the filters of frequent words and pairs, as a power of two
@@ -90,16 +91,18 @@ def _language_key(lang: str, seed: int) -> int:
 
 def _words(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[str, bytes, Words]]:
     """(lang, block, words) of a batch of (lang, text)."""
-    by_lang: dict[str, list[bytes]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if text:
-            by_lang.setdefault(lang, []).append(text.encode().translate(TABLE))
-    for lang, texts in by_lang.items():
-        key = _language_key(lang, seed)
-        for blob, stop in blocks(texts):
-            words = Words(blob, stop, key)
-            if words.own:
-                yield lang, blob, words
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        by_lang: dict[str, list[bytes]] = {}
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
+            if text.is_valid:
+                by_lang.setdefault(lang, []).append(text.as_buffer().to_pybytes().translate(TABLE))
+        for lang, texts in by_lang.items():
+            key = _language_key(lang, seed)
+            for blob, stop in blocks(texts):
+                words = Words(blob, stop, key)
+                if words.own:
+                    yield lang, blob, words
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -201,7 +204,7 @@ def pointers(texts: DataFrame, seed: int, pairs_kept: Filter) -> DataFrame:
                     on[on] = going[at[on] + k]
                 held.append(rows)
                 size += len(rows)
-                if size >= HELD:
+                if size >= HELD // 4:
                     yield _merged(np.concatenate(held))
                     held, size = [], 0
         if held:
