@@ -9,6 +9,7 @@ from doctables.catalog.base import query, table
 from doctables.catalog.inputs import with_inputs
 from doctables.functions.text import extract_json
 from doctables.operators import chunks, documents, pages, usage
+from doctables.sources.profiles import Profile
 from doctables.sources.rulepacks import shipped_profiles
 
 # White space as the engine strips it: ASCII, separators, and the no-break space.
@@ -204,6 +205,32 @@ def profile_match(spark, folder):
     )
 
 
+# 250 packs of 20 keywords, made of syllables of the texts.
+_SYLLABLES = "er an th on re in ou es st en ti ed ha nd le it ne al ch ve".split()
+_MANY = [
+    Profile(
+        name=f"pack{i}",
+        keywords=tuple(_SYLLABLES[k % 20] + _SYLLABLES[k // 20 % 20] + _SYLLABLES[k // 400] for k in range(20 * i, 20 * i + 20)),
+    )
+    for i in range(250)
+]
+
+
+@query(
+    with_inputs(
+        f"""SELECT doc_id, CAST(max(score) AS INTEGER) AS profile_score, CASE WHEN max(score) >= 4 THEN 'pack' || arg_max(pack, score * 1000 - pack) END AS profile
+FROM (
+    SELECT doc_id, pack, sum(CASE WHEN contains(s, w) THEN 2 ELSE 0 END + CASE WHEN contains(f, w) THEN 3 ELSE 0 END) AS score
+    FROM named_docs, (SELECT k // 20 AS pack, y[k % 20 + 1] || y[k // 20 % 20 + 1] || y[k // 400 + 1] AS w FROM range(5000) r(k), (SELECT {_SYLLABLES} AS y))
+    GROUP BY doc_id, pack
+) GROUP BY doc_id""",
+        "named_docs",
+    )
+)
+def profile_match_many(spark, folder):
+    return documents.match_profiles(_named_docs(spark, folder), _MANY).select("doc_id", "profile", "profile_score")
+
+
 def _hit_count(profile) -> str:
     return " + ".join(
         f"CASE WHEN contains(f || ' ' || s, '{w.lower()}') THEN 1 ELSE 0 END" for w in profile.keywords

@@ -261,7 +261,7 @@ def validate_rollup(spark, folder):
     issues = _issues(spark, folder).withColumn(
         "dataset", F.concat(F.lit("ds"), (F.col("record_id") % 3).cast("string"))
     )
-    return rules.summarize_datasets(issues)
+    return rules.summarize_datasets(issues).drop("auto_fixable_count")
 
 
 @query(
@@ -291,3 +291,18 @@ def absent_values(spark, folder):
         "doc_id", F.lit(1).alias("page"), F.col("source").alias("value")
     )
     return rules.absent_from_page(found, inputs.doc_pages(spark, folder)).select("doc_id", "page", "value")
+
+
+@query(
+    with_inputs(
+        r"""SELECT c.doc_id, c.page, c.value FROM (SELECT doc_id + 1 AS doc_id, 1 AS page, unnest(list_distinct(string_split(text, ' '))) AS value FROM documents) c
+LEFT JOIN doc_pages p ON c.doc_id = p.doc_id AND c.page = p.page WHERE regexp_matches(c.value, '\S') AND NOT coalesce(contains(lower(p.text), lower(c.value)), false)""",
+        "doc_pages",
+    )
+)
+def absent_words(spark, folder):
+    """Every page searched for all words of the document before."""
+    cells = table(spark, folder, "documents").select(
+        (F.col("doc_id") + 1).alias("doc_id"), F.lit(1).alias("page"), F.explode(F.array_distinct(F.split("text", " "))).alias("value")
+    )
+    return rules.absent_from_page(cells, inputs.doc_pages(spark, folder)).select("doc_id", "page", "value")

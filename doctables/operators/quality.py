@@ -39,14 +39,18 @@ def dataset_quality(
     both = counts.unionByName(
         summary.select("critical_count", "warning_count"), allowMissingColumns=True
     )
-    joined = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return scores(both.agg(*[F.max(c).alias(c) for c in both.columns]), extraction)
+
+
+def scores(counts: DataFrame, extraction: float = 0.95, keys: Sequence[str] = ()) -> DataFrame:
+    """Quality of each row of counts: records, columns, cells, filled and modified cells, critical and warning issues."""
     records, cells = F.col("total_records"), F.col("total_cells")
     some = cells > 0
 
     def score(value: Column) -> Column:
         return F.bround(F.when(some, value).otherwise(F.lit(0.0)), 1)
 
-    scored = joined.select(
+    scored = counts.select(
         "*",
         F.lit(round(extraction * 100, 1)).alias("extraction_score"),
         score(F.col("filled_cells") / cells * 100).alias("completeness_score"),
@@ -64,6 +68,7 @@ def dataset_quality(
     )
     parts = ("extraction_score", "completeness_score", "consistency_score", "validation_score")
     return scored.select(
+        *keys,
         score(sum((F.col(p) * 0.25 for p in parts), F.lit(0.0))).alias("overall_score"),
         *parts,
         "total_records",

@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions import fixed
+from doctables.functions.matching import missing_from
 from doctables.functions.text import digits_only, first_number, is_blank, strip
 from doctables.operators.schema import Field
 
 CRITICAL, WARNING, INFO = "CRITICAL", "WARNING", "INFO"
+PART_VALUES = 10_000  #: values of a page that are searched together
 
 
 @dataclass(frozen=True)
@@ -314,6 +316,7 @@ def summarize_datasets(issues: DataFrame, dataset: str = "dataset") -> DataFrame
     per_record = issues.groupBy(dataset, "record_id").agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in (CRITICAL, WARNING, INFO)],
         F.count(F.lit(1)).alias("total"),
+        F.count_if("is_auto_fixable").alias("fixable"),
     )
     return per_record.rollup(dataset).agg(
         F.sum(CRITICAL).alias("critical_count"),
@@ -321,6 +324,7 @@ def summarize_datasets(issues: DataFrame, dataset: str = "dataset") -> DataFrame
         F.sum(INFO).alias("info_count"),
         F.sum("total").alias("total_issues"),
         F.count(F.lit(1)).alias("records_with_issues"),
+        F.sum("fixable").alias("auto_fixable_count"),
     )
 
 
@@ -582,17 +586,22 @@ def run_status(summary: DataFrame) -> DataFrame:
     )
 
 
-def absent_from_page(cells: DataFrame, pages: DataFrame) -> DataFrame:
+def absent_from_page(cells: DataFrame, pages: DataFrame, part_values: int = PART_VALUES) -> DataFrame:
     """Cells whose value does not occur in the text of the page they name.
 
-    `cells`: doc_id, page, record_id, field, value.
+    `cells`: doc_id, page, record_id, field, value. The distinct values of a page are
+    searched together, so its text is sent once (and once more for every
+    `part_values` of them). Cells of a page without text are absent.
     """
-    text = pages.select("doc_id", "page", F.col("text").alias("_text"))
-    found = F.coalesce(F.lower("_text").contains(F.lower("value")), F.lit(False))
-    return (
-        cells.filter(~is_blank(F.col("value")))
-        .join(text, ["doc_id", "page"], "left")
-        .filter(~found)
-        .drop("_text")
+    filled = cells.filter(~is_blank(F.col("value")))
+    values = filled.select("doc_id", "page", F.lower("value").alias("_low")).distinct()
+    many = values.groupBy("doc_id", "page").agg((F.count(F.lit(1)) / part_values).cast("int").alias("_more"))
+    crowded = many.filter("_more > 0")
+    parts = values.join(crowded, ["doc_id", "page"], "left").withColumn(
+        "_part", F.pmod(F.xxhash64("_low"), F.coalesce("_more", F.lit(0)) + 1)
     )
-
+    lists = parts.groupBy("doc_id", "page", "_part").agg(F.collect_list("_low").alias("_lows"))
+    text = pages.select("doc_id", "page", F.lower("text").alias("_text"))
+    absent = lists.join(text, ["doc_id", "page"], "left").select("doc_id", "page", F.explode(missing_from(F.col("_text"), F.col("_lows"))).alias("_low"))
+    same = filled["doc_id"].eqNullSafe(absent["doc_id"]) & filled["page"].eqNullSafe(absent["page"]) & (F.lower(filled["value"]) == absent["_low"])
+    return filled.join(absent, same, "left_semi")

@@ -78,8 +78,8 @@ def column_votes(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*packed)))
 
 
-def infer_types(df: DataFrame, fields: Sequence[str], lists: bool = True) -> DataFrame:
-    """Type, confidence and required flag per field (field, position, data_type, …)."""
+def voted(counts: DataFrame, keys: Sequence[str], lists: bool = True) -> DataFrame:
+    """Type, confidence and required flag from vote counts (rows, filled, bools, …), for each row of them."""
     share = lambda n: n / F.col("filled")
     boolean, integer = share(F.col("bools")), share(F.col("ints"))
     number, many = share(F.col("ints") + F.col("floats")), share(F.col("lists"))
@@ -93,15 +93,19 @@ def infer_types(df: DataFrame, fields: Sequence[str], lists: bool = True) -> Dat
     if lists:
         vote = vote.when(many >= LIST_SHARE, F.struct(F.lit("LIST").alias("t"), many.alias("c")))
     vote = vote.otherwise(F.struct(F.lit("STRING").alias("t"), F.lit(0.95).alias("c")))
-    return column_votes(df, fields).select(
-        "field",
-        "position",
+    return counts.select(
+        *keys,
         vote["t"].alias("data_type"),
         F.bround(vote["c"], 2).alias("confidence"),
         ((F.col("rows") > 0) & (F.col("rows") == F.col("filled"))).alias("required"),
     )
 
 
+def infer_types(df: DataFrame, fields: Sequence[str], lists: bool = True) -> DataFrame:
+    """Type, confidence and required flag per field (field, position, data_type, …)."""
+    return voted(column_votes(df, fields), ["field", "position"], lists)
+
+
 def is_key_name(name: str) -> bool:
     return name in ("id", "saqa_id", "ofo_code", "variable_name") or "code" in name
 
