@@ -3,19 +3,18 @@
 A chunk starts where the one before it ends, one page earlier if that end lies
 in a continued table. The start of a chunk thus depends on all earlier ones. A
 block of pages is summed up as "where the next chunk starts, for each place the
-first may start"; these few numbers per block are chained per document, and all
-blocks are then filled in parallel.
+first may start". Such tables are composed in a tree (`plans.scan.chained`), the entry of
+each block is handed down, and all blocks are then filled in parallel.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.text import strip
 from doctables.plans.durable import durable
-from doctables.plans.scan import number_rows
+from doctables.plans.scan import chained, number_rows
 
 BLOCK_PAGES = 1024
 
@@ -46,7 +45,6 @@ def chunk_starts(
 
     `placed`: doc_id, page, pos. `continued`: doc_id, page of pages a table runs into.
     """
-    doc = placed.schema["doc_id"].dataType.simpleString()
     counts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
     steps = placed.join(counts, "doc_id").select(
         "doc_id", "pos", "_pages", F.lit(size).cast("long").alias("step")
@@ -76,27 +74,16 @@ def chunk_starts(
             ).alias("steps"),
         )
     )
+    # a state is the position, within a block, at which the first chunk in it starts
+    left = [_follow(F.col("steps"), e) for e in range(size)]
     exits = blocks.select(
         "doc_id",
-        "block",
-        F.array(*[_follow(F.col("steps"), e) for e in range(size)]).alias("exits"),
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        entry, first, entries, firsts = 0, 0, [], []
-        for out in pdf["exits"]:
-            entries.append(entry)
-            firsts.append(first)
-            first += int(out[entry]["n"])
-            entry = max(0, int(out[entry]["at"]) - block)
-        return pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "block": pdf["block"], "entry": entries, "first": firsts}
-        )
-
-    entries = exits.groupBy("doc_id").applyInPandas(
-        chain, f"doc_id {doc}, block bigint, entry bigint, first bigint"
+        F.col("block").alias("place"),
+        F.array(
+            *[F.struct(F.greatest(out["at"] - block, F.lit(0).cast("long")).alias("at"), out["n"].alias("n")) for out in left]
+        ).alias("table"),
     )
+    entries = chained(exits, ["doc_id"], size).withColumnsRenamed({"place": "block", "before": "first"})
     found = F.aggregate(
         "steps",
         F.struct(F.col("entry").alias("at"), F.array().cast("array<bigint>").alias("starts")),

@@ -123,3 +123,67 @@ def number_rows(
     )
     first = start if isinstance(start, Column) else F.lit(start)
     return numbered.withColumn(name, F.col(name) + first).drop("_all")
+
+
+FAN = 256
+
+
+def _composed(items: Column, start: Column) -> Column:
+    """Table of many tables applied one after the other, to the states in `start`."""
+    return F.aggregate(
+        items,
+        start,
+        lambda acc, item: F.transform(
+            acc,
+            lambda s: F.struct(
+                F.get(item["table"], s["at"].cast("int"))["at"].alias("at"),
+                (s["n"] + F.get(item["table"], s["at"].cast("int"))["n"]).alias("n"),
+            ),
+        ),
+    )
+
+
+def _followed(items: Column, start: Column) -> Column:
+    """Array of (place, entry, before): the state in which each table is entered, and the count before it."""
+    done = F.aggregate(
+        items,
+        F.struct(start.alias("s"), F.array().cast("array<struct<place: bigint, entry: bigint, before: bigint>>").alias("out")),
+        lambda acc, item: F.struct(
+            F.struct(
+                F.get(item["table"], acc["s"]["at"].cast("int"))["at"].alias("at"),
+                (acc["s"]["n"] + F.get(item["table"], acc["s"]["at"].cast("int"))["n"]).alias("n"),
+            ).alias("s"),
+            F.array_append(
+                acc["out"],
+                F.struct(item["place"].alias("place"), acc["s"]["at"].alias("entry"), acc["s"]["n"].alias("before")),
+            ).alias("out"),
+        ),
+    )
+    return done["out"]
+
+
+def chained(tables: DataFrame, group: Sequence[str], states: int, levels: int = 2, fan: int = FAN) -> DataFrame:
+    """State in which each place of a group is entered, when places are passed in order from state 0.
+
+    `tables`: group, place (from 0), table: for each of the `states` entry states
+    (at: state left in, n: what is counted on the way). Applying tables one after the
+    other is associative, so `fan` of them in a row are composed to one, and those
+    again, `levels` times; from the top the states are then handed down. A task holds
+    `fan` tables, and the top only what is left of a group after `levels` steps.
+    """
+    keys = [*group, "_up"]
+    if levels == 0:
+        tables = tables.withColumn("_up", F.lit(0).cast("long"))
+    else:
+        tables = tables.withColumn("_up", F.expr(f"place div {fan}"))
+    packed = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "table"))).alias("items"))
+    zero = F.lit(0).cast("long")
+    if levels == 0:
+        entered = packed.withColumns({"entry": zero, "before": zero})
+    else:
+        start = F.array(*[F.struct(F.lit(e).cast("long").alias("at"), zero.alias("n")) for e in range(states)])
+        above = packed.select(*group, F.col("_up").alias("place"), _composed(F.col("items"), start).alias("table"))
+        above = chained(above, group, states, levels - 1, fan).withColumnRenamed("place", "_up")
+        entered = packed.join(above, keys)
+    begin = F.struct(F.col("entry").alias("at"), F.col("before").alias("n"))
+    return entered.select(*group, F.inline(_followed(F.col("items"), begin)))
