@@ -9,7 +9,7 @@ from doctables.catalog.base import query, table
 from doctables.catalog.inputs import with_inputs
 from doctables.functions import fixed
 from doctables.functions.lists import split_items
-from doctables.operators import compare, relational, schema
+from doctables.operators import compare, relational, review, schema
 from doctables.sources import sinks
 
 
@@ -426,3 +426,49 @@ def eval_mismatches(spark, folder):
 )
 def golden_samples(spark, folder):
     return compare.golden_samples(inputs.golden(spark, folder), inputs.predicted(spark, folder), "id")
+
+
+@query(
+    """WITH g AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CAST(quality AS VARCHAR) AS quality FROM labels),
+a AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, CASE WHEN n_chars >= 200 THEN '1' ELSE '0' END AS quality FROM documents),
+m AS (SELECT count(*) AS matched, count(CASE WHEN g.quality <> a.quality THEN 1 END) AS wrong FROM g JOIN a USING (n)),
+c AS (SELECT (SELECT count(*) FROM g) AS expected, (SELECT count(*) FROM a) AS actual, matched, wrong FROM m)
+SELECT expected AS total_expected, actual AS total_actual, matched AS matched_records, expected - matched AS missing_records, actual - matched AS extra_records,
+  wrong AS field_mismatches, round_even(matched / CAST(expected AS DOUBLE) * 100, 2) AS record_recall, round_even(matched / CAST(actual AS DOUBLE) * 100, 2) AS record_precision,
+  round_even((matched - wrong) / CAST(matched AS DOUBLE) * 100, 2) AS field_accuracy FROM c"""
+)
+def golden_by_row(spark, folder):
+    """A golden table without an id column: rows are compared by their place."""
+    expected = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    actual = inputs.predicted(spark, folder).select(F.col("id").cast("bigint").alias("doc_id"), "quality")
+    return compare.golden_report(expected, actual, None, order="doc_id").drop("record_f1")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN u.n IS NULL THEN o_orderstatus ELSE 's' || u.n END AS o_orderstatus FROM orders
+LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey) u ON l_orderkey = o_orderkey"""
+)
+def repeated_updates(spark, folder):
+    """Several updates of a key in one batch: the last by `order` counts."""
+    updates = table(spark, folder, "lineitem").filter("l_linenumber < 4").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("o_orderstatus"), "l_linenumber"
+    )
+    return relational.apply_changes(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", updates=updates, order="l_linenumber")
+
+
+@query(
+    """SELECT o_orderkey AS review_id, coalesce(u.n % 2 = 0, false) AS resolved, 'r' || u.n AS resolved_by, 'day ' || u.n AS resolved_at FROM orders
+LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem WHERE l_linenumber < 4 GROUP BY l_orderkey) u ON l_orderkey = o_orderkey"""
+)
+def review_resolve(spark, folder):
+    """Review items resolved several times: the last resolution counts and no item is doubled."""
+    n = F.col("l_linenumber").cast("string")
+    done = table(spark, folder, "lineitem").filter("l_linenumber < 4").select(
+        F.col("l_orderkey").alias("review_id"), (F.col("l_linenumber") % 2 == 0).alias("resolved"), F.concat(F.lit("r"), n).alias("resolved_by"),
+        F.concat(F.lit("day "), n).alias("resolved_at"), "l_linenumber",
+    )
+    none = F.lit(None).cast("string")
+    items = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("review_id"), F.lit(False).alias("resolved"), none.alias("resolved_by"), none.alias("resolved_at")
+    )
+    return review.resolve_review(items, done, order="l_linenumber")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doctables.functions import fixed
 from doctables.functions.text import first_filled, strip
+from doctables.plans.scan import number_rows
 from doctables.plans.skew import first_per_key, spread_nulls
 
 
@@ -297,22 +298,34 @@ def golden_key(columns: Sequence[str]) -> str | None:
     return next((k for k in fixed.GOLDEN_ID_FIELDS if k in columns), None)
 
 
-def _golden_join(golden: DataFrame, actual: DataFrame, key: str, order: str | None) -> DataFrame:
-    left = _keyed(golden, folded(F.col(key)), order if order in golden.columns else None, golden.columns)
-    right = _keyed(actual, folded(F.col(key)), order if order in actual.columns else None, actual.columns)
+def _golden_join(golden: DataFrame, actual: DataFrame, key: str | None, order: str | None) -> DataFrame:
+    if key is None:
+        if order is None:
+            raise ValueError("without a key, name the integer column that orders the rows")
+        left, right = _placed(golden, order), _placed(actual, order)
+    else:
+        left = _keyed(golden, folded(F.col(key)), order if order in golden.columns else None, golden.columns)
+        right = _keyed(actual, folded(F.col(key)), order if order in actual.columns else None, actual.columns)
     return left.select("_key", F.col("_row").alias("g")).join(
         right.select("_key", F.col("_row").alias("a")), "_key", "full_outer"
     )
 
 
+def _placed(df: DataFrame, order: str) -> DataFrame:
+    """Rows by their place in the order, from 0; numbered block by block."""
+    row = F.struct(*df.columns).alias("_row")
+    return number_rows(df, order, "_place", start=-1).select(F.col("_place").cast("string").alias("_key"), row)
+
+
 def _common(golden: DataFrame, actual: DataFrame, order: str | None) -> list[str]:
     return [c for c in comparable(golden.columns) if c in actual.columns and c != order]
 
 
-def golden_report(golden: DataFrame, actual: DataFrame, key: str, order: str | None = None) -> DataFrame:
+def golden_report(golden: DataFrame, actual: DataFrame, key: str | None, order: str | None = None) -> DataFrame:
     """Recall, precision, F1 and field accuracy of an extraction against a golden table.
 
-    Records match by key, the last row of a key counts; totals count all rows.
+    Records match by key, the last row of a key counts; without a key the first row
+    matches the first, and so on by the integer column `order`. Totals count all rows.
     """
     common = _common(golden, actual, order)
     joined = _golden_join(golden, actual, key, order)
@@ -360,7 +373,7 @@ def golden_report(golden: DataFrame, actual: DataFrame, key: str, order: str | N
 
 
 def golden_mismatches(
-    golden: DataFrame, actual: DataFrame, key: str, order: str | None = None
+    golden: DataFrame, actual: DataFrame, key: str | None, order: str | None = None
 ) -> DataFrame:
     """One row per field that differs on a matched record."""
     found = [
@@ -385,7 +398,7 @@ def golden_mismatches(
 
 
 def golden_samples(
-    golden: DataFrame, actual: DataFrame, key: str, order: str | None = None, count: int = 10
+    golden: DataFrame, actual: DataFrame, key: str | None, order: str | None = None, count: int = 10
 ) -> DataFrame:
     """First missing and extra keys in key order (a report of at most `count` each)."""
     joined = _golden_join(golden, actual, key, order)

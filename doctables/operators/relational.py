@@ -11,7 +11,7 @@ from doctables.functions import canon, fixed
 from doctables.functions.lists import clean_list, split_items
 from doctables.functions.text import first_filled, is_blank, nullify, strip
 from doctables.plans.scan import row_block, running
-from doctables.plans.skew import MAX_ITEMS, first_per_key, with_parts
+from doctables.plans.skew import MAX_ITEMS, first_per_key, last_per_key, with_parts
 
 
 def deduplicate(df: DataFrame, order: str, keys: Sequence[str] | None = None) -> DataFrame:
@@ -383,17 +383,13 @@ def apply_changes(
     """Rows after a batch of changes: delete, patch, insert.
 
     With an `order` column in `updates`, the last update of a key counts; without it
-    a key may have one update only. NULL leaves a value, unless `clear` lets it empty
+    the greatest by its values, so that no row is doubled. NULL leaves a value, unless `clear` lets it empty
     the cell.
     """
     out = df if deletes is None else df.join(deletes.select(key).distinct(), key, "left_anti")
     if updates is not None:
         patched = [c for c in updates.columns if c not in (key, order)]
-        packed = F.struct(*patched).alias("_new")
-        if order is None:
-            patch = updates.select(key, packed)
-        else:
-            patch = updates.groupBy(key).agg(F.max_by(packed, order).alias("_new"))
+        patch = last_per_key(updates, key, order).select(key, F.struct(*patched).alias("_new"))
         given = lambda c: F.col("_new").isNotNull() if clear else F.col(f"_new.{c}").isNotNull()
         out = (
             out.join(patch, key, "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.text import audit_line
-from doctables.plans.skew import first_per_key
+from doctables.plans.skew import first_per_key, last_per_key
 
 # What an audit action makes of a record.
 ACTION_STATUS = {
@@ -143,14 +143,15 @@ def edit_audits(
 
 
 def resolve_issues(
-    issues: DataFrame, resolutions: DataFrame, records: DataFrame, key: str = "record_id"
+    issues: DataFrame, resolutions: DataFrame, records: DataFrame, key: str = "record_id", order: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(issues, records, audits) after resolutions, with corrected values applied.
 
     `issues`: issue_id, record_id, column_name, rule_name, is_resolved. `resolutions`:
-    issue_id, is_resolved, resolved_by, comment, corrected_value, one row per issue.
+    issue_id, is_resolved, resolved_by, comment, corrected_value; of several for one
+    issue the last by `order` counts (`last_per_key`).
     """
-    done = resolutions.withColumnRenamed("is_resolved", "_resolved")
+    done = last_per_key(resolutions, "issue_id", order).withColumnRenamed("is_resolved", "_resolved")
     joined = issues.join(done, "issue_id", "left")
     updated = joined.withColumn("is_resolved", F.coalesce("_resolved", "is_resolved")).drop("_resolved")
     fixes = joined.filter(F.col("corrected_value").isNotNull() & F.col("column_name").isNotNull())
@@ -188,13 +189,15 @@ def resolve_issues(
     return updated, patched, audits
 
 
-def resolve_conflicts(conflicts: DataFrame, resolutions: DataFrame, key: str = "conflict_id") -> DataFrame:
+def resolve_conflicts(
+    conflicts: DataFrame, resolutions: DataFrame, key: str = "conflict_id", order: str | None = None
+) -> DataFrame:
     """Conflicts with their resolution and the value it chooses.
 
     `resolutions`: key, resolution (accepted_a, accepted_b, manual, rejected),
-    manual_value, resolved_by.
+    manual_value, resolved_by; of several for one conflict the last by `order` counts.
     """
-    done = resolutions.withColumnRenamed("resolution", "_resolution")
+    done = last_per_key(resolutions, key, order).withColumnRenamed("resolution", "_resolution")
     chosen = (
         F.when(F.col("_resolution") == "accepted_a", F.col("value_a"))
         .when(F.col("_resolution") == "accepted_b", F.col("value_b"))
@@ -209,9 +212,14 @@ def resolve_conflicts(conflicts: DataFrame, resolutions: DataFrame, key: str = "
     )
 
 
-def resolve_review(items: DataFrame, resolutions: DataFrame, key: str = "review_id") -> DataFrame:
-    """Review items with resolved, resolved_by and resolved_at taken from resolutions."""
-    done = resolutions.select(
+def resolve_review(
+    items: DataFrame, resolutions: DataFrame, key: str = "review_id", order: str | None = None
+) -> DataFrame:
+    """Review items with resolved, resolved_by and resolved_at taken from resolutions.
+
+    Of several for one item the last by `order` counts.
+    """
+    done = last_per_key(resolutions, key, order).select(
         key,
         F.col("resolved").alias("_resolved"),
         F.col("resolved_by").alias("_by"),

@@ -62,3 +62,13 @@ def top_per_key(
     """First `k` rows of every key by `order`, pruned before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= k).drop("_n")
+
+
+def last_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row per key: the last by `order`, which is dropped; without it the greatest by its values.
+
+    An aggregation with partial results, so a key with very many rows is no burden.
+    """
+    packed = F.struct(*[c for c in df.columns if c not in (key, order)])
+    chosen = F.max(packed) if order is None else F.max_by(packed, order)
+    return df.groupBy(key).agg(chosen.alias("_row")).select(key, "_row.*")
