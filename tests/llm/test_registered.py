@@ -1,5 +1,6 @@
 """Registered queries over the whole small tables, against libraries or brute force."""
 
+import hashlib
 import itertools
 import zlib
 
@@ -126,3 +127,22 @@ def test_op5_and_op10(spark):
 
 def test_pipeline_is_registered(spark, docs):
     assert {r.doc_id for r in QUERIES["pipeline"](spark, FOLDER).select("doc_id").collect()} <= {d for d, _, _ in docs}
+
+
+def test_op13(spark, docs):
+    raw = {d: (t or "").encode() for d, t, _ in docs}
+    seen = {}
+    for b in raw.values():
+        for i in range(len(b) - 399):
+            seen[b[i : i + 400]] = seen.get(b[i : i + 400], 0) + 1
+    want = {}
+    for d, b in raw.items():
+        gone = np.zeros(len(b) + 1, dtype=bool)
+        for i in range(len(b) - 399):
+            if seen[b[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(b, dtype=np.uint8)[~gone[:-1]].tobytes()
+        runs = int((gone[:-1] & ~np.concatenate(([False], gone[:-1]))[:-1]).sum())
+        want[d] = (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+    assert any(w[1] for w in want.values())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op13_suffix_dedup")} == want
