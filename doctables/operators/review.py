@@ -74,6 +74,7 @@ def apply_decisions(
 
 def mark_reviewed(records: DataFrame, which: Column, note: Column, moment: Column | None = None) -> DataFrame:
     """Append the review to the audit trail of the chosen records."""
+    # The texts of the review note.
     text = F.concat(F.lit("Reviewed by human operator: "), F.coalesce(note, F.lit("Accepted")))
     line = audit_line(F.current_timestamp() if moment is None else moment, text)
     return records.withColumn(

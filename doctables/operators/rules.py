@@ -123,6 +123,9 @@ def issue(
     )
 
 
+# The texts of the issues in the functions below.
+
+
 def _required(rule: Rule, value: Column) -> Column:
     text = f"Missing required value for '{rule.field}'"
     return F.when(is_blank(value), issue(rule, value, F.lit(text)))

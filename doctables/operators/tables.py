@@ -355,6 +355,7 @@ def delimited_lines(lines: DataFrame, page: Sequence[str] = ("doc_id", "page"))
 def is_noise(cells: Column) -> Column:
     """Blank rows, page numbers, source and note lines."""
     text = strip(F.lower(F.array_join(cells, " ")))
+    # The patterns of page numbers and of source, note and continuation lines.
     return (
         (text == "")
         | text.rlike(r"(?U)^(page\s+\d+(\s+of\s+\d+)?|\d+\s*/\s*\d+)$")

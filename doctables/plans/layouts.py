@@ -255,6 +255,7 @@ def issues_of(cells: DataFrame, rule_rows: DataFrame) -> DataFrame:
     outside = F.coalesce(number < F.col("rule_low"), F.lit(False)) | F.coalesce(number > F.col("rule_high"), F.lit(False))
     some = value.isNotNull()
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    # The texts of the issues, as in `operators.rules`.
     message = (
         F.when((kind == "required") & is_blank(value), say("Missing required value for '", F.col("field"), "'"))
         .when((kind == "regex") & some & ~F.regexp_like(text, pattern), say("Value '", text, "' does not match expected format"))
