@@ -472,3 +472,12 @@ def review_resolve(spark, folder):
         F.col("o_orderkey").alias("review_id"), F.lit(False).alias("resolved"), none.alias("resolved_by"), none.alias("resolved_at")
     )
     return review.resolve_review(items, done, order="l_linenumber")
+
+
+@query(with_inputs("SELECT 'job' || row_index % 3 AS job_id, row_index, field_name, value_a, value_b FROM model_conflicts", "model_conflicts"))
+def job_conflicts(spark, folder):
+    """Conflicts of several jobs reconciled at once, each with its job."""
+    job = F.concat(F.lit("job"), (F.col("row_index") % 3).cast("string"))
+    a, b = inputs.model_a(spark, folder).withColumn("job", job), inputs.model_b(spark, folder)
+    matched = compare.match_extractions(a, b, compare.identifier(a.columns), compare.identifier(b.columns), "row_index")
+    return compare.conflicts(matched, "a", "b", _SKIP, job="job").select("job_id", "row_index", "field_name", "value_a", "value_b")

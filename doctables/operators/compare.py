@@ -175,9 +175,15 @@ def _pairs(matched: DataFrame, skip: Sequence[str] = ()) -> dict[str, tuple[Colu
 
 
 def conflicts(
-    matched: DataFrame, model_a: str, model_b: str, skip: Sequence[str] = ()
+    matched: DataFrame, model_a: str, model_b: str, skip: Sequence[str] = (), job: str | None = None
 ) -> DataFrame:
-    """One row per field on which the two extractions differ."""
+    """One row per field on which the two extractions differ.
+
+    `job` names the column of the first extraction that holds its job; conflicts then
+    carry it as `job_id`, so that those of one job can be taken by a filter. It is
+    not compared.
+    """
+    skip = [*skip, job] if job else skip
     page = F.lit(1)
     names = matched.schema["a"].dataType.names
     if "source_page" in names:
@@ -197,6 +203,7 @@ def conflicts(
         matched.filter(F.col("b").isNotNull())
         .select(
             "row_index",
+            *([F.col("a")[job].alias("job_id")] if job else []),
             page.alias("source_page"),
             F.inline(F.filter(F.array(*found), lambda c: c.isNotNull())),
         )
