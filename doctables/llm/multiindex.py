@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctables.llm.vectors import sampled, unit, usable
+from doctables.llm.vectors import by_length, sampled, unit, usable
 from doctables.llm.work import components, saved
 
 COSINE = 0.9
@@ -165,9 +165,8 @@ def near_vectors(
 
     Vectors whose cosine is at least `cosine` are linked; n_links counts the other
     vectors linked directly, component_id is the smallest id reachable by links, kept
-    marks it. NULL, zero, empty or non-finite vectors and vectors of another than the
-    usual length link with nothing: no links, their own component, kept. A row
-    without id has no links, no component and is not kept. Rows of one id are one
+    marks it. NULL, zero, empty or non-finite vectors link with nothing: no links, their
+    own component, kept. Vectors link within their length only. A row without id has no links, no component and is not kept. Rows of one id are one
     vector. An empty table gives an empty result.
 
     Equal vectors are one class. Two codebooks, one per half, are fitted on a sample
@@ -178,26 +177,11 @@ def near_vectors(
     links per vector, never all pairs. Cells of any size are cut into blocks. What the
     search can miss are links whose cells both vectors leave out; none found is wrong.
     """
-    spark = vectors.sparkSession
     whole = usable(vectors, id_col, vector_col)
-    classes = saved(whole.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    count = classes.count()
     everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
-    if count:
-        size = max(2, min(LARGEST_BOOK, math.ceil(math.sqrt(count / 16))))
-        probes = sampled(classes, sample, "rep", "v")
-        half = max(1, probes.shape[1] // 2)
-        second = probes[:, half:]  # empty if vectors have one number
-        grid = Grid(codebook(probes[:, :half], size), codebook(second, size) if second.shape[1] else np.zeros((1, 0)))
-        reach = needed_reach(classes, grid, probes, cosine, recall, count <= sample)
-        if reach is None:
-            grid, reach, block = Grid(grid.first[:1], grid.second[:1]), 0.0, max(block, WHOLE_BLOCK)
-        found = _linked(classes, grid, reach, cosine, block)
-    else:
-        found = spark.createDataFrame([], "rep long, links long, component long")
-    of = whole.join(classes, "v").select("id", "rep", "n").join(found, "rep", "left").select(
-        "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
-    )
+    of = vectors.sparkSession.createDataFrame([], "id long, links long, component long")
+    for equal in by_length(whole):
+        of = of.union(_of_one_length(equal, cosine, recall, block, sample))
     return (
         everyone.join(of, "id", "left")
         .select(
@@ -209,6 +193,24 @@ def near_vectors(
     )
 
 
+def _of_one_length(whole: DataFrame, cosine: float, recall: float, block: int, sample: int) -> DataFrame:
+    """(id, links, component) of all vectors of one length."""
+    classes = saved(whole.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    count = classes.count()
+    size = max(2, min(LARGEST_BOOK, math.ceil(math.sqrt(count / 16))))
+    probes = sampled(classes, sample, "rep", "v")
+    half = max(1, probes.shape[1] // 2)
+    second = probes[:, half:]  # empty if vectors have one number
+    grid = Grid(codebook(probes[:, :half], size), codebook(second, size) if second.shape[1] else np.zeros((1, 0)))
+    reach = needed_reach(classes, grid, probes, cosine, recall, count <= sample)
+    if reach is None:
+        grid, reach, block = Grid(grid.first[:1], grid.second[:1]), 0.0, max(block, WHOLE_BLOCK)
+    found = _linked(classes, grid, reach, cosine, block)
+    return whole.join(classes, "v").select("id", "rep", "n").join(found, "rep", "left").select(
+        "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
+    )
+
+
 def _linked(classes: DataFrame, grid: Grid, reach: float, cosine: float, block: int) -> DataFrame:
     """(rep, links, component) of classes (rep, n, v) that link with another class."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doctables.llm.vectors import sampled, unit, usable
+from doctables.llm.vectors import by_length, sampled, unit, usable
 from doctables.llm.work import saved
 
 SAMPLE = 4096  #: vectors that the pivots are chosen from, the bound of what the driver reads
-PIVOTS = 128
-POSTED = 12  #: nearest pivots whose inverted files list a vector
+PIVOTS = 128  #: least number of pivots; a large table has a quarter of the square root of its vectors
+RANKED = 64  #: nearest pivots whose order represents a vector
+POSTED = 12  #: least number of nearest pivots whose inverted files list a vector
+PROBES = 128  #: queries whose true neighbours tell how many files and candidates are needed
+RECALL = 0.96  #: share of the true neighbours of the probes that must be among the candidates
+REACHED = 0.99  #: share of them that must stand in a file the probe looks into
+LEVELS = 256  #: steps of footrule distance
 SLACK = 1e-9  #: more than a cosine from a matrix product can be off
 BLOCK = 2048  #: vectors of a block of an inverted file
 QUERY_BLOCK = 256
@@ -22,7 +28,7 @@ QUERY_BLOCK = 256
 
 def permutations(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Each vector's order of pivots, nearest first."""
-    return np.argsort(-(units @ pivots.T), axis=1, kind="stable").astype(np.int32)
+    return np.argsort(-(units @ pivots.T), axis=1, kind="stable").astype(np.uint16)
 
 
 def spread_out(units: np.ndarray, size: int) -> np.ndarray:
@@ -40,110 +46,247 @@ def spread_out(units: np.ndarray, size: int) -> np.ndarray:
     return units[chosen]
 
 
-def _search(pivot: int, pivots: int, k: int, files: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The k best of one block of a pivot's file for each query that looks into it; all are scored.
+def _orders(packed: pd.Series) -> np.ndarray:
+    """Orders as stored: one row of pivots per vector."""
+    return np.frombuffer(b"".join(packed), dtype="<u2").reshape(len(packed), -1)
 
-    A pair is taken up only under the first pivot, in the query's order, that both
-    have among their nearest, so it is ranked once.
+
+class Orders:
+    """The orders of many vectors, ready for the footrule distance of one query to each."""
+
+    def __init__(self, orders: np.ndarray, pivots: int, posted: int):
+        count, self.ranked = orders.shape
+        self.pivots, self.posted = pivots, posted
+        # ranked for the nearest pivot, down to 1, and 0 for a pivot that is not in the order
+        self.weights = np.zeros((count, pivots), dtype=np.int16)
+        falling = np.arange(self.ranked, 0, -1, dtype=np.int16)
+        np.put_along_axis(self.weights, orders.astype(np.int64), np.broadcast_to(falling, orders.shape), axis=1)
+
+    def sharing(self, order: np.ndarray) -> np.ndarray:
+        """Place, in the query's order, of the first posted pivot that each vector is posted under too; `posted` for none."""
+        listed = self.weights[:, order[: self.posted]] > self.ranked - self.posted
+        return np.where(listed.any(axis=1), listed.argmax(axis=1), self.posted)
+
+    def footrule(self, order: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sum over pivots of how far apart they stand in both orders; a pivot outside an order stands behind its last.
+
+        With weights w = ranked - place, |w - w'| summed is both sums of weights less twice the smaller weights.
+        """
+        falling = np.arange(self.ranked, 0, -1, dtype=np.int16)
+        common = np.minimum(self.weights[np.ix_(rows, order)], falling).sum(axis=1, dtype=np.int64)
+        return self.ranked * (self.ranked + 1) - 2 * common
+
+    def levels(self, order: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (self.footrule(order, rows) * (LEVELS - 1) // (self.ranked * (self.ranked + 1))).astype(np.int32)
+
+
+def _true_neighbours(index: DataFrame, probes: list, k: int) -> list:
+    """(query, rep, order) of the k vectors of largest cosine for each probe, by comparing the probes with all."""
+    ids = np.array([p.rep for p in probes], dtype=np.int64)
+    units = unit(np.array([p.v for p in probes], dtype=np.float64))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                reps = part["rep"].to_numpy(np.int64)
+                scores = units @ unit(np.array(part["v"].tolist(), dtype=np.float64)).T
+                scores[ids[:, None] == reps[None, :]] = -np.inf
+                keep = min(k, len(reps))
+                top = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                cols = top.ravel()
+                yield pd.DataFrame(
+                    {"query": np.repeat(ids, keep), "rep": reps[cols], "ord": part["ord"].to_numpy()[cols], "score": np.take_along_axis(scores, top, 1).ravel()}
+                )
+
+    found = index.mapInPandas(best, "query long, rep long, ord binary, score double").filter(F.col("score") > F.lit(float("-inf")))
+    nearest_first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    return found.withColumn("at", F.row_number().over(nearest_first)).filter(F.col("at") <= k).select("query", "rep", "ord").collect()
+
+
+def _needed(index: DataFrame, asked: DataFrame, pivots: int, ranked: int, k: int) -> tuple[int, int]:
+    """How many files must list a vector and how many candidates must be scored, as a bounded sample of queries shows.
+
+    The true neighbours of at most PROBES queries come from comparing these with all
+    vectors in blocks. The files are as many as let REACHED of the neighbours meet their
+    query; the candidates are as many as stand, by footrule, up to RECALL of them.
     """
-    units, ids = unit(np.array(files["v"].tolist())), files["rep"].to_numpy(np.int64)
-    wanted = unit(np.array(queries["of_v"].tolist()))
-    near = np.zeros((len(ids), pivots), dtype=np.float32)
-    np.put_along_axis(near, np.array(files["files"].tolist(), dtype=np.int64), 1.0, axis=1)
-    earlier = np.zeros((len(wanted), pivots), dtype=np.float32)
-    for at, order in enumerate(queries["of_files"].tolist()):
-        order = np.asarray(order)
-        earlier[at, order[: int(np.flatnonzero(order == pivot)[0])]] = 1.0
-    rough = wanted @ units.T
-    rough[earlier @ near.T > 0] = -np.inf
-    out = []
-    for query, v, row in zip(queries["query"].tolist(), wanted, rough):
-        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        rows = np.flatnonzero((row >= least - SLACK) & (row > -np.inf))
-        scores = np.einsum("ij,j->i", units[rows], v)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        out.append(pd.DataFrame({"query": query, "rep": ids[rows][best], "score": scores[best]}))
-    return pd.concat(out)
+    probes = asked.select("rep").distinct().orderBy(F.xxhash64(F.lit(6), "rep"), "rep").limit(PROBES).join(index, "rep").collect()
+    posted, least = min(POSTED, ranked), 4 * (k + 1)
+    true = _true_neighbours(index, probes, k) if probes else []
+    if not true:
+        return posted, least
+    orders = {p.rep: np.frombuffer(p.ord, dtype="<u2") for p in probes}
+    of = np.stack([orders[r.query] for r in true])
+    theirs = np.stack([np.frombuffer(r.ord, dtype="<u2") for r in true])
+    # files needed by a pair: the later of a common pivot's two places, for the common pivot where that is least
+    places = np.full((2, len(true), pivots), ranked)
+    for side, rows in enumerate((of, theirs)):
+        np.put_along_axis(places[side], rows.astype(np.int64), np.broadcast_to(np.arange(ranked), rows.shape), axis=1)
+    meet = np.sort(places.max(axis=0).min(axis=1) + 1)
+    posted = min(ranked, max(posted, int(meet[math.ceil(REACHED * len(meet)) - 1])))
+    wanted = {}
+    for r, own, other in zip(true, of, theirs):
+        pair = Orders(other[None, :], pivots, posted)
+        if pair.sharing(own)[0] < posted:
+            wanted.setdefault(r.query, []).append(int(pair.levels(own, np.array([0]))[0]))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = {query: np.zeros(LEVELS, dtype=np.int64) for query in wanted}
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                block = Orders(_orders(batch["ord"].iloc[at : at + 4096]), pivots, posted)
+                for query, seen in out.items():
+                    rows = np.flatnonzero(block.sharing(orders[query]) < posted)
+                    seen += np.bincount(block.levels(orders[query], rows), minlength=LEVELS)
+        for query, seen in out.items():
+            at = np.flatnonzero(seen)
+            yield pd.DataFrame({"query": query, "level": at, "n": seen[at]})
+
+    counted = index.select("ord").mapInPandas(count, "query long, level int, n long").groupBy("query", "level").agg(F.sum("n").alias("n"))
+    upto = {query: np.zeros(LEVELS, dtype=np.int64) for query in wanted}
+    for r in counted.collect():  # PROBES * LEVELS rows at most
+        upto[r.query][r.level] = r.n
+    standing = np.sort([int(upto[query][: level + 1].sum()) for query, levels in wanted.items() for level in levels])
+    last = min(len(standing), math.ceil(RECALL * len(true))) - 1
+    return posted, max(least, int(standing[last]) if len(standing) else least)
 
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    pivots: int = PIVOTS, posted: int = POSTED, block: int = BLOCK, sample: int = SAMPLE,
+    pivots: int = PIVOTS, block: int = BLOCK, sample: int = SAMPLE,
 ) -> DataFrame:
     """The k vectors of largest cosine found for every query: query_id, rank from 1, vec_id, score.
 
     queries is a frame of ids of vectors; a vector is no neighbour of itself. Scores
     are cosines in double precision; ties go to the smaller id. NULL, zero, empty or
-    non-finite vectors, vectors of another than the usual length and rows without id
-    take no part, as query or candidate; rows of one id are one vector. With fewer
-    candidates than k, all reached are returned.
-
-    Every vector is represented by the order in which it sees `pivots` vectors, chosen
-    far from one another in a sample of `sample`. It is listed in the files of its
-    `posted` nearest pivots, and a query looks into the files of its own nearest and is
-    scored by cosine with every vector listed there. What the search can miss are
-    neighbours with none of the `posted` pivots in common. Equal vectors are one entry; its k + 1 smallest ids stand for it.
-    Long files are cut into blocks by a hash, so every block holds a fair share.
+    non-finite vectors and rows without id take no part, as query or candidate;
+    candidates have the query's length; rows of one id are one vector. With fewer
+    candidates than k, all reached are returned; an empty table gives an empty result.
+    Columns beside id and vector are not read, so their names may clash.
+
+    Every vector is represented by the order in which it sees its RANKED nearest of
+    some pivots, chosen far from one another in a sample. Files, one per pivot, list
+    the vectors that have it among their first. A query looks into the files of its own
+    first pivots and ranks what they list by footrule distance of the orders; the best
+    are reranked by cosine. How many files and how many candidates are needed is read
+    off a bounded sample of queries (`_needed`), so both grow as the data ask for.
+    Candidates of equal distance are all scored. Missed are neighbours that share no
+    file with the query or stand behind its candidates. Equal vectors are one entry; its
+    k + 1 smallest ids stand for it. Files are cut into blocks by a hash, so every block
+    holds a fair share.
     """
     whole = usable(vectors, id_col, vector_col)
+    wanted = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
+    out = vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    for equal in by_length(whole):
+        out = out.union(_of_one_length(equal, wanted, k, id_col, pivots, block, sample))
+    return out
+
+
+def _of_one_length(whole: DataFrame, wanted: DataFrame, k: int, id_col: str, pivots: int, block: int, sample: int) -> DataFrame:
     classes = saved(whole.groupBy("v").agg(F.min("id").alias("rep")))
-    seen = sampled(classes, sample, "rep", "v")
-    names = f"query_id long, rank int, {id_col} long, score double"
-    if not len(seen):
-        return vectors.sparkSession.createDataFrame([], names)
-    seen = spread_out(seen, pivots)
-    posted = min(posted, len(seen))
-
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen = spread_out(sampled(classes, sample, "rep", "v"), max(pivots, math.ceil(math.sqrt(classes.count()) / 4)))
+    ranked = min(RANKED, len(seen))
+
+    def represent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in range(0, len(batch), 4096):
                 part = batch.iloc[first : first + 4096]
-                units = unit(np.array(part["v"].tolist(), dtype=np.float64))
-                yield part.assign(files=list(permutations(units, seen)[:, :posted]))
-
-    index = saved(classes.mapInPandas(post, "v array<double>, rep long, files array<int>"))
-    asked = (
-        whole.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-        .join(classes, "v")
-        .select(F.col("id").alias("query"), "rep")
+                orders = permutations(unit(np.array(part["v"].tolist(), dtype=np.float64)), seen)[:, :ranked]
+                yield part.assign(ord=[row.astype("<u2").tobytes() for row in orders])
+
+    index = saved(classes.mapInPandas(represent, "v array<double>, rep long, ord binary"))
+    asked = saved(
+        whole.join(wanted, "id", "left_semi").join(classes, "v").select(F.col("id").alias("query"), "rep")
     )
-    asked = saved(asked)
-    looking = asked.select("rep").distinct().join(index, "rep")
-    sizes = index.select(F.explode("files").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    askers = (
-        looking.select(F.explode("files").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
+    posted, candidates = _needed(index, asked, len(seen), ranked, k)
+    found = _search(index, asked, len(seen), posted, candidates, k + 1, block)
+    # the ids of a class, the smallest k + 1 of them
+    inside = Window.partitionBy("rep").orderBy("id")
+    ids = whole.join(classes, "v").select("rep", "id").withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= k + 1)
+    pairs = (
+        asked.select(F.col("query").alias("query_id"), F.col("rep").alias("query")).join(found, "query")
+        .join(ids.select("rep", F.col("id").alias(id_col)), "rep")
+        .filter(F.col("query_id") != F.col(id_col))
     )
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return pairs.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+
+
+def _search(index: DataFrame, asked: DataFrame, pivots: int, posted: int, candidates: int, keep: int, block: int) -> DataFrame:
+    """(query, rep, score) of the `keep` best classes found for each asked class.
+
+    Two passes over the files: the first counts, per query, what lies at each level of
+    footrule distance; the second scores what lies up to the level at which the counts
+    reach `candidates`. A pair counts under the first pivot, in the query's order, whose
+    file lists both, so it is ranked once.
+    """
+    def pivot_at(i):  # a place of the order holds two bytes, the low one first
+        return F.conv(F.hex(F.concat(F.substring("ord", 2 * i + 2, 1), F.substring("ord", 2 * i + 1, 1))), 16, 10).cast("int")
+
+    files = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), pivot_at)).alias("place", "pivot")
+    listed = index.select("rep", "v", "ord", files)
+    looking = asked.select("rep").distinct().join(index, "rep").select(
+        F.col("rep").alias("query"), F.col("v").alias("of_v"), F.col("ord").alias("of_ord"), files
+    )
+    sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    askers = looking.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
     cuts = saved(sizes.join(askers, "pivot"))
+    key = ("pivot", "b", "t")
     left = (
-        index.select("rep", "v", "files", F.explode("files").alias("pivot")).join(cuts, "pivot")
+        listed.drop("place").join(cuts, "pivot")
         .withColumn("b", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-        .select("pivot", "b", "t", "rep", "v", "files")
     )
     right = (
-        looking.select(F.col("rep").alias("query"), "v", "files", F.explode("files").alias("pivot")).join(cuts, "pivot")
+        looking.join(cuts, "pivot")
         .withColumn("t", F.pmod(F.xxhash64(F.lit(4), "query"), F.col("turns")).cast("int"))
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", "b", "t", "query", F.col("v").alias("of_v"), F.col("files").alias("of_files"))
     )
 
-    def search(key, files: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(files) or not len(queries):
-            return pd.DataFrame({"query": [], "rep": [], "score": []})
-        return _search(key[0], len(seen), k + 1, files, queries)
+    def ranked(entries: pd.DataFrame, queries: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each query's row number, the entries that are ranked for it here, and their levels."""
+        if len(entries) and len(queries):
+            block_of = Orders(_orders(entries["ord"]), pivots, posted)
+            for at, (order, place) in enumerate(zip(_orders(queries["of_ord"]), queries["place"].tolist())):
+                rows = np.flatnonzero(block_of.sharing(order) == place)
+                yield at, rows, block_of.levels(order, rows)
+
+    def count(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((3, 0), dtype=np.int64)]
+        ids = queries["query"].to_numpy(np.int64)
+        for at, _, levels in ranked(entries, queries):
+            level, n = np.unique(levels, return_counts=True)
+            out.append(np.stack((np.full(len(level), ids[at]), level, n)))
+        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query", "level", "n"])
+
+    def score(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "rep": [], "score": []})]
+        if len(entries) and len(queries):
+            units, ids = unit(np.array(entries["v"].tolist())), entries["rep"].to_numpy(np.int64)
+            wanted, query, cut = unit(np.array(queries["of_v"].tolist())), queries["query"].tolist(), queries["cut"].tolist()
+            for at, rows, levels in ranked(entries, queries):
+                rows = rows[levels <= cut[at]]
+                scores = np.einsum("ij,j->i", units[rows], wanted[at])
+                best = np.lexsort((ids[rows], -scores))[:keep]
+                out.append(pd.DataFrame({"query": query[at], "rep": ids[rows][best], "score": scores[best]}))
+        return pd.concat(out[1:] or out)
 
+    counts = saved(
+        left.select(*key, "ord").groupBy(*key).cogroup(right.select(*key, "query", "of_ord", "place").groupBy(*key))
+        .applyInPandas(count, "query long, level int, n long")
+        .groupBy("query", "level").agg(F.sum("n").alias("n"))
+    )
+    rising = Window.partitionBy("query").orderBy("level")
+    cut = (
+        counts.withColumn("before", F.sum("n").over(rising) - F.col("n")).filter(F.col("before") < candidates)
+        .groupBy("query").agg(F.max("level").alias("cut"))
+    )
     found = (
-        left.groupBy("pivot", "b", "t").cogroup(right.groupBy("pivot", "b", "t")).applyInPandas(search, "query long, rep long, score double")
+        left.select(*key, "rep", "v", "ord").groupBy(*key)
+        .cogroup(right.join(cut, "query").select(*key, "query", "of_v", "of_ord", "place", "cut").groupBy(*key))
+        .applyInPandas(score, "query long, rep long, score double")
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    found = saved(found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).select("query", "rep", "score"))
-    # the ids of a class, the smallest k + 1 of them
-    inside = Window.partitionBy("rep").orderBy("id")
-    ids = whole.join(classes, "v").select("rep", "id").withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= k + 1)
-    pairs = (
-        asked.select(F.col("query").alias("query_id"), F.col("rep").alias("query")).join(found, "query")
-        .join(ids.select("rep", F.col("id").alias(id_col)), "rep")
-        .filter(F.col("query_id") != F.col(id_col))
-    )
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return pairs.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+    return saved(found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= keep).select("query", "rep", "score"))

@@ -10,19 +10,26 @@ from doctables.llm.work import saved
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v array<double>) of vectors that take part: with an id, all components finite, not zero, of the usual length.
+    """(id, v array<double>) of vectors that take part: with an id, all components finite, not zero.
 
-    The usual length is the most frequent one, the smaller of equals. Rows of one id
-    are one vector; the smallest in array order stands for it.
+    Rows of one id are one vector; the smallest in array order stands for it.
     """
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(
         "id is not null and v is not null and size(v) > 0"
         " and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     )
-    one = saved(rows.groupBy("id").agg(F.min("v").alias("v")))
-    usual = one.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
-    return one.filter(F.size("v") == (usual.n if usual else 0))
+    return saved(rows.groupBy("id").agg(F.min("v").alias("v")))
+
+
+def by_length(whole: DataFrame) -> list[DataFrame]:
+    """The usable vectors of each length that at least two of them have, shortest first.
+
+    Cosines are defined within a length only, so each is searched for itself. Lengths
+    are as many as the models that made the vectors, not as the rows.
+    """
+    found = whole.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("n").collect()
+    return [whole.filter(F.size("v") == n) for n in sorted(r.n for r in found)]
 
 
 def sampled(classes: DataFrame, size: int, id_col: str, vector_col: str) -> np.ndarray:

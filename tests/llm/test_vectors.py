@@ -148,3 +148,50 @@ def test_rare_links_are_found(spark, hot, sample):
     assert links[:200].min() >= 1
     assert [got[i].n_links for i in range(len(x))] == links.tolist()
     assert all(got[4000 + i].component_id == i and not got[4000 + i].kept for i in range(200))
+
+
+def test_footrule_equals_the_sum_over_pivots():
+    rng = np.random.default_rng(5)
+    orders = np.stack([rng.permutation(9)[:6] for _ in range(30)]).astype(np.uint16)
+    index = permindex.Orders(orders, 9, 3)
+    for own in orders[:5]:
+        places = [{p: i for i, p in enumerate(o)} for o in orders.tolist()]
+        mine = {p: i for i, p in enumerate(own.tolist())}
+        plain = [sum(abs(mine.get(p, 6) - other.get(p, 6)) for p in range(9)) for other in places]
+        assert index.footrule(own, np.arange(30)).tolist() == plain
+        first = [next((i for i, p in enumerate(own[:3].tolist()) if p in o[:3]), 3) for o in orders.tolist()]
+        assert index.sharing(own).tolist() == first
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [1.0, i / 100]) for i in range(8)] + [(100 + i, [1.0, i / 100, 0.0]) for i in range(4)] + [(200, [1.0])]
+    got = {r.vec_id: tuple(r)[1:] for r in multiindex.near_vectors(frame(spark, rows)).collect()}
+    assert got == {
+        **{i: (7, 0, i == 0) for i in range(8)}, **{100 + i: (3, 100, i == 0) for i in range(4)}, 200: (0, 200, True)
+    }
+    vectors = frame(spark, rows)
+    found = permindex.nearest(vectors, vectors.filter("vec_id in (0, 100, 200)")).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(found)] == [(0, i, i) for i in range(1, 6)] + [(100, i, 100 + i) for i in range(1, 4)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "hot"])
+def test_few_vectors_are_scored(spark, kind, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(9000, 64))
+    if kind == "hot":
+        x[:3000] = rng.normal(size=64) + 0.35 * rng.normal(size=(3000, 64))
+    vectors = spark.createDataFrame(list(zip(range(9000), x.tolist())), "vec_id long, embedding array<double>")
+    used = []
+    plain = permindex._needed
+    monkeypatch.setattr(permindex, "_needed", lambda *args: used.append(plain(*args)) or used[-1])
+    found = {}
+    for r in permindex.nearest(vectors, vectors.filter("vec_id % 60 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for q in range(0, 9000, 60):
+        scores = units @ units[q]
+        scores[q] = -9
+        hits.append(len(found[q] & set(np.argsort(-scores)[:5].tolist())) / 5)
+    print(kind, used, np.mean(hits))
+    assert np.mean(hits) >= 0.9 and used[0][1] <= 900
