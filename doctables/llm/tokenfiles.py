@@ -6,11 +6,11 @@ A file is a sequence of zstandard frames, so any zstandard reader can unpack it:
 * one skippable frame with the document index: a row (doc_id int64, -2^63 for none,
   number of ids int64) per document, zstandard-packed;
 * one skippable frame with the seek table of the seekable zstandard format: packed
-  size, unpacked size and the low 32 bits of XXH64 per data frame, then the number of
-  frames, a flag byte and the magic number.
+  size, unpacked size and the low 32 bits of XXH64 per frame (the index is the last,
+  with unpacked size 0), then the number of frames, a flag byte and the magic number.
 
-A reader takes the footer from the end, then the seek table and the index, and
-unpacks only the frames that hold the documents asked for.
+A reader takes the footer, which is the last nine bytes, then the seek table and the
+index, and unpacks only the frames that hold the documents asked for.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from doctables.llm.work import saved
 
 FRAME_IDS = 1 << 16  #: ids of a frame
 FILE_IDS = 1 << 23  #: ids of a file, unless one document alone has more
+FILE_DOCS = 1 << 18  #: documents of a file, however short they are
 NO_ID = -(1 << 63)
 # Fixed values of the format.
 SKIPPABLE, INDEX, SEEK_END, CHECKED = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
@@ -72,11 +73,10 @@ class TokenFileWriter:
             self._frame()
         index = self.packer.compress(np.array(self.index, dtype="<i8").reshape(-1, 2).tobytes())
         self.out.write(struct.pack("<II", INDEX, len(index)) + index)
+        self.table.append((8 + len(index), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
         seek = b"".join(struct.pack("<III", *row) for row in self.table)
         seek += struct.pack("<IBI", len(self.table), CHECKED, SEEK_END)
         self.out.write(struct.pack("<II", SKIPPABLE, len(seek)) + seek)
-        # where the index begins: a last skippable frame of fixed size
-        self.out.write(struct.pack("<IIQ", INDEX, 8, 8 + len(index) + 8 + len(seek)))
 
 
 class TokenFileReader:
@@ -85,16 +85,16 @@ class TokenFileReader:
     def __init__(self, source):
         self.source, self.unpacker = source, zstandard.ZstdDecompressor()
         end = source.seek(0, 2)
-        tail = end - struct.unpack("<Q", self._at(end - 8, 8))[0] - 16
+        count, flags, magic = struct.unpack("<IBI", self._at(end - 9, 9))
+        if magic != SEEK_END or flags != CHECKED:
+            raise ValueError("no seek table")
+        self.table = np.frombuffer(self._at(end - 9 - 12 * count, 12 * count), dtype="<u4").reshape(count, 3).astype(np.int64)
+        tail = end - 9 - 12 * count - 8 - int(self.table[-1, 0])
         magic, size = struct.unpack("<II", self._at(tail, 8))
         if magic != INDEX:
             raise ValueError("no document index")
         self.index = np.frombuffer(self.unpacker.decompress(self._at(tail + 8, size)), dtype="<i8").reshape(-1, 2)
-        seek = self._at(tail + 8 + size + 8, end - 16 - (tail + 8 + size + 8))
-        count, flags, magic = struct.unpack("<IBI", seek[-9:])
-        if magic != SEEK_END or flags != CHECKED:
-            raise ValueError("no seek table")
-        self.table = np.frombuffer(seek[:-9], dtype="<u4").reshape(count, 3).astype(np.int64)
+        self.table = self.table[:-1]
         self.packed = np.concatenate(([0], np.cumsum(self.table[:, 0])))
         self.raw = np.concatenate(([0], np.cumsum(self.table[:, 1])))
         self.starts = np.concatenate(([0], np.cumsum(self.index[:, 1]))) * 4
@@ -187,7 +187,7 @@ def write_token_files(
 
         for batch in batches:
             for doc_id, ids in zip(batch["id"], encoded(batch["text"], model, end)):
-                if writer and count + len(ids) // 4 > FILE_IDS:
+                if writer and (count + len(ids) // 4 > FILE_IDS or len(writer.index) == FILE_DOCS):
                     finish()
                 if not writer:
                     name = f"{base}/ids-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.zst"

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -87,6 +88,28 @@ def test_one_document_is_read_alone_and_damage_is_seen():
         list(tokenfiles.TokenFileReader(io.BytesIO(bytes(broken))).parts(2))
 
 
+def test_seek_table_ends_the_file():
+    out = io.BytesIO()
+    writer = tokenfiles.TokenFileWriter(out)
+    sizes = [3, 0, tokenfiles.FRAME_IDS + 5, 1]
+    for i, n in enumerate(sizes):
+        writer.add(i, np.arange(n, dtype="<u4").tobytes())
+    writer.close()
+    raw = out.getvalue()
+    count, flags, magic = struct.unpack("<IBI", raw[-9:])
+    assert (count, flags, magic) == (3, 0x80, 0x8F92EAB1)  # two frames of ids and the index
+    table = [struct.unpack_from("<III", raw, len(raw) - 9 - 12 * (count - k)) for k in range(count)]
+    start = sum(packed for packed, _, _ in table)
+    assert struct.unpack_from("<II", raw, start) == (0x184D2A5E, 12 * count + 9)
+    assert start + 8 + 12 * count + 9 == len(raw)
+    assert [unpacked for _, unpacked, _ in table] == [4 * tokenfiles.FRAME_IDS, 4 * (sum(sizes) - tokenfiles.FRAME_IDS), 0]
+    first = zstandard.ZstdDecompressor().decompress(raw[: table[0][0]])
+    assert xxhash.xxh64_intdigest(first) & 0xFFFFFFFF == table[0][2]
+    empty = io.BytesIO()
+    tokenfiles.TokenFileWriter(empty).close()
+    assert len(tokenfiles.TokenFileReader(io.BytesIO(empty.getvalue())).index) == 0
+
+
 def test_sentencepiece_equals_library(spark, texts):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
     coded = pieces.encode_documents(frame(spark, texts)).withColumn("back", pieces.decode(F.col("ids")))
