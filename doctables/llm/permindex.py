@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from doctables.llm.vectors import by_length, sampled, unit, usable
 from doctables.llm.work import saved
 
-SAMPLE = 4096  #: vectors that the pivots are chosen from, the bound of what the driver reads
+SAMPLE = 4096  #: vectors that the pivots are chosen from and that show how distances are spread, the bound of what the driver reads
 PIVOTS = 128  #: least number of pivots; a large table has a quarter of the square root of its vectors
-RANKED = 64  #: nearest pivots whose order represents a vector
+RANKED = 96  #: nearest pivots whose order represents a vector
 POSTED = 12  #: least number of nearest pivots whose inverted files list a vector
-PROBES = 128  #: queries whose true neighbours tell how many files and candidates are needed
-RECALL = 0.96  #: share of the true neighbours of the probes that must be among the candidates
-REACHED = 0.99  #: share of them that must stand in a file the probe looks into
+PROBES = 128  #: queries whose true neighbours tell how many files and how far a distance are needed
+RECALL = 0.98  #: share of the true neighbours of the probes that must be among the candidates
+REACHED = 0.995  #: share of them that must stand in a file the probe looks into
 LEVELS = 256  #: steps of footrule distance
 SLACK = 1e-9  #: more than a cosine from a matrix product can be off
 BLOCK = 2048  #: vectors of a block of an inverted file
@@ -104,18 +104,40 @@ def _true_neighbours(index: DataFrame, probes: list, k: int) -> list:
     return found.withColumn("at", F.row_number().over(nearest_first)).filter(F.col("at") <= k).select("query", "rep", "ord").collect()
 
 
-def _needed(index: DataFrame, asked: DataFrame, pivots: int, ranked: int, k: int) -> tuple[int, int]:
-    """How many files must list a vector and how many candidates must be scored, as a bounded sample of queries shows.
+class Spread:
+    """The orders of a bounded sample of the vectors: how far a query must look to pass `n` of them."""
+
+    def __init__(self, orders: np.ndarray, pivots: int, posted: int):
+        self.orders, self.posted = Orders(orders, pivots, posted), posted
+
+    def levels(self, order: np.ndarray) -> np.ndarray:
+        """Sorted levels of the sampled vectors that share a file with the query.
+
+        Those of the query's own order are left out: the query itself, and what no distance can tell from it.
+        """
+        rows = np.flatnonzero(self.orders.sharing(order) < self.posted)
+        rows = rows[self.orders.footrule(order, rows) > 0]
+        return np.sort(self.orders.levels(order, rows))
+
+    def cut(self, order: np.ndarray, n: int) -> int:
+        """Level of the n-th nearest sampled vector; the last level if there are fewer."""
+        levels = self.levels(order)
+        return int(levels[n - 1]) if n <= len(levels) else LEVELS - 1
+
+
+def _needed(index: DataFrame, asked: DataFrame, sample: np.ndarray, pivots: int, k: int) -> tuple[int, int]:
+    """How many files must list a vector, and how many sampled vectors a query must pass.
 
     The true neighbours of at most PROBES queries come from comparing these with all
     vectors in blocks. The files are as many as let REACHED of the neighbours meet their
-    query; the candidates are as many as stand, by footrule, up to RECALL of them.
+    query; the sampled vectors are as many as stand, by footrule, before RECALL of them.
     """
+    ranked = sample.shape[1]
     probes = asked.select("rep").distinct().orderBy(F.xxhash64(F.lit(6), "rep"), "rep").limit(PROBES).join(index, "rep").collect()
-    posted, least = min(POSTED, ranked), 4 * (k + 1)
+    posted = min(POSTED, ranked)
     true = _true_neighbours(index, probes, k) if probes else []
     if not true:
-        return posted, least
+        return posted, 1
     orders = {p.rep: np.frombuffer(p.ord, dtype="<u2") for p in probes}
     of = np.stack([orders[r.query] for r in true])
     theirs = np.stack([np.frombuffer(r.ord, dtype="<u2") for r in true])
@@ -125,31 +147,15 @@ def _needed(index: DataFrame, asked: DataFrame, pivots: int, ranked: int, k: int
         np.put_along_axis(places[side], rows.astype(np.int64), np.broadcast_to(np.arange(ranked), rows.shape), axis=1)
     meet = np.sort(places.max(axis=0).min(axis=1) + 1)
     posted = min(ranked, max(posted, int(meet[math.ceil(REACHED * len(meet)) - 1])))
-    wanted = {}
+    spread = Spread(sample, pivots, posted)
+    passed = {query: spread.levels(order) for query, order in orders.items()}
+    standing = []
     for r, own, other in zip(true, of, theirs):
         pair = Orders(other[None, :], pivots, posted)
         if pair.sharing(own)[0] < posted:
-            wanted.setdefault(r.query, []).append(int(pair.levels(own, np.array([0]))[0]))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = {query: np.zeros(LEVELS, dtype=np.int64) for query in wanted}
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                block = Orders(_orders(batch["ord"].iloc[at : at + 4096]), pivots, posted)
-                for query, seen in out.items():
-                    rows = np.flatnonzero(block.sharing(orders[query]) < posted)
-                    seen += np.bincount(block.levels(orders[query], rows), minlength=LEVELS)
-        for query, seen in out.items():
-            at = np.flatnonzero(seen)
-            yield pd.DataFrame({"query": query, "level": at, "n": seen[at]})
-
-    counted = index.select("ord").mapInPandas(count, "query long, level int, n long").groupBy("query", "level").agg(F.sum("n").alias("n"))
-    upto = {query: np.zeros(LEVELS, dtype=np.int64) for query in wanted}
-    for r in counted.collect():  # PROBES * LEVELS rows at most
-        upto[r.query][r.level] = r.n
-    standing = np.sort([int(upto[query][: level + 1].sum()) for query, levels in wanted.items() for level in levels])
-    last = min(len(standing), math.ceil(RECALL * len(true))) - 1
-    return posted, max(least, int(standing[last]) if len(standing) else least)
+            standing.append(int(np.searchsorted(passed[r.query], pair.levels(own, np.array([0]))[0], "left")) + 1)
+    standing.sort()
+    return posted, standing[min(len(standing), math.ceil(RECALL * len(true))) - 1] if standing else 1
 
 
 def nearest(
@@ -168,11 +174,12 @@ def nearest(
     Every vector is represented by the order in which it sees its RANKED nearest of
     some pivots, chosen far from one another in a sample. Files, one per pivot, list
     the vectors that have it among their first. A query looks into the files of its own
-    first pivots and ranks what they list by footrule distance of the orders; the best
-    are reranked by cosine. How many files and how many candidates are needed is read
-    off a bounded sample of queries (`_needed`), so both grow as the data ask for.
-    Candidates of equal distance are all scored. Missed are neighbours that share no
-    file with the query or stand behind its candidates. Equal vectors are one entry; its
+    first pivots and ranks what they list by footrule distance of the orders; all up to
+    the query's distance are reranked by cosine. That distance is the one at which the
+    query passes a number of sampled vectors. This number, and how many files are needed,
+    are read off a bounded set of queries (`_needed`), so the candidates are a share of
+    the vectors that the data ask for. Missed are neighbours that share no
+    file with the query or stand beyond its distance. Equal vectors are one entry; its
     k + 1 smallest ids stand for it. Files are cut into blocks by a hash, so every block
     holds a fair share.
     """
@@ -186,8 +193,10 @@ def nearest(
 
 def _of_one_length(whole: DataFrame, wanted: DataFrame, k: int, id_col: str, pivots: int, block: int, sample: int) -> DataFrame:
     classes = saved(whole.groupBy("v").agg(F.min("id").alias("rep")))
-    seen = spread_out(sampled(classes, sample, "rep", "v"), max(pivots, math.ceil(math.sqrt(classes.count()) / 4)))
+    units = sampled(classes, sample, "rep", "v")
+    seen = spread_out(units, max(pivots, math.ceil(math.sqrt(classes.count()) / 4)))
     ranked = min(RANKED, len(seen))
+    orders = permutations(units, seen)[:, :ranked]
 
     def represent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,8 +209,8 @@ def _of_one_length(whole: DataFrame, wanted: DataFrame, k: int, id_col: str, piv
     asked = saved(
         whole.join(wanted, "id", "left_semi").join(classes, "v").select(F.col("id").alias("query"), "rep")
     )
-    posted, candidates = _needed(index, asked, len(seen), ranked, k)
-    found = _search(index, asked, len(seen), posted, candidates, k + 1, block)
+    posted, passing = _needed(index, asked, orders, len(seen), k)
+    found = _search(index, asked, orders, len(seen), posted, passing, k + 1, block)
     # the ids of a class, the smallest k + 1 of them
     inside = Window.partitionBy("rep").orderBy("id")
     ids = whole.join(classes, "v").select("rep", "id").withColumn("n", F.row_number().over(inside)).filter(F.col("n") <= k + 1)
@@ -214,22 +223,35 @@ def _of_one_length(whole: DataFrame, wanted: DataFrame, k: int, id_col: str, piv
     return pairs.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
-def _search(index: DataFrame, asked: DataFrame, pivots: int, posted: int, candidates: int, keep: int, block: int) -> DataFrame:
+def _search(
+    index: DataFrame, asked: DataFrame, sample: np.ndarray, pivots: int, posted: int, passing: int, keep: int, block: int
+) -> DataFrame:
     """(query, rep, score) of the `keep` best classes found for each asked class.
 
-    Two passes over the files: the first counts, per query, what lies at each level of
-    footrule distance; the second scores what lies up to the level at which the counts
-    reach `candidates`. A pair counts under the first pivot, in the query's order, whose
-    file lists both, so it is ranked once.
+    Every query has a cut, the level of footrule distance at which it passes `passing` sampled
+    vectors. A pair is ranked once, under the first pivot, in the query's order, whose
+    file lists both, and scored if its level is within the cut.
     """
-    def pivot_at(i):  # a place of the order holds two bytes, the low one first
-        return F.conv(F.hex(F.concat(F.substring("ord", 2 * i + 2, 1), F.substring("ord", 2 * i + 1, 1))), 16, 10).cast("int")
+    spread = Spread(sample, pivots, posted)
+
+    def cuts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(cut=[spread.cut(order, passing) for order in _orders(batch["of_ord"])] if len(batch) else [])
 
-    files = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), pivot_at)).alias("place", "pivot")
-    listed = index.select("rep", "v", "ord", files)
-    looking = asked.select("rep").distinct().join(index, "rep").select(
-        F.col("rep").alias("query"), F.col("v").alias("of_v"), F.col("ord").alias("of_ord"), files
+    asking = (
+        asked.select("rep").distinct().join(index, "rep")
+        .select(F.col("rep").alias("query"), F.col("v").alias("of_v"), F.col("ord").alias("of_ord"))
+        .mapInPandas(cuts_of, "query long, of_v array<double>, of_ord binary, cut int")
     )
+
+    def files(order: str):
+        def pivot_at(i):  # a place of the order holds two bytes, the low one first
+            return F.conv(F.hex(F.concat(F.substring(order, 2 * i + 2, 1), F.substring(order, 2 * i + 1, 1))), 16, 10).cast("int")
+
+        return F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), pivot_at)).alias("place", "pivot")
+
+    listed = index.select("rep", "v", "ord", files("ord"))
+    looking = saved(asking).select("*", files("of_ord"))
     sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     askers = looking.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("turns"))
     cuts = saved(sizes.join(askers, "pivot"))
@@ -245,47 +267,23 @@ def _search(index: DataFrame, asked: DataFrame, pivots: int, posted: int, candid
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
 
-    def ranked(entries: pd.DataFrame, queries: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each query's row number, the entries that are ranked for it here, and their levels."""
-        if len(entries) and len(queries):
-            block_of = Orders(_orders(entries["ord"]), pivots, posted)
-            for at, (order, place) in enumerate(zip(_orders(queries["of_ord"]), queries["place"].tolist())):
-                rows = np.flatnonzero(block_of.sharing(order) == place)
-                yield at, rows, block_of.levels(order, rows)
-
-    def count(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((3, 0), dtype=np.int64)]
-        ids = queries["query"].to_numpy(np.int64)
-        for at, _, levels in ranked(entries, queries):
-            level, n = np.unique(levels, return_counts=True)
-            out.append(np.stack((np.full(len(level), ids[at]), level, n)))
-        return pd.DataFrame(np.concatenate(out, axis=1).T, columns=["query", "level", "n"])
-
     def score(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": [], "rep": [], "score": []})]
         if len(entries) and len(queries):
-            units, ids = unit(np.array(entries["v"].tolist())), entries["rep"].to_numpy(np.int64)
-            wanted, query, cut = unit(np.array(queries["of_v"].tolist())), queries["query"].tolist(), queries["cut"].tolist()
-            for at, rows, levels in ranked(entries, queries):
-                rows = rows[levels <= cut[at]]
-                scores = np.einsum("ij,j->i", units[rows], wanted[at])
+            orders, ids = Orders(_orders(entries["ord"]), pivots, posted), entries["rep"].to_numpy(np.int64)
+            units, wanted = unit(np.array(entries["v"].tolist())), unit(np.array(queries["of_v"].tolist()))
+            asked_by = zip(queries["query"].tolist(), wanted, _orders(queries["of_ord"]), queries["place"].tolist(), queries["cut"].tolist())
+            for query, v, order, place, cut in asked_by:
+                rows = np.flatnonzero(orders.sharing(order) == place)
+                rows = rows[orders.levels(order, rows) <= cut]
+                scores = np.einsum("ij,j->i", units[rows], v)
                 best = np.lexsort((ids[rows], -scores))[:keep]
-                out.append(pd.DataFrame({"query": query[at], "rep": ids[rows][best], "score": scores[best]}))
+                out.append(pd.DataFrame({"query": query, "rep": ids[rows][best], "score": scores[best]}))
         return pd.concat(out[1:] or out)
 
-    counts = saved(
-        left.select(*key, "ord").groupBy(*key).cogroup(right.select(*key, "query", "of_ord", "place").groupBy(*key))
-        .applyInPandas(count, "query long, level int, n long")
-        .groupBy("query", "level").agg(F.sum("n").alias("n"))
-    )
-    rising = Window.partitionBy("query").orderBy("level")
-    cut = (
-        counts.withColumn("before", F.sum("n").over(rising) - F.col("n")).filter(F.col("before") < candidates)
-        .groupBy("query").agg(F.max("level").alias("cut"))
-    )
     found = (
         left.select(*key, "rep", "v", "ord").groupBy(*key)
-        .cogroup(right.join(cut, "query").select(*key, "query", "of_v", "of_ord", "place", "cut").groupBy(*key))
+        .cogroup(right.select(*key, "query", "of_v", "of_ord", "place", "cut").groupBy(*key))
         .applyInPandas(score, "query long, rep long, score double")
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

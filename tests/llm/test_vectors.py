@@ -193,5 +193,6 @@ def test_few_vectors_are_scored(spark, kind, monkeypatch):
         scores = units @ units[q]
         scores[q] = -9
         hits.append(len(found[q] & set(np.argsort(-scores)[:5].tolist())) / 5)
-    print(kind, used, np.mean(hits))
-    assert np.mean(hits) >= 0.9 and used[0][1] <= 900
+    assert np.mean(hits) >= 0.9
+    # a query scores about as large a share of all vectors as it passes of the sample
+    assert used[0][1] <= 0.1 * permindex.SAMPLE
