@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doctables.llm.work import components, saved
+from doctables.llm.work import apart, components, saved
 
 SHINGLE = 7  #: characters of a shingle
 SIMILARITY = 0.8
@@ -282,20 +282,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents of which no line but blank ones is left, after at least one was taken
     out, are gone. Documents without text, with blank lines only or without id stay as
-    they are. Other columns stay.
+    they are. Other columns stay, whatever their names.
     """
+    of_doc, out, new = apart(docs, "doc", "gone", "text")
     groups = line_groups(docs, id_col, text_col, **options)
     gone = saved(
-        groups.filter("not kept").groupBy("doc").agg(F.collect_set(F.struct("at", "h1")).alias("_gone"))
+        groups.filter("not kept").groupBy("doc").agg(F.collect_set(F.struct("at", "h1")).alias(out))
     )
-    joined = docs.join(gone.withColumnRenamed("doc", "_doc"), docs[id_col] == F.col("_doc"), "left")
+    joined = docs.join(gone.withColumnRenamed("doc", of_doc), docs[id_col] == F.col(of_doc), "left")
     kept = F.filter(
         F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h1"), x.alias("x"))),
-        lambda s: ~F.array_contains("_gone", F.struct(s["at"].alias("at"), s["h1"].alias("h1"))),
+        lambda s: ~F.array_contains(out, F.struct(s["at"].alias("at"), s["h1"].alias("h1"))),
     )
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    text = F.when(F.col(out).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
     return (
-        joined.withColumn("_text", text)
-        .filter(F.col("_gone").isNull() | F.col("_text").rlike(VISIBLE))
-        .select(*[F.col("_text").alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+        joined.withColumn(new, text)
+        .filter(F.col(out).isNull() | F.col(new).rlike(VISIBLE))
+        .select(*[F.col(new).alias(text_col) if c == text_col else docs[c] for c in docs.columns])
     )

@@ -29,6 +29,14 @@ def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names, behind as many underscores as it takes for none of them to be a column of the frame."""
+    taken, start = {c.lower() for c in df.columns}, "_"
+    while any(f"{start}{n}".lower() in taken for n in names):
+        start += "_"
+    return [start + n for n in names]
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a saved frame that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -12,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+import corpus_pipeline as pipeline
 from doctables.llm import simhash
 
 FOLDER = "/root/testdata/sf0.001"
@@ -129,6 +130,26 @@ def test_pipeline_is_registered(spark, docs):
     assert {r.doc_id for r in QUERIES["pipeline"](spark, FOLDER).select("doc_id").collect()} <= {d for d, _, _ in docs}
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_id", "_passes", "_copy", "_doc", "_gone", "_text", "_TEXT2"]
+    shared = "a line that two of the documents have in common with each other"
+    texts = [shared + "\nsome other line of the first document here", shared + "\nwords that only the second one has, and more", "third text alone"]
+    rows = [(i, t, "s", "en", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate([*texts, texts[0]])]
+    rows += [(2, "another text of the third id", "s", "en", 1, *[f"{n}2" for n in names])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    chosen = set()
+    for parts in (1, 3):
+        for stage in (pipeline.dedup_lines, pipeline.dedup_documents, pipeline.mix):
+            got = stage(spark, docs.repartition(parts), FOLDER)
+            assert got.columns == docs.columns
+            found = got.collect()
+            assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+            if stage is pipeline.dedup_documents:
+                chosen.add(tuple(sorted((r.doc_id, r.text) for r in found)))
+    (once,) = chosen
+    assert [i for i, _ in once] == [0, 1, 2]
+
+
 def test_op13(spark, docs):
     raw = {d: (t or "").encode() for d, t, _ in docs}
     seen = {}
