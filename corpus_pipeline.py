@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doctables.llm import langid, linededup, mixing, pieces, simhash
-from doctables.llm.work import saved
+from doctables.llm.work import apart, saved
 from doctables.session import ship
 
 
@@ -35,21 +35,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash group; rows without id stay, repeated ids leave one row."""
+    """The document of smallest id of each SimHash group; rows without id stay.
+
+    Repeated ids leave one row, that of least hash of text and then of the other columns.
+    """
     ship(spark)
     groups = simhash.simhash_groups(docs)
     kept = saved(groups.filter("doc_id = component_id").select("doc_id").distinct())
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return chosen.union(docs.filter("doc_id is null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*columns))))
+    chosen = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), least).alias("row"))
+    return chosen.select("row.*").union(docs.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows of one id equally often, as the most taken of them."""
     ship(spark)
-    passes = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes").cast("int").alias("_passes"))
-    taken = saved(passes.filter("_passes > 0"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("_passes")))
+    of_doc, times, copy = apart(docs, "id", "passes", "copy")
+    passes = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias(of_doc)).agg(F.max("passes").cast("int").alias(times))
+    taken = saved(passes.filter(F.col(times) > 0))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col(of_doc))).withColumn(
+        copy, F.explode(F.sequence(F.lit(1), F.col(times)))
     ).select(docs.columns)
 
 
