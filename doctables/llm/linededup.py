@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -88,18 +89,30 @@ def _shingle_hashes(part: list[str], shingle: int) -> tuple[np.ndarray, np.ndarr
     return _mixed(hashes[real]), sizes - shingle + 1
 
 
+@lru_cache(maxsize=4)
+def _draws(bins: int) -> np.ndarray:
+    """Row b: the bins that an empty bin b borrows from, attempt by attempt; 64 times the bins at most."""
+    attempts = np.arange(1, 64 * bins + 1, dtype=np.uint64)
+    own = np.arange(bins, dtype=np.uint64) * np.uint64(1 << 20)
+    return (_mixed(own[:, None] + attempts[None, :]) % np.uint64(bins)).astype(np.uint16 if bins < 1 << 16 else np.int64)
+
+
 def _filled(values: np.ndarray) -> np.ndarray:
     """Empty bins take the value of a bin drawn by bin number and attempt, until a filled one is met."""
-    bins = values.shape[1]
-    original = values.copy()
-    at = np.argwhere(values == EMPTY)
-    attempt = 1
-    while len(at):
-        drawn = (_mixed(at[:, 1].astype(np.uint64) * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(bins)).astype(np.int64)
-        values[at[:, 0], at[:, 1]] = original[at[:, 0], drawn]
-        # lines without any shingle stay empty
-        at = at[(values[at[:, 0], at[:, 1]] == EMPTY) & (attempt < 64 * bins)]
-        attempt += 1
+    row, column = np.nonzero(values == EMPTY)
+    if not len(row):
+        return values
+    original, draws = values.copy(), _draws(values.shape[1])
+    done, step = 0, 4
+    # lines without any shingle stay empty
+    while len(row) and done < draws.shape[1]:
+        met = original[row[:, None], draws[column, done : done + step]]
+        filled = met != EMPTY
+        first = filled.argmax(axis=1)
+        found = filled[np.arange(len(row)), first]
+        values[row[found], column[found]] = met[found, first[found]]
+        row, column = row[~found], column[~found]
+        done, step = done + step, min(4 * step, 64)
     return values
 
 
@@ -184,9 +197,18 @@ def _block_links(own: pd.DataFrame, other: pd.DataFrame, size: int, least: float
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, at, text) of every line that is not blank; documents without id have none."""
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "text")
-    ).filter(F.col("doc").isNotNull() & F.col("text").rlike(VISIBLE))
+    return _lines(_whole(docs, id_col, text_col)).select("doc", "at", "text")
+
+
+def _whole(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, of, whole) of every document with id and text; of tells the texts of one id apart."""
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("whole"))
+    return whole.filter("doc is not null and whole is not null").withColumn("of", F.xxhash64(F.lit(2), "whole"))
+
+
+def _lines(whole: DataFrame) -> DataFrame:
+    lines = whole.select("doc", "of", F.posexplode(F.split("whole", "\n", -1)).alias("at", "text"))
+    return lines.filter(F.col("text").rlike(VISIBLE))
 
 
 def line_groups(
@@ -207,20 +229,22 @@ def line_groups(
     large group of copies costs its size and not its square. Texts move only for nodes
     that share a bucket.
     """
-    lines = line_table(docs, id_col, text_col)
+    whole = _whole(docs, id_col, text_col)
+    lines = _lines(whole)
     h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
 
     @F.pandas_udf("array<long>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(band_keys(texts.tolist(), size, bands, rows)), dtype=object)
+            which, distinct = pd.factorize(texts)
+            yield pd.Series(list(band_keys(distinct.tolist(), size, bands, rows)[which]), dtype=object)
 
     placed = saved(
-        lines.select("doc", "at", h1.alias("h1"), h2.alias("h2"), keys(F.col("text")).alias("keys"))
+        lines.select("doc", "of", "at", h1.alias("h1"), h2.alias("h2"), keys(F.col("text")).alias("keys"))
     )
     nodes = saved(
         placed.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc", "at")).alias("head"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc", "at", "of")).alias("head"), F.any_value("keys").alias("keys"), F.count(F.lit(1)).alias("n"))
         # more common lines have smaller numbers, by powers of two
         .withColumn("line", F.expr("shiftleft(cast(62 - floor(log2(n)) as bigint), 56)") + F.monotonically_increasing_id())
     )
@@ -236,10 +260,15 @@ def line_groups(
         .distinct()
     )
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("line")).union(members.select("line")).distinct())
-    asked = wanted.join(nodes.select("line", "head.doc", "head.at", "h1", "h2"), "line")
-    # rows of one id may have different lines at one place
-    hashed = lines.withColumns({"h1": h1, "h2": h2})
-    texts = saved(hashed.join(asked, ["doc", "at", "h1", "h2"]).select("line", "text").dropDuplicates(["line"]))
+    # whole documents are fewer rows to move than their lines; a list is no longer than the document's text
+    asked = (
+        wanted.join(nodes.select("line", "head.doc", "head.of", "head.at"), "line")
+        .groupBy("doc", "of")
+        .agg(F.collect_list(F.struct("line", "at")).alias("asked"))
+    )
+    split = whole.join(asked, ["doc", "of"]).select("asked", F.split("whole", "\n", -1).alias("split"))
+    told = split.select(F.explode(F.transform("asked", lambda s: F.struct(s["line"].alias("line"), F.get("split", s["at"]).alias("text")))).alias("s"))
+    texts = saved(told.select("s.line", "s.text").dropDuplicates(["line"]))
     links = _verified(pairs, texts, size, least)
     found = saved(components(links))
     inside = saved(
@@ -264,7 +293,8 @@ def line_groups(
         .distinct()
     )
     more = _verified(more, texts, size, least).union(_crowd_links(open_.filter(F.col("n") > FEW), texts, size, least))
-    found = saved(components(links.union(more)))
+    # the stars of the first links stand for them
+    found = saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     grouped = saved(
         nodes.join(found, nodes.line == found.node, "left").select(
             "h1", "h2", "head", F.coalesce("component", "line").alias("component")
