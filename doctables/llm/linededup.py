@@ -120,18 +120,47 @@ def shingles(line: str, size: int = SHINGLE) -> set[str]:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
+def _packed(line: str, size: int) -> np.ndarray | None:
+    """The line's different shingles as numbers, where a shingle of one-byte characters fits into 64 bits."""
+    if size > 8 or len(line) < size:
+        return None
+    try:
+        codes = np.frombuffer(line.encode("latin-1"), dtype=np.uint8).astype(np.uint64)
+    except UnicodeEncodeError:
+        return None
+    count = len(codes) - size + 1
+    out = codes[:count]
+    for k in range(1, size):
+        out = (out << np.uint64(8)) | codes[k : k + count]
+    return _different(np.sort(out))
+
+
+def _different(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
+
+
+def _shared(left: str, packed: np.ndarray | None, right: str, size: int) -> tuple[int, int]:
+    """How many shingles both lines have, and how many either has; packed are those of left."""
+    other = None if packed is None else _packed(right, size)
+    if other is None:
+        one, two = shingles(left, size), shingles(right, size)
+        return len(one & two), len(one | two)
+    merged = np.sort(np.concatenate((packed, other)), kind="stable")
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return both, len(merged) - both
+
+
 def _similar(pairs: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs (a, b) of (a, b, left, right) whose exact Jaccard similarity is at least `least`."""
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep, last, kept = [], None, set()
+            keep, last, packed = [], None, None
             for left, right in zip(batch["left"], batch["right"]):
                 if left != last:
-                    last, kept = left, shingles(left, size)
-                other = shingles(right, size)
-                both = len(kept & other) if min(len(kept), len(other)) >= least * max(len(kept), len(other)) else 0
-                keep.append(both >= least * (len(kept) + len(other) - both))
+                    last, packed = left, _packed(left, size)
+                both, either = _shared(left, packed, right, size)
+                keep.append(both >= least * either)
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     return pairs.mapInPandas(verify, "a long, b long")

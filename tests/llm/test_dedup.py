@@ -170,3 +170,16 @@ def test_texts_of_one_id_are_told_apart(spark):
     # every line of id 1 has one near copy, and no line is like another of id 1
     assert sorted((r.doc, r.keep_doc) for r in got if r.doc >= 100) == [(100 + k, 1) for k in range(40)]
     assert all(r.kept for r in got if r.doc == 1)
+
+
+@pytest.mark.parametrize(
+    "left, right",
+    [
+        ("", "a"), ("ab", "ab"), ("abcdefgh", "abcdefg"), ("aaaaaaaaaaaa", "aaaaaaaaa"), ("héllo wörld", "héllo wörld!"),
+        ("日本語のテキスト行です", "日本語のテキスト行だ"), ("abcdefgh", "日本語のテキスト行です"), ("ab\0cdefgh", "abcdefgh"),
+    ],
+)
+@pytest.mark.parametrize("size", [1, 7, 9])
+def test_shared_shingles_are_counted_exactly(left, right, size):
+    one, two = linededup.shingles(left, size), linededup.shingles(right, size)
+    assert linededup._shared(left, linededup._packed(left, size), right, size) == (len(one & two), len(one | two))
