@@ -24,6 +24,7 @@ from doctables.plans.durable import durable
 from doctables.plans.skew import first_per_key
 from doctables.sources.profiles import Profile
 
+FEW = 20_000
 RECORD = "struct(cast(doc_id as string) as doc_id, page, table_index, row_idx, cast(0 as int) as item)"
 PACK = (
     "profile string, name string, place int, display_name string, pack_type string, pack_required boolean, pattern string, "
@@ -44,6 +45,12 @@ class Runs:
     quality: DataFrame
 
 
+def _beside(small: DataFrame) -> DataFrame:
+    """A frame about layouts or fields, written once; up to `FEW` rows of it go to every task, so that no row moves to meet it."""
+    small = durable(small)
+    return F.broadcast(small) if small.limit(FEW + 1).count() <= FEW else small
+
+
 def _any_of(text: Column, terms: Sequence[str]) -> Column:
     found = F.lit(False)
     for term in terms:
@@ -97,8 +104,11 @@ def layout_fields(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def long_cells(rows: DataFrame, layouts: DataFrame) -> DataFrame:
     """One row per record and field of its layout, with the normal form; short rows are filled with NULL."""
-    joined = rows.join(layouts, ["dataset", "headers"])
-    cells = joined.select("dataset", "profile", F.expr(RECORD).alias("record"), "cells", F.posexplode("names").alias("position", "column"))
+    # Small files give few tasks; the records are spread before they become cells, and later steps find them by record.
+    joined = rows.join(layouts, ["dataset", "headers"]).select("dataset", "profile", F.expr(RECORD).alias("record"), "cells", "names")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = joined.repartition(tasks, "dataset", "record")
+    cells = joined.select("dataset", "profile", "record", "cells", F.posexplode("names").alias("position", "column"))
     cells = cells.select(
         "dataset", "profile", "record", "position", F.col("column.name").alias("field"), F.col("column.header").alias("header"),
         F.get("cells", F.col("position")).alias("raw"),
@@ -142,9 +152,9 @@ def field_table(cells: DataFrame, fields: DataFrame) -> DataFrame:
 
 def first_records(cells: DataFrame, fields: DataFrame) -> DataFrame:
     """(dataset, record): the first record of every key; all fields are the key of a dataset without one."""
-    marks = fields.select("dataset", "field", "is_primary_key")
     some = fields.groupBy("dataset").agg(F.bool_or("is_primary_key").alias("keyed"))
-    part = cells.join(marks, ["dataset", "field"]).join(some, "dataset").filter("is_primary_key or not keyed")
+    marks = fields.join(some, "dataset").filter("is_primary_key or not keyed").select("dataset", "field")
+    part = cells.join(_beside(marks), ["dataset", "field"])
     keys = part.groupBy("dataset", "record").agg(F.array_sort(F.collect_list(F.struct("field", "norm"))).alias("key"))
     return first_per_key(keys, ["dataset", "key"], ["record"]).select("dataset", "record")
 
@@ -311,16 +321,16 @@ def run_all(rows: DataFrame, profiles: Sequence[Profile] = (), extraction: float
         rows = rows.withColumn("profile", F.lit(None).cast("string"))
     counted = F.transform(F.sequence(F.lit(1), F.greatest(F.size("cells"), F.lit(1))), lambda i: F.concat(F.lit("Col_"), i.cast("string")))
     rows = rows.withColumn("headers", F.when(F.size("headers") > 0, F.col("headers")).when(F.size("cells") > 0, counted)).filter("headers is not null and dataset is not null")
-    cells = durable(long_cells(rows, layout_fields(rows, aliases)))
+    cells = durable(long_cells(rows, _beside(layout_fields(rows, aliases))))
     found = durable(field_table(cells, fields_of_packs))
     cells = durable(cells.join(first_records(cells, found), ["dataset", "record"], "left_semi").drop("header", "profile"))
-    lists = durable(list_fields(cells, found, children_of_packs))
+    lists = _beside(list_fields(cells, found, children_of_packs))
     parents, children = decomposed(cells, lists)
     children = durable(children)
     kept = found.join(lists.select("dataset", F.col("list_field").alias("field")), ["dataset", "field"], "left_anti")
     fields = kept.unionByName(child_fields(lists), allowMissingColumns=True)
     all_cells = durable(parents.unionByName(child_cells(children)))
-    issues = durable(issues_of(all_cells, rule_table(fields)))
+    issues = durable(issues_of(all_cells, _beside(rule_table(fields))))
     summary = rules.summarize_datasets(issues)
     relationships = lists.select(
         F.concat("dataset", F.lit("_to_"), "child").alias("name"), F.col("dataset").alias("parent_dataset"), F.col("child").alias("child_dataset"),

@@ -82,6 +82,19 @@ def test_names_come_from_documents(spark):
     assert layouts.named(rows, docs.withColumn("recommended_extractor", F.lit(None).cast("string"))).first().dataset == "list_table"
 
 
+def test_records_of_one_small_file_are_spread(spark):
+    place = [F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("table_index"), F.col("id").alias("row_idx")]
+    rows = spark.range(0, 4000, 1, 1).select(
+        *place, F.lit("one").alias("dataset"), F.lit(None).cast("string").alias("profile"), F.array(F.lit("A"), F.lit("B")).alias("headers"),
+        F.array(F.col("id").cast("string"), F.lit("x")).alias("cells"),
+    )
+    aliases = layouts.packs(spark, [PACK])[1]
+    cells = layouts.long_cells(rows, layouts.layout_fields(rows, aliases))
+    held = cells.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record").alias("records")).collect()
+    assert sum(h["n"] for h in held) == 8000 and sum(h["records"] for h in held) == 4000
+    assert max(h["n"] for h in held) < 2 * 8000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("part_values", [10_000, 7])
 def test_absent_values(spark, part_values):
     pick = random.Random(1)
