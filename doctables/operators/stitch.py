@@ -9,6 +9,7 @@ header that enters one of them still changes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
@@ -26,7 +27,9 @@ SAME_HEADERS = 0.75
 REPEATED_HEADER = 0.80
 BLOCK_PAGES = 2_000
 
-_STATE = "master_page int, master_index int, master_headers array<string>, master_columns int"
+KNOWN = 100_000
+
+_STATE = "master_page int, master_index int, master_headers string, master_columns int"
 _STATE_COLUMNS = ["master_page", "master_index", "master_headers", "master_columns"]
 _EXIT_COLUMNS = ["doc_id", "block", *_STATE_COLUMNS]
 _FOLD_COLUMNS = [
@@ -34,13 +37,15 @@ _FOLD_COLUMNS = [
 ]
 
 
-def _alike(left: Sequence[str], right: Sequence[str], limit: float, known: dict) -> bool:
-    """Whether the similarity is above the limit; cheap upper bounds come first."""
-    if left is None or right is None or len(left) == 0 or len(right) == 0:
+def _alike(left: str | None, right: str | None, limit: float, known: dict) -> bool:
+    """Whether the similarity of two lists (JSON) is above the limit; cheap upper bounds come first."""
+    if left is None or right is None:
         return False
-    key = (header_text(left), header_text(right), limit)
+    key = (left, right, limit)
     if key not in known:
-        matcher = SequenceMatcher(None, key[0], key[1])
+        if len(known) >= KNOWN:
+            known.clear()
+        matcher = SequenceMatcher(None, *[header_text([h or "" for h in json.loads(x)]) for x in (left, right)])
         known[key] = (
             matcher.real_quick_ratio() > limit
             and matcher.quick_ratio() > limit
@@ -53,21 +58,22 @@ def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     """Fold rows sorted by (doc_id, block, page, table_index), batch by batch.
 
     Yields (doc, block, page, index, master page, master index, headers, columns,
-    repeated) per table. Only the current table is kept between batches.
+    repeated) per table. Only the current table, and whether some pairs of headers
+    are alike, is kept between batches.
     """
     place, master, known = None, None, {}
     for batch in batches:
         out = []
         for doc, block, page, index, headers, row, columns, *entry in zip(
-            *(batch[c] for c in _FOLD_COLUMNS)
+            *(batch[c].tolist() for c in _FOLD_COLUMNS)
         ):
             if (doc, block) != place:
-                place, known = (doc, block), {}
+                place = (doc, block)
                 master = None if pd.isna(entry[0]) else (int(entry[0]), int(entry[1]), entry[2], int(entry[3]))
             repeated = joined = False
             if master is not None:
                 repeated = _alike(master[2], row, REPEATED_HEADER, known)
-                bare = (headers is None or len(headers) == 0) and columns == master[3]
+                bare = headers is None and columns == master[3]
                 joined = repeated or bare or _alike(master[2], headers, SAME_HEADERS, known)
             if not joined:
                 master = (page, index, headers, columns)
@@ -102,10 +108,10 @@ def _exits(blocks: DataFrame) -> DataFrame:
     return _in_order(blocks).mapInPandas(last, f"doc_id {doc}, block bigint, {_STATE}")
 
 
-def _entries(exits: DataFrame) -> DataFrame:
+def _entries(exits: DataFrame, *more: str) -> DataFrame:
     """State that enters each block: the exit of the block before it."""
     window = Window.partitionBy("doc_id").orderBy("block")
-    state = F.struct(*_STATE_COLUMNS)
+    state = F.struct(*_STATE_COLUMNS, *more)
     return (
         exits.select("doc_id", "block", F.lag(state).over(window).alias("_in"))
         .filter(F.col("_in").isNotNull())
@@ -131,9 +137,13 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
     """
     empty = [F.lit(None).cast(t).alias(n) for n, t in (p.split(" ") for p in _STATE.split(", "))]
     doc = heads.schema["doc_id"].dataType.simpleString()
-    blocks = heads.select(
-        "doc_id", "page", "table_index", "headers", "first_row", "columns",
-        F.expr(f"page div {block_pages}").alias("block"),
+    # Lists go to Python as one text each, NULL for none; every pass reads this table.
+    text = lambda c: F.when(F.size(c) > 0, F.to_json(c)).alias(c)
+    blocks = durable(
+        heads.select(
+            "doc_id", "page", "table_index", text("headers"), text("first_row"), "columns",
+            F.expr(f"page div {block_pages}").alias("block"),
+        )
     )
     long = (
         blocks.groupBy("doc_id")
@@ -144,17 +154,16 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
     entries = None
     if not long.isEmpty():
         cut = durable(blocks.join(long, "doc_id", "left_semi"))
-        exits = durable(_exits(cut.select("*", *empty)))
+        exits = durable(_exits(cut.select("*", *empty)).withColumn("_moved", F.lit(True)))
         while True:
-            entries = _entries(exits)
-            later = durable(_exits(cut.join(entries, ["doc_id", "block"])))
-            firsts = exits.join(later, ["doc_id", "block"], "left_anti")
-            moved = later.alias("n").join(exits.alias("o"), ["doc_id", "block"]).filter(
-                "n.master_page <> o.master_page or n.master_index <> o.master_index"
-            )
-            settled = moved.isEmpty()
-            exits = durable(firsts.unionByName(later))
-            if settled:
+            # A block is folded again only if the state that enters it has changed.
+            todo = _entries(exits, "_moved").filter("_moved").drop("_moved")
+            again = _exits(cut.join(todo, ["doc_id", "block"])).select("doc_id", "block", F.struct(*_STATE_COLUMNS).alias("_new"))
+            later = exits.drop("_moved").join(again, ["doc_id", "block"], "left")
+            moved = F.expr("_new.master_page <> master_page or _new.master_index <> master_index")
+            state = [F.when(F.col("_new").isNull(), F.col(n)).otherwise(F.col("_new")[n]).alias(n) for n in _STATE_COLUMNS]
+            exits = durable(later.select("doc_id", "block", *state, F.coalesce(moved, F.lit(False)).alias("_moved")))
+            if exits.filter("_moved").isEmpty():
                 break
         entries = _entries(exits)
 

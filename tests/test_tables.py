@@ -1,7 +1,9 @@
 """Table reconstruction against the documented cases and against plain loops."""
 
+import difflib
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,20 @@ def test_masters_do_not_depend_on_blocks(spark, block):
             assert got[(doc, page)] == (master, repeated)
 
 
+def test_header_pairs_are_compared_once_over_all_blocks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(stitch, "SequenceMatcher", lambda *a: made.append(a) or difflib.SequenceMatcher(*a))
+    head, line = '["Code","Title"]', '["1","x"]'
+    tables = [("d", block, block, 0, head, line, 2, None, None, None, None) for block in range(50) for _ in range(2)]
+    folded = list(stitch._folded([pd.DataFrame(tables, columns=stitch._FOLD_COLUMNS)]))
+    assert len(folded[0]) == 100 and len(made) == 2
+
+
+def test_empty_cells_in_a_first_row(spark):
+    rows = raw(spark, [(1, ["a", "b"], [["1", "x"]]), (2, [], [[None, "y"]])])
+    assert {r["master_page"] for r in stitch.assign_masters(stitch.table_heads(rows)).collect()} == {1}
+
+
 def heal_loop(rows, width):
     out = []
     for r in rows:
