@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions import fixed
-from doctables.functions.lists import stitch_cell, unify_separators
-from doctables.functions.text import strip, strip_chars
+from doctables.functions.lists import let, stitch_cell, unify_separators
+from doctables.functions.text import SPACES, strip, strip_chars
 from doctables.model import TABLE
 from doctables.plans.scan import row_block, running
 
 
+FILLED = "[^" + "".join(rf"\x{{{ord(c):X}}}" for c in SPACES) + "]"
+
+
 def shortest(words: Sequence[str]) -> list[str]:
     """Words without those that contain another one: to contain them implies it."""
     return [w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w)]
@@ -43,8 +46,8 @@ def strip_cells(cells: Column) -> Column:
 
 
 def has_text(cells: Column) -> Column:
-    """Any cell holds more than white space."""
-    return F.exists(cells, lambda c: F.coalesce(strip(c) != "", F.lit(False)))
+    """Any cell holds more than white space; one search that ends at the first such character."""
+    return F.array_join(cells, "").rlike(FILLED)
 
 
 def clean_cells(rows: DataFrame) -> DataFrame:
@@ -105,9 +108,9 @@ def find_header_rows(
 
     `places` holds the column of each field, in the order of `aliases`.
     """
-    # One search over the whole row spares most data rows the work per cell.
-    words = [word for listed in aliases.values() for word in listed]
-    near = (F.col("row_idx") < within) & F.lower(F.array_join("cells", "\n")).rlike(any_of(words))
+    # One look at the whole row spares data rows the work per cell: a header holds words of enough fields.
+    held = lambda row: sum((contains_any(row, words).cast("int") for words in aliases.values()), F.lit(0))
+    near = (F.col("row_idx") < within) & (let(F.lower(F.array_join("cells", "\n")), held) >= min_fields)
     heads = rows.filter(near).select(
         *table, "row_idx", match_headers(F.col("cells"), aliases).alias("places")
     )
@@ -136,7 +139,7 @@ def project_fields(
     """
     fields = list(aliases)
     heads = find_header_rows(rows, aliases, table)
-    first = F.lower(strip(F.get("cells", F.lit(0))))
+    first = F.lower(F.get("cells", F.lit(0)))
     body = (
         rows.filter(has_text(F.col("cells")))
         .filter(~F.coalesce(first.rlike(any_of(header_words)), F.lit(False)))

@@ -306,3 +306,17 @@ def test_readers(spark):
 
 
 HEADER = ["SAQA ID", "Qualification Title", "NQF Level", "Sub-Framework", "NSFAS", "Participating Colleges"]
+
+
+def test_rows_of_blank_cells_have_no_text(spark):
+    blanks = ["", " ", "\t\x1c 　", None, "\x85\xa0"]
+    rows = [(0, blanks), (1, ["", "​"]), (2, [None]), (3, []), (4, None), (5, blanks + ["x"])]
+    frame = spark.createDataFrame(rows, "n int, cells array<string>")
+    assert [r["n"] for r in frame.filter(tables.has_text(F.col("cells"))).orderBy("n").collect()] == [1, 5]
+
+
+def test_header_needs_words_of_two_fields(spark):
+    aliases = {"code": ("code", "id"), "title": ("title",), "site": ("campus",)}
+    lines = [["Campus A", "Campus B"], ["Kode", "x"], ["Site campus", "ID"], ["code", "title"]]
+    found = tables.find_header_rows(raw(spark, [(1, [], lines), (2, [], lines[:2])]), aliases, within=3).collect()
+    assert [(r["page"], r["header_row"], list(r["places"])) for r in found] == [(1, 2, [1, -1, 0])]
