@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,27 +49,50 @@ def words_in(text: Column, words: Sequence[str]) -> Column:
     return run(text)
 
 
-def missing_from(text: Column, values: Column) -> Column:
-    """Those of the values (an array) that do not stand in the text; all of them where it is NULL.
+def _missing(text: str | None, wanted: Sequence[str]) -> set[str]:
+    """Those of the words that do not stand in the text; all of them without text.
 
-    The automaton is built over the values of the row; a few values are searched one by one.
+    The automaton is built over the words; a few words are searched one by one.
     """
+    if text is None:
+        return set(wanted)
+    if len(wanted) < 8:
+        return {w for w in wanted if w not in text}
+    made = ahocorasick.Automaton()
+    for w in wanted:
+        made.add_word(w, w)
+    made.make_automaton()
+    return set(wanted).difference(w for _, w in made.iter(text))
+
+
+def missing_from(text: Column, values: Column) -> Column:
+    """Those of the values (an array) that do not stand in the text; all of them where it is NULL."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
         out = []
         for text, wanted in zip(texts, lists):
-            if text is None:
-                out.append(list(wanted))
-            elif len(wanted) < 8:
-                out.append([w for w in wanted if w not in text])
-            else:
-                made = ahocorasick.Automaton()
-                for w in wanted:
-                    made.add_word(w, w)
-                made.make_automaton()
-                found = {w for _, w in made.iter(text)}
-                out.append([w for w in wanted if w not in found])
+            lacking = _missing(text, wanted)
+            out.append([w for w in wanted if w in lacking])
         return pd.Series(out)
 
     return run(text, values)
+
+
+def missing_places(texts: Column, values: Column) -> Column:
+    """Places (from 0) of the values that one of the texts lacks; all places where the array of texts is NULL."""
+
+    @F.arrow_udf("array<int>")
+    def run(rows: pa.Array, lists: pa.Array) -> pa.Array:
+        # The words of all rows are read at once, which costs less than a list per row.
+        words = lists.flatten().to_numpy(zero_copy_only=False)
+        ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        places, sizes = [], [0]
+        for texts, first, last in zip(rows.to_pylist(), ends, ends[1:]):
+            wanted = words[first:last]
+            lacking = set().union(*[_missing(t, wanted) for t in ([None] if texts is None else texts)])
+            places.extend([i for i, w in enumerate(wanted) if w in lacking])
+            sizes.append(len(places))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(places, pa.int32()))
+
+    return run(texts, values)

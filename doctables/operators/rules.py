@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions import fixed
-from doctables.functions.matching import missing_from
+from doctables.functions.matching import missing_from, missing_places
 from doctables.functions.text import digits_only, first_number, is_blank, strip
 from doctables.operators.schema import Field
+from doctables.plans.durable import durable
 
 CRITICAL, WARNING, INFO = "CRITICAL", "WARNING", "INFO"
 PART_VALUES = 10_000  #: values of a page that are searched together
@@ -592,19 +593,50 @@ def run_status(summary: DataFrame) -> DataFrame:
 def absent_from_page(cells: DataFrame, pages: DataFrame, part_values: int = PART_VALUES) -> DataFrame:
     """Cells whose value does not occur in the text of the page they name.
 
-    `cells`: doc_id, page, record_id, field, value. The distinct values of a page are
-    searched together, so its text is sent once (and once more for every
-    `part_values` of them). Cells of a page without text are absent.
+    `cells`: doc_id, page, record_id, field, value. The cells of a page are packed where
+    they are read and searched together, so words are moved once and a text is sent
+    once. Pages of more than `part_values` cells, found by a job that counts, have their
+    distinct values searched in parts of that size. Cells of a page without text are absent.
     """
     filled = cells.filter(~is_blank(F.col("value")))
+    text = pages.select("doc_id", "page", F.lower("text").alias("_text"))
+    crowded = durable(
+        filled.groupBy("doc_id", "page")
+        .agg((F.count(F.lit(1)) / part_values).cast("int").alias("_more"))
+        .filter("_more > 0")
+    )
+    if crowded.isEmpty():
+        return _absent_packed(filled, text)
+    same = filled["doc_id"].eqNullSafe(crowded["doc_id"]) & filled["page"].eqNullSafe(crowded["page"])
+    few = _absent_packed(filled.join(crowded, same, "left_anti"), text)
+    return few.unionByName(_absent_in_parts(filled.join(crowded, same, "left_semi"), crowded, text))
+
+
+def _absent_packed(filled: DataFrame, text: DataFrame) -> DataFrame:
+    """Absent cells of pages whose cells fit into one row: cells and texts meet in one grouping."""
+    place = ["doc_id", "page"]
+    cell = F.struct(*[c for c in filled.columns if c not in place])
+    both = filled.select(*place, cell.alias("_cell")).unionByName(
+        text.dropna(subset=place).withColumn("_known", F.col("_text").isNotNull()), allowMissingColumns=True
+    )
+    packed = both.groupBy(*place).agg(
+        F.collect_list("_cell").alias("_cells"),
+        # A page that is given several times lacks a value that one of its texts lacks.
+        F.when(F.every("_known"), F.collect_list("_text")).alias("_texts"),
+    )
+    values = F.transform("_cells", lambda c: F.lower(c["value"]))
+    found = packed.filter(F.size("_cells") > 0).withColumn("_at", missing_places(F.col("_texts"), values))
+    absent = found.select(*place, F.inline(F.transform("_at", lambda i: F.get("_cells", i))))
+    return absent.select(*filled.columns)
+
+
+def _absent_in_parts(filled: DataFrame, crowded: DataFrame, text: DataFrame) -> DataFrame:
+    """Absent cells of pages whose values are too many for one row."""
     values = filled.select("doc_id", "page", F.lower("value").alias("_low")).distinct()
-    many = values.groupBy("doc_id", "page").agg((F.count(F.lit(1)) / part_values).cast("int").alias("_more"))
-    crowded = many.filter("_more > 0")
     parts = values.join(crowded, ["doc_id", "page"], "left").withColumn(
         "_part", F.pmod(F.xxhash64("_low"), F.coalesce("_more", F.lit(0)) + 1)
     )
     lists = parts.groupBy("doc_id", "page", "_part").agg(F.collect_list("_low").alias("_lows"))
-    text = pages.select("doc_id", "page", F.lower("text").alias("_text"))
     absent = lists.join(text, ["doc_id", "page"], "left").select("doc_id", "page", F.explode(missing_from(F.col("_text"), F.col("_lows"))).alias("_low"))
     same = filled["doc_id"].eqNullSafe(absent["doc_id"]) & filled["page"].eqNullSafe(absent["page"]) & (F.lower(filled["value"]) == absent["_low"])
     return filled.join(absent, same, "left_semi")
