@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctables.functions.text import is_blank
+from doctables.plans.durable import durable
 
 PAGE = ["doc_id", "page"]
 CUT = "\x1f"
@@ -24,26 +25,31 @@ def text_lines(words: DataFrame, page: Sequence[str] = PAGE, gap: float = 18.0)
     """
     keys = [*page, "line_y"]
     placed = words.withColumn("line_y", (F.bround(F.col("y0") / 4.0) * 4).cast("int"))
-    before = F.lag("x1").over(Window.partitionBy(*keys).orderBy("x0", "word_no"))
-    cut = (before > 0) & (F.col("x0") - before > gap)
-    token = F.when(before.isNull(), F.col("word")).otherwise(
-        F.concat(F.when(cut, CUT).otherwise(" "), F.col("word"))
-    )
-    return (
-        placed.withColumn("_token", token)
-        .groupBy(*keys)
-        .agg(F.expr("listagg(_token, '') within group (order by x0, word_no)").alias("_line"))
-        .select(*keys, F.split("_line", CUT).alias("cells"))
+    lines = placed.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("x0", "word_no", "x1", "word"))).alias("_words")
     )
 
+    def token(w, i):
+        before = F.when(i > 0, F.get("_words", i - 1)["x1"])
+        cut = (before > 0) & (w["x0"] - before > gap)
+        return F.when(before.isNull(), w["word"]).otherwise(
+            F.concat(F.when(cut, CUT).otherwise(" "), w["word"])
+        )
+
+    tokens = F.transform("_words", token)
+    line = F.when(F.exists("_words", lambda w: w["word"].isNotNull()), F.array_join(tokens, ""))
+    return lines.select(*keys, F.split(line, CUT).alias("cells"))
+
 
 def text_tables(words: DataFrame, page: Sequence[str] = PAGE, gap: float = 18.0) -> DataFrame:
     """One table per page from word positions.
 
     Lines of two and more cells count; the usual cell count sets the width, lines
     that differ from it by more than one are dropped, the first line is the header.
+    Runs a job that puts words together to lines.
     """
-    lines = (
+    # Read by both steps below: written once, so that no task sorts words twice.
+    lines = durable(
         text_lines(words, page, gap)
         .withColumn("_n", F.size("cells"))
         .filter("_n >= 2")
