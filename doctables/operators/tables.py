@@ -324,6 +324,7 @@ def fill_down(rows: DataFrame, full: Column, table: Sequence[str] = TABLE) -> Da
             "variable_name": F.when(full, first),
             "variable_label": F.when(full, second),
         },
+        rare=True,
     )
 
 
@@ -393,6 +394,7 @@ def heal_rows(
         block or [row_block("row_idx")],
         sums={"_record": F.col("_start").cast("long")},
         coarse=coarse,
+        rare=block is None,
     )
     carried = [c for c in ("headers", "method", "confidence") if c in rows.columns]
     records = marked.groupBy(*table, "_record").agg(

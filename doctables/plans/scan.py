@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doctables.plans.durable import durable
+
 BLOCK_ROWS = 100_000
 
 
@@ -34,11 +36,13 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     coarse: Sequence[Sequence[Column]] = (),
+    rare: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums and last-non-null values per group.
 
     `sums` and `lasts` map an output column to the expression it accumulates.
-    `coarse` gives blocks of blocks. Group columns must not be NULL.
+    `coarse` gives blocks of blocks. Group columns must not be NULL. With `rare`, few
+    groups if any have several blocks: a job finds them, and only they are summed up.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     levels, columns = [], {}
@@ -48,7 +52,12 @@ def running(
         levels.append(names)
     inputs = {f"_in_{name}": expr for name, expr in {**sums, **lasts}.items()}
     marked = df.withColumns(columns).withColumns(inputs)
-    done = _scan(marked, list(group), list(order), levels, list(sums), list(lasts), 0)
+    long = None
+    if rare:
+        long = _long_groups(marked, list(group), levels[0])
+        if long.isEmpty():
+            levels = []
+    done = _scan(marked, list(group), list(order), levels, list(sums), list(lasts), 0, long)
     return (
         done.withColumns(
             {name: F.coalesce(F.col(f"_out_{name}"), F.lit(0)) for name in sums}
@@ -58,6 +67,14 @@ def running(
     )
 
 
+def _long_groups(df: DataFrame, group: list[str], block: list[str]) -> DataFrame:
+    """Groups with rows in several blocks."""
+    ends = df.groupBy(*group).agg(
+        *[F.min(n).alias(f"_a{n}") for n in block], *[F.max(n).alias(f"_b{n}") for n in block]
+    )
+    return durable(ends.filter(" or ".join(f"_a{n} <> _b{n}" for n in block)).select(*group))
+
+
 def _scan(
     df: DataFrame,
     group: list[str],
@@ -66,14 +83,19 @@ def _scan(
     sums: list[str],
     lasts: list[str],
     end: int,
+    long: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `_out_x` from `_in_x`, up to the current row (end 0) or the one before (-1)."""
+    """Add `_out_x` from `_in_x`, up to the current row (end 0) or the one before (-1).
+
+    With `long`, only rows of these groups carry something from block to block.
+    """
     above = [name for level in levels for name in level]
     keys = [*group, *above]
     values = [*sums, *lasts]
     if levels:
         at = F.struct(*order)
-        totals = df.groupBy(*keys).agg(
+        carrying = df if long is None else df.join(long, group, "left_semi")
+        totals = carrying.groupBy(*keys).agg(
             *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
             *[
                 F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), at)).alias(f"_in_{n}")
