@@ -9,6 +9,7 @@ from doctables.catalog.base import query, table
 from doctables.catalog.inputs import with_inputs
 from doctables.functions.text import extract_json
 from doctables.operators import chunks, documents, pages, usage
+from doctables.plans.durable import durable
 from doctables.sources.profiles import Profile
 from doctables.sources.rulepacks import shipped_profiles
 
@@ -345,10 +346,10 @@ def _order_pages(spark, folder):
     )
 
 
-def _chunks(spark, folder):
+def _chunks(spark, folder, texts=True):
     linked = pages.linked_pages(inputs.page_tables(spark, folder))
     # Small blocks, so that documents span several of them.
-    return chunks.create_chunks(_order_pages(spark, folder), linked, block=32)
+    return chunks.create_chunks(_order_pages(spark, folder), linked, block=32, texts=texts)
 
 
 def _recursive(sql: str) -> str:
@@ -375,7 +376,7 @@ FROM chunks c LEFT JOIN order_pages b ON c.is_continuation AND b.doc_id = c.doc_
     )
 )
 def chunk_overlap(spark, folder):
-    return _chunks(spark, folder).select("doc_id", "chunk_index", "overlap")
+    return _chunks(spark, folder, texts=False).select("doc_id", "chunk_index", "overlap")
 
 
 @query(
@@ -389,7 +390,7 @@ def chunk_overlap(spark, folder):
 def cache_misses(spark, folder):
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     key = chunks.cache_key(name, F.col("page_start"), F.col("page_end"), F.lit("m"), F.lit("v1"))
-    work = _chunks(spark, folder).select("doc_id", "chunk_index", key.alias("cache_key"))
+    work = durable(_chunks(spark, folder, texts=False).select("doc_id", "chunk_index", key.alias("cache_key")))
     return chunks.cache_misses(work, work.filter("chunk_index % 3 = 0").select("cache_key"))
 
 

@@ -44,6 +44,7 @@ def chunk_starts(
     """Positions at which chunks start: doc_id, start, chunk_index.
 
     `placed`: doc_id, page, pos. `continued`: doc_id, page of pages a table runs into.
+    Runs a job over page numbers.
     """
     counts = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pages"))
     steps = placed.join(counts, "doc_id").select(
@@ -65,7 +66,8 @@ def chunk_starts(
                 .cast("long"),
             )
         )
-    blocks = (
+    # Read at every level of the tree and by the last step: written once.
+    blocks = durable(
         steps.withColumn("block", F.expr(f"pos div {block}"))
         .groupBy("doc_id", "block")
         .agg(
@@ -111,12 +113,14 @@ def create_chunks(
     wanted: DataFrame | None = None,
     overlap_lines: int = 15,
     block: int = BLOCK_PAGES,
+    texts: bool = True,
 ) -> DataFrame:
     """Chunks of `size` pages with their text and the context before them.
 
     `pages`: doc_id, page, text. `continued`: doc_id, page of pages a table runs into
     (`pages.linked_pages`, or `pages.continued_pages` of stored groups). `wanted`:
-    doc_id, page of the pages to take (all without it). Runs two jobs over page numbers.
+    doc_id, page of the pages to take (all without it). Without `texts` the chunks have
+    no text, and the texts of their pages are not moved. Runs jobs over page numbers.
     """
     chosen = pages if wanted is None else pages.join(wanted, ["doc_id", "page"], "left_semi")
     # Two narrow tables of page numbers feed every step below: write them once.
@@ -127,18 +131,16 @@ def create_chunks(
     members = starts.select(
         "doc_id", "chunk_index", F.explode(F.sequence("start", F.col("start") + size - 1)).alias("pos")
     ).join(placed, ["doc_id", "pos"])
-    shown = F.format_string("=== PAGE %d ===\n%s", F.col("page"), F.coalesce("text", F.lit("")))
-    chunks = (
-        members.join(chosen.select("doc_id", "page", "text"), ["doc_id", "page"])
-        .withColumn("_shown", shown)
-        .groupBy("doc_id", "chunk_index")
-        .agg(
-            F.min("page").alias("page_start"),
-            F.max("page").alias("page_end"),
-            F.array_sort(F.collect_list("page")).alias("pages"),
-            F.expr("listagg(_shown, '\n\n') within group (order by page)").alias("text"),
-        )
-    )
+    parts = [
+        F.min("page").alias("page_start"),
+        F.max("page").alias("page_end"),
+        F.array_sort(F.collect_list("page")).alias("pages"),
+    ]
+    if texts:
+        shown = F.format_string("=== PAGE %d ===\n%s", F.col("page"), F.coalesce("text", F.lit("")))
+        members = members.join(chosen.select("doc_id", "page", "text"), ["doc_id", "page"]).withColumn("_shown", shown)
+        parts.append(F.expr("listagg(_shown, '\n\n') within group (order by page)").alias("text"))
+    chunks = members.groupBy("doc_id", "chunk_index").agg(*parts)
     if continued is None:
         return chunks.withColumns(
             {"is_continuation": F.lit(False), "overlap": F.lit(None).cast("string")}
