@@ -12,13 +12,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctables.functions.similarity import header_text
-from doctables.operators.tables import heal_rows
+from doctables.operators.tables import fitted, is_noise, merge_marked, merged_lines, starts_record
 from doctables.model import TABLE
 from doctables.plans.durable import durable
 from doctables.plans.scan import row_block
@@ -45,15 +46,25 @@ def _alike(left: str | None, right: str | None, limit: float, known: dict) -> bo
     if key not in known:
         if len(known) >= KNOWN:
             known.clear()
-        matcher = SequenceMatcher(None, *[header_text([h or "" for h in json.loads(x)]) for x in (left, right)])
-        known[key] = (
-            matcher.real_quick_ratio() > limit
-            and matcher.quick_ratio() > limit
-            and matcher.ratio() > limit
-        )
+        known[key] = False
+        text = _text(right)
+        matcher = SequenceMatcher(None, _text(left))
+        # Upper bounds that need no index of the second text: its length, and its letters that the first has too.
+        size = len(matcher.a) + len(text)
+        if not size or (
+            2.0 * min(len(matcher.a), len(text)) / size > limit
+            and 2.0 * sum(map(frozenset(matcher.a).__contains__, text)) / size > limit
+        ):
+            matcher.set_seq2(text)
+            known[key] = matcher.quick_ratio() > limit and matcher.ratio() > limit
     return known[key]
 
 
+@lru_cache(maxsize=10_000)
+def _text(cells: str) -> str:
+    return header_text([c or "" for c in json.loads(cells)])
+
+
 def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     """Fold rows sorted by (doc_id, block, page, table_index), batch by batch.
 
@@ -119,12 +130,13 @@ def _entries(exits: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def table_heads(rows: DataFrame) -> DataFrame:
-    """One row per physical table: headers, first row and width."""
+def table_heads(rows: DataFrame, *more: Column) -> DataFrame:
+    """One row per physical table: headers, first row and width, and more aggregates."""
     heads = rows.groupBy(*TABLE).agg(
         F.min_by("headers", "row_idx").alias("headers"),
         F.min_by("cells", "row_idx").alias("first_row"),
         F.min("row_idx").alias("first_idx"),
+        *more,
     )
     width = F.when(F.size("headers") > 0, F.size("headers")).otherwise(F.size("first_row"))
     return heads.withColumn("columns", F.coalesce(width, F.lit(0)))
@@ -185,14 +197,52 @@ def assign_masters(heads: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFram
     )
 
 
+def _outline(rows: DataFrame) -> DataFrame:
+    """`table_heads` with the first and last row that starts a record and the last that continues one, noise left out."""
+    kept = ~F.coalesce(is_noise(F.col("cells")), F.lit(True))
+    kind = F.when(kept, starts_record(F.col("cells")))
+    starts, continues = F.when(F.col("_kind"), F.col("row_idx")), F.when(~F.col("_kind"), F.col("row_idx"))
+    return table_heads(
+        rows.withColumn("_kind", kind),
+        F.min(starts).alias("first_start"),
+        F.max(starts).alias("last_start"),
+        F.max(continues).alias("last_more"),
+    )
+
+
+def _reaching(parts: DataFrame, block_pages: int) -> DataFrame:
+    """Add `_open` and `_tail`: records of a physical table that may reach over its ends.
+
+    A table is open as a whole if its first row that is left may continue a record
+    above, if none of its rows starts one, or if it is longer than a block of rows.
+    Its last record is open if the next table of the master is, or lies in another
+    block of pages. In doubt a record counts as open: that costs time and no more.
+    """
+    after = lambda name: F.when(F.col("drop_first"), F.col(name) > F.col("first_idx")).otherwise(F.col(name).isNotNull())
+    starts, continues = F.coalesce(after("last_start"), F.lit(False)), F.coalesce(after("last_more"), F.lit(False))
+    leads = continues & (F.col("drop_first") | F.coalesce(F.col("first_start") > F.col("first_idx"), F.lit(True)))
+    long = row_block("first_idx") < row_block("last_idx")
+    in_order = Window.partitionBy("doc_id", F.expr(f"page div {block_pages}")).orderBy("page", "table_index")
+    follows = F.lead(F.struct("master_page", "master_index", "_open")).over(in_order)
+    same = (F.col("_next.master_page") == F.col("master_page")) & (F.col("_next.master_index") == F.col("master_index"))
+    return (
+        parts.withColumn("_open", ~starts | leads | long)
+        .withColumn("_next", follows)
+        .withColumn("_tail", F.coalesce(same & F.col("_next._open"), F.lit(True)))
+        .drop("_next")
+    )
+
+
 def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """Join the parts of tables that run over pages and heal their rows as one table.
 
-    Runs jobs over one row per physical table. Result: doc_id, master_page, master_index, and page, table_index, row_idx of the
+    Runs jobs over one row per physical table. Most records lie within one physical
+    table and are put together there; only those that may reach over its ends are
+    numbered and grouped by the whole table. Result: doc_id, master_page, master_index, and page, table_index, row_idx of the
     first source row, headers of the master, cells.
     """
     # One row per physical table, read by every step but the last.
-    heads = durable(table_heads(rows))
+    heads = durable(_outline(rows))
     masters = assign_masters(heads, block_pages)
     names = heads.select(
         "doc_id",
@@ -200,20 +250,58 @@ def stitch_tables(rows: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
         F.col("table_index").alias("master_index"),
         F.col("headers").alias("headers"),
     )
-    parts = masters.join(names, ["doc_id", "master_page", "master_index"]).join(
-        heads.select(*TABLE, "first_idx"), TABLE
+    ends = heads.select(*TABLE, "first_idx", "first_start", "last_start", "last_more").withColumn(
+        "last_idx", F.greatest("first_idx", "last_start", "last_more")
+    )
+    known = _reaching(masters.join(ends, TABLE), block_pages).join(names, ["doc_id", "master_page", "master_index"])
+    # A long table has a row per block of rows, so that no task gets all of its rows.
+    parts = durable(
+        known.withColumn("_piece", F.explode(F.sequence(row_block("first_idx"), row_block("last_idx")))).select(
+            *TABLE, "_piece", "master_page", "master_index", "headers", F.col("columns").alias("_columns"),
+            F.when(F.col("drop_first"), F.col("first_idx")).alias("_dropped"),
+            "_open", F.when(F.col("_tail"), F.col("last_start")).alias("_from"), F.col("last_more").isNotNull().alias("_wraps"),
+        )
     )
-    parts = durable(parts)
-    kept = (
+    piece, master = [*TABLE, "_piece"], ["doc_id", "master_page", "master_index"]
+    # Whether a row starts a record is told after the shuffle, so that all branches read the same one.
+    body = (
         rows.drop("headers")
-        .join(parts, TABLE)
-        .filter(~(F.col("drop_first") & (F.col("row_idx") == F.col("first_idx"))))
+        .filter(~is_noise(F.col("cells")))
+        .withColumn("_piece", row_block("row_idx"))
+    )
+    start = starts_record(F.col("cells"))
+    left = ~F.coalesce(F.col("row_idx") == F.col("_dropped"), F.lit(False))
+    reaches = F.coalesce(F.col("row_idx") >= F.col("_from"), F.lit(False))
+    carried = [c for c in ("headers", "method", "confidence") if c == "headers" or c in rows.columns]
+    result = [*master, "page", "table_index", "row_idx", "cells", *carried]
+
+    in_order = Window.partitionBy(*piece).orderBy("row_idx")
+    alone = start & (F.col("_next").isNull() | starts_record(F.col("_next")))
+    record = F.sum(F.col("_start").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    single = (
+        body.withColumn("_next", F.lead("cells").over(in_order))
+        .filter(alone)
+        .join(parts.filter("not _open"), piece)
+        .filter(left & ~reaches)
+        .withColumn("cells", fitted(F.col("cells"), F.col("_columns")))
+    )
+    # Few parts have wrapped rows or open ends: they are looked up, and rows of others go before any sort.
+    wrapped = (
+        body.join(parts.filter("not _open and _wraps").hint("shuffle_hash"), piece)
+        .withColumn("_start", start)
+        .withColumns({"_record": record, "_next": F.lead("cells").over(in_order)})
+        .filter(~alone)
+        .filter(left & ~reaches)
+    )
+    open_ends = body.join(parts.filter("_open or _from is not null").hint("shuffle_hash"), piece).filter(
+        left & (F.col("_open") | reaches)
     )
-    return heal_rows(
-        kept,
-        F.col("columns"),
-        table=["doc_id", "master_page", "master_index"],
-        order=["page", "table_index", "row_idx"],
-        block=[F.col("page"), F.col("table_index"), row_block("row_idx")],
-        coarse=[[row_block("page", 4096)]],
+    across = merge_marked(
+        open_ends.withColumn("_start", start),
+        master,
+        ["page", "table_index", "row_idx"],
+        [F.col("page"), F.col("table_index"), row_block("row_idx")],
+        [[row_block("page", 4096)]],
     )
+    inside = merged_lines(wrapped, [*piece, "master_page", "master_index", "_record"], ["row_idx"])
+    return single.select(*result).unionByName(inside.select(*result)).unionByName(across.select(*result))

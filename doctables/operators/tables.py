@@ -358,15 +358,28 @@ def delimited_lines(lines: DataFrame, page: Sequence[str] = ("doc_id", "page"))
 
 def is_noise(cells: Column) -> Column:
     """Blank rows, page numbers, source and note lines."""
-    text = strip(F.lower(F.array_join(cells, " ")))
+    joined = F.array_join(cells, " ")
+    # Plain tests come first: few rows begin as a pattern does or hold its slash.
+    likely = joined.contains("/") | F.substring(strip(joined), 1, 1).isin("", *"PpSsNnCc")
+    text = strip(F.lower(joined))
     # The patterns of page numbers and of source, note and continuation lines.
-    return (
+    return likely & (
         (text == "")
         | text.rlike(r"(?U)^(page\s+\d+(\s+of\s+\d+)?|\d+\s*/\s*\d+)$")
         | text.rlike(r"(?U)^(source\s*:|note\s*:|continued\s+on\s+next\s+page)")
     )
 
 
+def starts_record(cells: Column) -> Column:
+    """Whether a row starts a record; one with a blank first cell and other text continues the row above."""
+    first_blank = strip(F.get(cells, F.lit(0))) == ""
+    others = F.array_join(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), "")
+    return F.coalesce(~((F.size(cells) > 1) & first_blank & (others != "")), F.lit(False))
+
+
+_CARRIED = ("headers", "method", "confidence")
+
+
 def heal_rows(
     rows: DataFrame,
     columns: Column,
@@ -380,13 +393,20 @@ def heal_rows(
     A row with a blank first cell and other text continues the row above; the
     first row of a table never does. Other rows are padded or cut to `columns`.
     """
-    first_blank = strip(F.get("cells", F.lit(0))) == ""
-    wrapped = (F.size("cells") > 1) & first_blank & F.exists(
-        F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: c != ""
-    )
     kept = rows.filter(~is_noise(F.col("cells"))).withColumns(
-        {"_start": ~wrapped, "_columns": columns}
+        {"_start": starts_record(F.col("cells")), "_columns": columns}
     )
+    return merge_marked(kept, table, order, block, coarse)
+
+
+def merge_marked(
+    kept: DataFrame,
+    table: Sequence[str],
+    order: Sequence[str],
+    block: Sequence[Column] | None = None,
+    coarse: Sequence[Sequence[Column]] = (),
+) -> DataFrame:
+    """`heal_rows` for rows without noise that have `_start` and `_columns`."""
     marked = running(
         kept,
         table,
@@ -396,8 +416,23 @@ def heal_rows(
         coarse=coarse,
         rare=block is None,
     )
-    carried = [c for c in ("headers", "method", "confidence") if c in rows.columns]
-    records = marked.groupBy(*table, "_record").agg(
+    return merged_lines(marked, [*table, "_record"], order).select(
+        *dict.fromkeys([*table, *order]), "cells", *[c for c in _CARRIED if c in kept.columns]
+    )
+
+
+def fitted(cells: Column, columns: Column) -> Column:
+    """Cells of a record of one line, padded or cut; blank ones are ''."""
+    given = F.transform(
+        F.slice(cells, F.lit(1), F.greatest(columns, F.lit(0))), lambda c: F.when(strip(c) != "", c).otherwise("")
+    )
+    return F.concat(given, F.array_repeat(F.lit(""), F.greatest(columns - F.size(given), F.lit(0))))
+
+
+def merged_lines(marked: DataFrame, record: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per record from its rows in order: the place of the first, cells padded or cut to its `_columns`."""
+    carried = [c for c in _CARRIED if c in marked.columns]
+    records = marked.groupBy(*record).agg(
         F.min(F.struct(*order)).alias("_at"),
         F.min_by("_columns", F.struct(*order)).alias("_columns"),
         *[F.min_by(c, F.struct(*order)).alias(c) for c in carried],
@@ -415,7 +450,7 @@ def heal_rows(
         F.col("_columns") > 0, F.transform(F.sequence(F.lit(1), F.greatest("_columns", F.lit(1))), merged)
     ).otherwise(F.array().cast("array<string>"))
     return records.select(
-        *table, *[F.col("_at")[c].alias(c) for c in order if c not in table], cells.alias("cells"), *carried
+        *record, *[F.col("_at")[c].alias(c) for c in order if c not in record], cells.alias("cells"), *carried
     )
 
 

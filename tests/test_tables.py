@@ -126,6 +126,52 @@ def test_empty_cells_in_a_first_row(spark):
     assert {r["master_page"] for r in stitch.assign_masters(stitch.table_heads(rows)).collect()} == {1}
 
 
+@pytest.mark.parametrize("block", [4, 2_000])
+def test_only_records_at_the_ends_of_pages_are_numbered_by_table(spark, monkeypatch, block):
+    pick = random.Random(block)
+    families = [["Code", "Title", "Level"], ["Zone", "Yield", "Box", "W"], []]
+    lines = []
+    for doc in ("a", "b", "c", "d"):
+        for page in range(1, 31):
+            headers, step = pick.choice(families), pick.choice([1, 1, 1, 40_000])
+            cells = [pick.choice([["Code", "Title", "Level"], ["k", "x", "y"]])]
+            for _ in range(pick.randint(0, 8)):
+                kind = pick.choice(["row", "row", "row", "more", "noise", "null"])
+                cells.append(
+                    {"row": ["k", str(page), "v", "w"], "more": ["", "m", str(page)], "noise": ["Page 3", " of 9"], "null": [None, "n"]}[kind]
+                    [: pick.randint(2, 4)]
+                )
+            at = pick.sample(range(len(cells)), len(cells)) if page % 4 == 0 else range(len(cells))
+            lines += [(doc, page, 0, step * i, headers, cells[j]) for i, j in enumerate(at)]
+    rows = spark.createDataFrame(lines, SCHEMA)
+    numbered = []
+    whole = tables.merge_marked
+    monkeypatch.setattr(stitch, "merge_marked", lambda kept, *a: numbered.append(kept.count()) or whole(kept, *a))
+    names = ["doc_id", "master_page", "page", "row_idx", "cells", "headers"]
+    got = sorted(map(str, stitch.stitch_tables(rows, block).select(*names).collect()))
+    masters = stitch.assign_masters(stitch.table_heads(rows), block)
+    first = rows.groupBy("doc_id", "page").agg(F.min("row_idx").alias("first"))
+    kept = rows.drop("headers").join(masters, ["doc_id", "page", "table_index"]).join(first, ["doc_id", "page"])
+    heads = rows.groupBy("doc_id", F.col("page").alias("master_page")).agg(F.first("headers").alias("headers"))
+    want = tables.heal_rows(
+        kept.filter("not (drop_first and row_idx = first)").join(heads, ["doc_id", "master_page"]),
+        F.col("columns"), ["doc_id", "master_page", "master_index"], ["page", "table_index", "row_idx"],
+        [F.col("page"), row_block("row_idx")],
+    )
+    assert got == sorted(map(str, want.select(*names).collect()))
+    assert 0 < numbered[0] < 0.8 * len(lines)
+
+
+def test_pages_without_wrapped_rows_are_not_numbered_by_table(spark, monkeypatch):
+    head = ["Code", "Title"]
+    rows = raw(spark, [(page, head, [["k", str(page)]] * 3) for page in range(1, 40)])
+    numbered = []
+    whole = tables.merge_marked
+    monkeypatch.setattr(stitch, "merge_marked", lambda kept, *a: numbered.append(kept.count()) or whole(kept, *a))
+    assert stitch.stitch_tables(rows).count() == 117
+    assert numbered == [1]  # the last record, behind which no page is looked at
+
+
 def heal_loop(rows, width):
     out = []
     for r in rows:
