@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -137,13 +138,22 @@ def _ids(path: str) -> WordCache:
     return WordCache(lambda words: encode_words(model, words), word_parts)
 
 
-def encoded(texts: Iterable[str | None], model: str = MODEL, end: int | None = None) -> Iterator[bytes]:
-    """Ids of each whole text as little-endian unsigned 32-bit integers; see tokencount for the safe split."""
+def words(text: bytes) -> list[bytes]:
+    """The words of a text in UTF-8, in small letters where that gives the same ids.
+
+    The tokenizer makes letters small itself, but only after it has joined combining
+    marks and looked for special strings, so only ASCII texts without those qualify.
+    """
+    return (text.lower() if text.isascii() and b"<|" not in text else text).split()
+
+
+def encoded(texts: Iterable[bytes | None], model: str = MODEL, end: int | None = None) -> Iterator[bytes]:
+    """Ids of each whole text (UTF-8) as little-endian unsigned 32-bit integers; see tokencount for the safe split."""
     cache = _ids(public_tokenizers.path(model))
     last = b"" if end is None else struct.pack("<I", end)
-    plain = [t or "" for t in texts]
+    plain = [t or b"" for t in texts]
     for first, stop in portions(map(len, plain)):
-        split = [t.encode().split() for t in plain[first:stop]]
+        split = [words(t) for t in plain[first:stop]]
         for ids in cache.lists(split):
             yield b"".join(ids) + last
 
@@ -170,7 +180,11 @@ def write_token_files(
         "id", F.xxhash64("text"), "text"
     )
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    listing = pa.schema(
+        [("path", pa.string()), ("part", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, base = file_system(folder)
@@ -186,21 +200,23 @@ def write_token_files(
             writer = None
 
         for batch in batches:
-            for doc_id, ids in zip(batch["id"], encoded(batch["text"], model, end)):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()  # as they came, not as Python strings
+            for doc_id, ids in zip(batch.column("id").to_pylist(), encoded(texts, model, end)):
                 if writer and (count + len(ids) // 4 > FILE_IDS or len(writer.index) == FILE_DOCS):
                     finish()
                 if not writer:
                     name = f"{base}/ids-{part:06d}-{len(done):06d}-{uuid.uuid4().hex}.zst"
                     writer, count = TokenFileWriter(system.open_output_stream(f"{name}.part")), 0
-                writer.add(int(doc_id), ids)
+                writer.add(doc_id, ids)
                 count += len(ids) // 4
         if writer:
             finish()
-        yield pd.DataFrame(done, columns=["path", "part", "file", "n_docs", "n_ids"])
+        listed = [dict(zip(listing.names, row)) for row in done]
+        yield from pa.Table.from_pylist(listed, schema=listing).to_batches()
 
     system, base = file_system(folder)
     system.create_dir(base, recursive=True)
-    listed = saved(ranged.mapInPandas(write, "path string, part int, file int, n_docs long, n_ids long"))
+    listed = saved(ranged.mapInArrow(write, "path string, part int, file int, n_docs long, n_ids long"))
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = listed.groupBy("part").agg(F.sum("n_ids").alias("total")).withColumn(

@@ -183,3 +183,37 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 2 for s in order), (taken, target)
     assert mixing.mix_sources(docs.limit(0)).collect() == []
     assert {r.taken for r in mixing.mix_sources(docs.filter("text is null")).collect()} == {0}
+
+
+def test_accented_words_need_no_offsets_and_parts_outlive_a_generation():
+    from doctables.llm import wordcache
+
+    model = tokencount.tokenizer(public_tokenizers.path(tokencount.MODEL))
+    by_offsets, encoded = [], []
+
+    class Spied:
+        get_vocab, encode_batch_fast = model.get_vocab, model.encode_batch_fast
+
+        def encode_batch(self, texts, **more):
+            by_offsets.extend(" ".join(texts).split())
+            return model.encode_batch(texts, **more)
+
+    words = ["ciónado", "été", "İki", "ǎb", "don't", "</w>", "中文", "abc", "ſs", "x1"]
+    got = wordcache.encode_words(Spied(), [w.encode() for w in words])
+    assert got == [np.array(model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+    assert set(by_offsets) == {"İki", "ǎb", "don't", "</w>", "中文", "x1"}
+
+    cache = wordcache.WordCache(lambda found: encoded.extend(found) or found, wordcache.word_parts, kept=8)
+    for i in range(8):
+        fill = [b"%c%c" % (97 + i, 97 + k) for k in range(4)]
+        assert cache.lists([[b"same" + b"!" * (i + 1), *fill]]) == [[b"same" + b"!" * (i + 1), *fill]]
+    assert encoded.count(b"same") == 1
+
+
+def test_token_files_read_letters_of_either_case_as_the_library():
+    pick = random.Random(5)
+    letters = [*"aAjJhHtT'.,!<|>09 \n", "̌", "̇", "é", "İ", "ß", "Σ", "K", "<|endoftext|>", "<|ENDOFTEXT|>", "'LL", "</w>"]
+    texts = ["".join(pick.choice(letters) for _ in range(pick.randint(0, 40))) for _ in range(3000)]
+    model = tokencount.tokenizer(public_tokenizers.path(tokencount.MODEL))
+    want = [np.array([*e.ids, 1], dtype="<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert list(tokenfiles.encoded([t.encode() for t in texts], end=1)) == want
